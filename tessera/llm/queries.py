@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, simhash, warc
+from . import exact_dedup, matroska, mixing, packing, simhash, warc
 from .common import table
 
 
@@ -35,6 +35,14 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -89,7 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_warc": op3_warc,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op9_matroska": op9_matroska,
 }
 
 ORACLE: dict[str, str] = {
