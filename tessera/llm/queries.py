@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, matroska, mixing, packing, simhash, warc
+from . import exact_dedup, matroska, mixing, packing, simhash, toxicity, warc
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(table(spark, sf_dir, "documents"))
 
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_matroska": op9_matroska,
 }
 
