@@ -38,7 +38,7 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it back.
 
     Unlike a local checkpoint the result survives lost executors, and an
@@ -46,7 +46,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_dir(spark, tag)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
