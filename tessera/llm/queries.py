@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, matroska, mixing, packing, pitman_yor, simhash, toxicity, warc
+from . import exact_dedup, langid, lines, matroska, mixing, packing, pitman_yor, simhash, toxicity, warc
 from .common import table
 
 
@@ -15,6 +15,37 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.strip_boilerplate(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = r"""
+WITH l AS (
+  SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '')) AS host,
+         list_filter(list_transform(
+           string_split_regex(
+             regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+               '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g'),
+               '(?i)</?(?:a|abbr|b|code|em|font|i|small|span|strong|sub|sup|u)(?:\s[^>]*)?>', '', 'g'),
+               '<[^>]*>', chr(10), 'g'),
+             '[\n\r]+'),
+           lambda x: trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g'))), lambda x: x <> '') AS lines
+  FROM pages
+), h AS (
+  SELECT host, count(*) AS host_pages FROM l GROUP BY host
+), c AS (
+  SELECT host, line, count(*) AS pages FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY host, line
+), d AS (
+  SELECT c.host, list(line) AS gone FROM c JOIN h ON c.host = h.host WHERE pages >= 3 AND pages / host_pages > 0.2 GROUP BY c.host
+), k AS (
+  SELECT page_id, l.host, lines, CASE WHEN gone IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(gone, x)) END AS kept
+  FROM l LEFT JOIN d ON l.host = d.host
+)
+SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS text
+FROM k
+"""
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.archive_pages(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -51,6 +82,10 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -103,6 +138,7 @@ FROM k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_lines": op2_lines,
     "op3_warc": op3_warc,
     "op4_pitman_yor": op4_pitman_yor,
     "op5_exact_dedup": op5_exact_dedup,
@@ -110,9 +146,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_matroska": op9_matroska,
+    "op10_langid": op10_langid,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_lines": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_mixing": OP7_SQL,
 }

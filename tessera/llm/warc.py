@@ -197,7 +197,9 @@ def normalise(lines: DataFrame, directory: str, level: int = 6) -> DataFrame:
             out.write("".join(index).encode())
         return pd.DataFrame([(name, f"{name}.idx", len(index), offset)], columns=["archive", "index", "records", "bytes"])
 
-    return lines.select("archive", "ordinal", "refers_to").groupBy("archive").applyInPandas(rewrite, "archive string, index string, records long, bytes long")
+    slim = lines.select("archive", "ordinal", "refers_to")
+    archives = max(1, min(slim.select("archive").distinct().count(), 10_000))
+    return slim.repartition(archives, "archive").groupBy("archive").applyInPandas(rewrite, "archive string, index string, records long, bytes long")
 
 
 def read_archives(manifest: DataFrame, directory: str, page_rows: int = 2000) -> DataFrame:
