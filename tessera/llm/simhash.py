@@ -1,19 +1,21 @@
 """SimHash near-duplicates by multi-index hashing.
 
 Fingerprints are computed in one pass over the texts. Search runs over distinct
-fingerprints: each is cut into two halves of 32 bits, and for each half the small
-Hamming ball around it (radius 1: the half and its 32 neighbours) is entered into a
-table keyed by (half, ball point). Two fingerprints that differ in at most four bits
-differ in at most two within one half, so their balls share a point and they meet
-there; complete distances are then verified. The key has 33 bits and more of
-selectivity, so chance meetings stay few at any size, and work grows with
-67 entries a fingerprint and not with pairs of rows.
-
-Entries travel as packed blocks by a hash of their key. A block never lists the pairs
-of a group: verified links are reduced to a forest (one link a fingerprint) before
-they leave the task. Links are joined to components by alternating large-star and
-small-star rounds, each written to the shared folder; no component is ever gathered
-in one place.
+fingerprints. Each is cut into segments, and the small Hamming ball around each segment
+(radius 1: the segment and every value one bit off) is enumerated into a table keyed by
+ball point. Two fingerprints whose segments differ in at most two bits share a point and
+meet there; complete distances are then verified. For at most four differing bits two
+halves of 32 bits miss nothing, and at 32 bits chance meetings stay few at any size. For
+similarity over five-word shingles (``drop_near``) sketches of 256 bits are cut into ten
+segments of 24.
+
+The table is dealt out by segment and its top bits: a fingerprint is sent to the blocks
+that its ball touches (one, and one per top bit), and the ball is enumerated there. A
+block never lists the pairs of a group: in a run of equal points members are compared
+only with members that are not yet joined to them, and the links found are reduced to a
+forest (one link a fingerprint) before they leave the task. Links are joined to
+components by alternating large-star and small-star rounds, each written to the shared
+folder; no component is ever gathered in one place.
 
 Defined cases: a null or empty text (or one of white space only) has fingerprint zero
 and links like any other; a text of fewer words than a shingle is one shingle; words
@@ -25,6 +27,8 @@ ignored by ``near_groups`` and kept by ``drop_near``.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -36,8 +40,8 @@ from .common import LOWERING, materialize
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
-#: Entries that one block group holds at most, about.
-BLOCK_ENTRIES = 1 << 20
+#: Sketches that one block holds, about; each enters as many ball points as a segment has bits.
+BLOCK_ROWS = 50_000
 ROUNDS = 60
 
 #: Bit i of byte value v.
@@ -81,17 +85,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
     return slim.mapInPandas(run, "doc_id long, fp long")
 
 
-_BALL = np.concatenate([[0], 1 << np.arange(32)]).astype(np.uint64)
-_LOW = np.uint64(0xFFFFFFFF)
-_32 = np.uint64(32)
+class Segments(NamedTuple):
+    """How sketches of ``lanes`` 64-bit words are cut and compared."""
+
+    lanes: int
+    width: int
+    count: int
+    distance: int
 
+    def value(self, lanes: np.ndarray, segment: int) -> np.ndarray:
+        """The segment's bits of each sketch."""
+        word, shift = divmod(segment * self.width, 64)
+        out = lanes[:, word] >> np.uint64(shift)
+        if shift + self.width > 64:
+            out = out | (lanes[:, word + 1] << np.uint64(64 - shift))
+        return out & np.uint64((1 << self.width) - 1)
 
-def ball_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fp) entries: the ball points of both halves; the half's number is mixed into the key by multiplication."""
-    high = ((fps >> _32)[:, None] ^ _BALL).ravel()
-    low = ((fps & _LOW)[:, None] ^ _BALL).ravel()
-    keys = np.concatenate([high << np.uint64(1), (low << np.uint64(1)) | np.uint64(1)])
-    return keys, np.concatenate([np.repeat(fps, 33)] * 2)
+
+#: Two halves of one fingerprint; at most four differing bits leave a half with at most two, so none is missed.
+EXACT = Segments(1, 32, 2, DISTANCE)
+#: For similarity 0.8 and more over five-word shingles: 256 bits, ten segments. A pair of similarity 0.8 differs in 39 bits
+#: on average and shares a ball point with probability 0.96, one of 0.9 in 27 bits and 0.9995.
+WIDE = Segments(4, 24, 10, 44)
+SIMILAR_SHINGLE = 5
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +118,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while True:
         low = np.minimum(root[x], root[y])
         new = root.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
+        for at in (x, y, root[x], root[y]):
+            np.minimum.at(new, at, low)
         new = new[new]
         if np.array_equal(new, root):
             keep = root != np.arange(len(nodes))
@@ -113,52 +127,106 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def links_in_block(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, hold: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Forest of the verified links among entries with equal keys."""
+def _near(lanes: np.ndarray, a, b, distance: int) -> np.ndarray:
+    return np.bitwise_count(lanes[a] ^ lanes[b]).sum(-1, dtype=np.int64) <= distance
+
+
+def _run_links(lanes: np.ndarray, members: np.ndarray, distance: int) -> tuple[list, list]:
+    """Links that join a large run's components: each member is compared only with members that are not yet joined to it."""
+    comp = np.arange(len(members))
+    a, b = [], []
+    for i in range(len(members) - 1):
+        rest = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+        if not len(rest):
+            if (comp == comp[i]).all():
+                break
+            continue
+        for j in rest[_near(lanes, members[i], members[rest], distance)].tolist():
+            if comp[j] != comp[i]:
+                a.append(members[i])
+                b.append(members[j])
+                comp[comp == comp[j]] = comp[i]
+    return a, b
+
+
+def links_in_block(keys: np.ndarray, owner: np.ndarray, lanes: np.ndarray, distance: int, small: int = 32, hold: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the verified links among entries with equal keys, as rows of ``lanes``."""
     order = np.argsort(keys, kind="stable")
-    keys, fps = keys[order], fps[order]
+    keys, owner = keys[order], owner[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    left = np.repeat(np.r_[starts[1:], len(keys)], np.diff(np.r_[starts, len(keys)])) - np.arange(len(keys)) - 1
-    at = np.flatnonzero(left > 0)
+    sizes = np.diff(np.r_[starts, len(keys)])
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    held, step = 0, 1
+    held = 0
+
+    def hold_on(a, b):
+        nonlocal found, held
+        found.append((np.asarray(a), np.asarray(b)))
+        held += len(a)
+        if held > hold:
+            found, held = [forest(*map(np.concatenate, zip(*found, strict=True)))], 0
+
+    for start, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
+        a, b = _run_links(lanes, np.unique(owner[start : start + size]), distance)
+        if a:
+            hold_on(a, b)
+    little = (sizes > 1) & (sizes <= small)
+    left = np.zeros(len(keys), np.int64)
+    for start, size in zip(starts[little], sizes[little], strict=True) if little.sum() < 64 else ():
+        left[start : start + size] = np.arange(size - 1, -1, -1)
+    if little.sum() >= 64:
+        ends = np.repeat(np.where(little, starts + sizes, 0), sizes)
+        left = np.maximum(ends - np.arange(len(keys)) - 1, 0)
+    at, step = np.flatnonzero(left > 0), 1
     while len(at):
-        a, b = fps[at], fps[at + step]
-        near = np.bitwise_count(a ^ b) <= distance
+        a, b = owner[at], owner[at + step]
+        near = _near(lanes, a, b, distance) & (a != b)
         if near.any():
-            found.append((a[near], b[near]))
-            held += int(near.sum())
-            if held > hold:
-                found = [forest(*map(np.concatenate, zip(*found, strict=True)))]
-                held = 0
+            hold_on(a[near], b[near])
         step += 1
         at = at[left[at] >= step]
     if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     return forest(*map(np.concatenate, zip(*found, strict=True)))
 
 
-def links(distinct: DataFrame, count: int, distance: int = DISTANCE) -> DataFrame:
-    """(a, b) links between distinct fingerprints, a forest by block; ``count`` is their number."""
-    blocks = max(1, -(-count * 66 // BLOCK_ENTRIES))
+def ball_entries(values: np.ndarray, width: int, top: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ball point, row) for those points of each value's radius-1 ball whose top bits are ``prefix``."""
+    low = width - top
+    own = np.flatnonzero((values >> np.uint64(low)) == prefix)
+    near = np.flatnonzero(np.bitwise_count((values >> np.uint64(low)) ^ np.uint64(prefix)) == 1)
+    flips = np.concatenate([[0], 1 << np.arange(low)]).astype(np.uint64)
+    points = (values[own][:, None] ^ flips).ravel()
+    crossing = (values[near] & np.uint64((1 << low) - 1)) | np.uint64(prefix << low)
+    return np.concatenate([points, crossing]), np.concatenate([np.repeat(own, low + 1), near])
+
+
+def links(distinct: DataFrame, count: int, how: Segments = EXACT) -> DataFrame:
+    """(a, b) links between nodes, a forest by block. distinct: node, and sketch (bytes) if it has more than one lane."""
+    top = max(0, (max(count, 1) // BLOCK_ROWS).bit_length())
+    blocks = how.count << top
 
     def enter(batches):
         for pdf in batches:
-            values = pdf["fp"].to_numpy().view(np.uint64)
-            for i in range(0, len(values), 20_000):
-                keys, fps = ball_keys(values[i : i + 20_000])
-                block = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(blocks)
-                order = np.argsort(block, kind="stable")
-                keys, fps, block = keys[order], fps[order], block[order]
-                cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.empty(0, int)
-                ends = np.r_[cuts[1:], len(block)]
-                yield pd.DataFrame({"block": block[cuts].astype(np.int64), "keys": [keys[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], "fps": [fps[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)]})
+            nodes = pdf["node"].to_numpy(np.int64)
+            lanes = nodes.view(np.uint64)[:, None] if how.lanes == 1 else np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(-1, how.lanes)
+            rows = []
+            for s in range(how.count):
+                prefix = (how.value(lanes, s) >> np.uint64(how.width - top)).astype(np.int64)
+                for p in np.unique(np.concatenate([prefix ^ f for f in (0, *(1 << i for i in range(top)))])).tolist() if len(nodes) else ():
+                    at = np.bitwise_count(prefix ^ p) <= 1
+                    rows.append(((s << top) | p, nodes[at].tobytes(), lanes[at].tobytes() if how.lanes > 1 else b""))
+            yield pd.DataFrame(rows, columns=["block", "nodes", "lanes"])
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = links_in_block(np.frombuffer(b"".join(pdf["keys"]), np.uint64), np.frombuffer(b"".join(pdf["fps"]), np.uint64), distance)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    entries = distinct.select("fp").mapInPandas(enter, "block long, keys binary, fps binary")
+        block = int(pdf["block"].iloc[0])
+        nodes = np.frombuffer(b"".join(pdf["nodes"]), np.int64)
+        lanes = nodes.view(np.uint64)[:, None] if how.lanes == 1 else np.frombuffer(b"".join(pdf["lanes"]), np.uint64).reshape(-1, how.lanes)
+        keys, owner = ball_entries(how.value(lanes, block >> top), how.width, top, block & (1 << top) - 1)
+        a, b = links_in_block(keys, owner, lanes, how.distance)
+        return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
+
+    columns = ["node"] if how.lanes == 1 else ["node", "sketch"]
+    entries = distinct.select(columns).mapInPandas(enter, "block long, nodes binary, lanes binary")
     return entries.repartition(blocks, "block").groupBy("block").applyInPandas(verify, "a long, b long")
 
 
@@ -184,17 +252,40 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
-def _grouped(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, component_id for written (doc_id, fp) rows."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = components(links(distinct, distinct.count(), distance))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _rooted(distinct: DataFrame, how: Segments) -> DataFrame:
+    """node and component_id (the smallest id of the component) for a written table of node, least (smallest id) and sketch."""
+    found = components(links(distinct, distinct.count(), how)).withColumnRenamed("node", "__node")
+    rooted = distinct.join(found, distinct["node"] == found["__node"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(firsts, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return rooted.join(firsts, "root").select("node", "component_id")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     prints = materialize(fingerprints(docs, id_col, text, shingle), "simhash-prints")
-    return _grouped(prints, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = materialize(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    found = prints.join(_rooted(distinct, EXACT), prints["fp"] == F.col("node"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def sketch(hashes: np.ndarray, lanes: int = WIDE.lanes) -> bytes:
+    """``lanes`` fingerprints side by side; each lane folds another mix of the same shingle hashes."""
+    out = []
+    for i in range(lanes):
+        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD if i else 1)
+        out.append(fold(mixed ^ (mixed >> np.uint64(33)) if i else mixed))
+    return np.array(out, np.uint64).tobytes()
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, how: Segments = WIDE) -> DataFrame:
+    """One document of each near-duplicate group (the smallest id) with all its columns; rows with a null id stay."""
+
+    @F.pandas_udf("binary")
+    def draw(texts: pd.Series) -> pd.Series:
+        return pd.Series([sketch(shingle_hashes((t or "").encode(), shingle), how.lanes) for t in texts], dtype=object)
+
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), draw(F.col(text).cast("string")).alias("sketch"))
+    prints = materialize(known.withColumn("node", F.xxhash64("sketch")), "sketches")
+    distinct = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "sketches-distinct")
+    gone = materialize(prints.join(_rooted(distinct, how), "node").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
+    return docs.join(gone, F.col(id_col).cast("long") == gone["__gone"], "left_anti")
