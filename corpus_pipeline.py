@@ -1,4 +1,61 @@
-STAGES = []
+"""A training corpus from documents: reject toxic ones, drop copies, mix sources, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
+stage's result as Parquet to the shared folder and hands it to the next. All stages but
+the last return the columns of their input.
+
+Defined cases are those of the operators: null texts count as empty, extra columns pass
+through, repeated rows count singly until exact dedup keeps one, an empty table gives
+an empty result. The mix takes a document up to three times, and packing packs each copy.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import exact_dedup, mixing, packing, simhash, toxicity
+from tessera.llm.common import materialize, table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not rejected as toxic; learned from the labels."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each distinct text, the one with the largest doc_id."""
+    return exact_dedup.drop_exact(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest doc_id."""
+    return simhash.drop_near(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each as often as it is taken."""
+    return mixing.apply_mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece with its sequence and place there."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_stage),
+    ("SimHash near-dedup", near_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: A trained model and a tokenizer are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.split()[0]}")
+    return STAGES[-1][1](spark, docs, sf_dir)
