@@ -42,7 +42,7 @@ def decay(last_accessed: Column, access_count: Column, now: Column, half_life: f
 def freshness(ts: Column, now: Column, half_life: float = 14.0) -> Column:
     """1 for now, half after ``half_life`` days, 0.5 for unknown."""
     days = F.greatest(days_between(now, ts), F.lit(0.0))
-    return F.coalesce(F.exp(-math.log(2) * days / half_life), F.lit(0.5))
+    return F.when(ts.isNull(), 0.5).otherwise(F.exp(-math.log(2) * days / half_life))
 
 
 def cosine(a: Column, b: Column) -> Column:

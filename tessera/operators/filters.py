@@ -29,13 +29,16 @@ def payload_filter(filters: dict, schema) -> Column:
                 out = out & (value >= bound if op == "gte" else value <= bound)
         return out
 
+    def element(want, kind: str):
+        return lambda x: F.coalesce(one(x, want, kind), F.lit(False))
+
     parts = []
     for key, want in filters.items():
         if key not in types:
             return F.lit(False)
         kind = types[key]
         if kind.startswith("array"):
-            parts.append(F.exists(key, lambda x, w=want, k=kind: F.coalesce(one(x, w, k[6:-1]), F.lit(False))))
+            parts.append(F.exists(key, element(want, kind[len("array<") : -1])))
         else:
             parts.append(one(F.col(key), want, kind))
     return F.coalesce(reduce(lambda a, b: a & b, parts, F.lit(True)), F.lit(False))

@@ -76,8 +76,9 @@ def ask(prompt: Column, model: Model) -> Column:
 def parse_answer(c: Column) -> Column:
     """text and confidence (between 0 and 1) of an answer with a CONFIDENCE line."""
     confidence = F.regexp_extract(c, r"(?im)^\s*CONFIDENCE\s*:\s*([0-9]*\.?[0-9]+)", 1)
-    value = F.least(F.greatest(confidence.try_cast("double"), F.lit(0.0)), F.lit(1.0))
-    return F.struct(F.trim(F.regexp_replace(c, r"(?im)^\s*CONFIDENCE\s*:.*$", "")).alias("text"), F.coalesce(value, F.lit(0.5)).alias("confidence"))
+    value = F.when(confidence == "", 0.5).otherwise(F.least(F.greatest(confidence.try_cast("double"), F.lit(0.0)), F.lit(1.0)))
+    said = F.regexp_replace(F.regexp_replace(c, r"(?im)^\s*CONFIDENCE\s*:.*$", ""), r"^\s+|\s+$", "")
+    return F.struct(said.alias("text"), value.alias("confidence"))
 
 
 def enrich(df: DataFrame, enricher: Callable[[str], dict], text: str = "text", protected: tuple = ("text", "source", "offset", "tenant_id")) -> DataFrame:
