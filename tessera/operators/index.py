@@ -20,10 +20,16 @@ class TextIndex:
     mean: float
 
 
-def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer=text.tokens) -> DataFrame:
-    """id, term, tf, len. Counts combine inside the task before they are shuffled."""
+def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer=text.tokens, only: DataFrame | None = None) -> DataFrame:
+    """id, term, tf, len. Counts combine inside the task before they are shuffled.
+
+    only: a batch's terms (column term); other postings are left out before any
+    aggregation, which leaves those of the batch and their statistics unchanged.
+    """
     toks = docs.select(F.col(id_col).alias("id"), tokenizer(text_col).alias("toks"))
     terms = toks.select("id", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("term"))
+    if only is not None:
+        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
     return terms.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
@@ -32,8 +38,9 @@ def term_stats(posts: DataFrame, documents: int) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", scoring.idf(F.lit(float(documents)), F.col("df")))
 
 
-def build(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer=text.tokens) -> TextIndex:
-    posts = postings(docs, id_col, text_col, tokenizer)
+def build(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer=text.tokens, only: DataFrame | None = None) -> TextIndex:
+    """only: see ``postings``."""
+    posts = postings(docs, id_col, text_col, tokenizer, only)
     n, total = docs.agg(F.count("*"), F.sum(F.size(tokenizer(text_col)))).first()
     return TextIndex(posts, term_stats(posts, n), n, (total or 0) / max(n, 1))
 

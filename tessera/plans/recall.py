@@ -60,11 +60,12 @@ def recall(chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, con
     scope = in_scope(chunks, config)
     arms = []
     if config.lexical != "off":
-        idx = index.build(chunks.select("id", "text"))
+        terms = retrieve.query_terms(queries)
+        idx = index.build(chunks.select("id", "text"), only=terms)
         arm = retrieve.sparse if config.lexical == "sparse" else retrieve.bm25
         posts = idx.postings.join(scope.select("id"), "id", "left_semi")
         idx = index.TextIndex(posts, idx.terms, idx.documents, idx.mean)
-        arms.append(("bm25", arm(idx, retrieve.query_terms(queries), config.bm25_limit)))
+        arms.append(("bm25", arm(idx, terms, config.bm25_limit)))
     dense = None
     if vectors is not None:
         dense = retrieve.vector(vectors.join(scope.select("id"), "id", "left_semi"), queries, config.vector_limit)

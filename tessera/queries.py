@@ -102,7 +102,8 @@ def queries_of(spark, sf) -> DataFrame:
 
 
 def bm25_of(spark, sf, k: int = K) -> DataFrame:
-    return retrieve.bm25(index.build(docs_of(spark, sf)), retrieve.query_terms(text_queries(spark, sf)), k)
+    terms = retrieve.query_terms(text_queries(spark, sf))
+    return retrieve.bm25(index.build(docs_of(spark, sf), only=terms), terms, k)
 
 
 def dense_of(spark, sf, k: int = K) -> DataFrame:
@@ -169,7 +170,8 @@ def bm25_topk(spark, sf):
 def bm25_filtered_topk(spark, sf):
     docs = docs_of(spark, sf)
     allowed = docs.where(filters.payload_filter({"lang": "en", "n_chars": {"gte": 500}}, docs.schema))
-    return scored(retrieve.bm25(index.build(docs), retrieve.query_terms(text_queries(spark, sf)), K, allowed))
+    terms = retrieve.query_terms(text_queries(spark, sf))
+    return scored(retrieve.bm25(index.build(docs, only=terms), terms, K, allowed))
 
 
 @query("SELECT query_id, rank, id, round(score, 6) AS score FROM dense", ("dense",))
@@ -184,7 +186,8 @@ def vector_topk_filtered(spark, sf):
 
 @query("SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT query_id, id, sum(tf * times * idf) AS score FROM posts JOIN terms USING (term) JOIN qterms USING (term) GROUP BY query_id, id)) WHERE rank <= 20", ("posts", "terms", "qterms"))
 def sparse_tfidf_topk(spark, sf):
-    return scored(retrieve.sparse(index.build(docs_of(spark, sf)), retrieve.query_terms(text_queries(spark, sf)), K))
+    terms = retrieve.query_terms(text_queries(spark, sf))
+    return scored(retrieve.sparse(index.build(docs_of(spark, sf), only=terms), terms, K))
 
 
 @query()
@@ -204,7 +207,7 @@ PARTS["gates"] = (["q"], f"SELECT query_id, substr(keyed, 5) AS term FROM ({GATE
 def lexical_gated_dense(spark, sf):
     qs = queries_of(spark, sf)
     gates = qs.select("query_id", F.explode(text.gate_words("text")).alias("term"))
-    return scored(retrieve.gated(index.build(docs_of(spark, sf)), gates, vectors_of(spark, sf), qs, K))
+    return scored(retrieve.gated(index.build(docs_of(spark, sf), only=gates), gates, vectors_of(spark, sf), qs, K))
 
 
 @query(r"SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b'))) AS token FROM documents")
@@ -214,10 +217,10 @@ def exact_token_addresses(spark, sf):
 
 @query()
 def exact_token_prefilter(spark, sf):
-    """BM25 over the technical tokens of the conversations' turns."""
-    turns = read(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), text.exact_tokens("text").alias("toks")).where(F.size("toks") > 0)
-    terms = retrieve.query_terms(turns.select("query_id", F.array_join("toks", " ").alias("text")))
-    return scored(retrieve.bm25(index.build(docs_of(spark, sf)), terms, 10))
+    """BM25 over the technical tokens of documents that have any."""
+    asked = docs_of(spark, sf).select(F.col("id").alias("query_id"), text.exact_tokens("text").alias("toks")).where(F.size("toks") > 0)
+    terms = retrieve.query_terms(asked.select("query_id", F.array_join("toks", " ").alias("text")))
+    return scored(retrieve.bm25(index.build(docs_of(spark, sf), only=terms), terms, 10))
 
 
 # --- fusion -------------------------------------------------------------------
