@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-RATIO = 0.2
+RATIO = 0.1
 MIN_PAGES = 3
 
 #: Patterns, the same in the SQL of the registered query.

@@ -36,7 +36,7 @@ WITH l AS (
 ), c AS (
   SELECT host, line, count(*) AS pages FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY host, line
 ), d AS (
-  SELECT c.host, list(line) AS gone FROM c JOIN h ON c.host = h.host WHERE pages >= 3 AND pages / host_pages > 0.2 GROUP BY c.host
+  SELECT c.host, list(line) AS gone FROM c JOIN h ON c.host = h.host WHERE pages >= 3 AND pages / host_pages > 0.1 GROUP BY c.host
 ), k AS (
   SELECT page_id, l.host, lines, CASE WHEN gone IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(gone, x)) END AS kept
   FROM l LEFT JOIN d ON l.host = d.host

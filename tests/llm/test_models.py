@@ -191,7 +191,7 @@ def test_lines_equal_brute_force(spark):
     host = lambda u: (re.match(r"\w+://([^/:?#]+)", u or "") or [None, ""])[1].lower()
     pages = Counter(host(u) for _, u, *_ in rows)
     seen = Counter((host(u), x) for _, u, h, _ in rows for x in set(split(h)))
-    drop = {k for k, n in seen.items() if n >= 3 and n / pages[k[0]] > 0.2}
+    drop = {k for k, n in seen.items() if n >= 3 and n / pages[k[0]] > lines.RATIO}
     want = []
     for p, u, h, _ in rows:
         own = split(h)
