@@ -126,10 +126,15 @@ def graph_hits(nodes: DataFrame, tokens: DataFrame, shortest_part: int = 5, k: i
     more), its exact name, its handle, or a part of a name (five characters or more).
     """
     low = nodes.select("name", F.lower("name").alias("name_lower"))
-    number = tokens.where(F.rlike("token", F.lit(r"^\d{6,}$"))).join(low, F.endswith("name_lower", "token")).withColumn("level", F.lit(0))
+    number = tokens.where(F.rlike("token", F.lit(r"^\d{6,}$"))).withColumn("end", F.right("token", F.lit(6)))
+    number = number.join(low.withColumn("end", F.right("name_lower", F.lit(6))), "end").where(F.endswith("name_lower", "token")).drop("end").withColumn("level", F.lit(0))
     exact = tokens.join(low, F.col("token") == F.col("name_lower")).withColumn("level", F.lit(1))
     handle = tokens.withColumn("handle", F.concat(F.lit("@"), "token")).join(low, F.col("handle") == F.col("name_lower")).drop("handle").withColumn("level", F.lit(2))
-    part = tokens.where(F.length("token") >= shortest_part).join(low, F.contains("name_lower", "token")).withColumn("level", F.lit(3))
+    # A part is looked up by its first characters among the runs of that length in the names.
+    long_ = low.where(F.length("name_lower") >= shortest_part)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name_lower") - (shortest_part - 1)), lambda i: F.substr("name_lower", i, F.lit(shortest_part))))
+    keyed = tokens.where(F.length("token") >= shortest_part).withColumn("run", F.substring("token", 1, shortest_part))
+    part = keyed.join(long_.withColumn("run", F.explode(runs)), "run").where(F.contains("name_lower", "token")).drop("run").withColumn("level", F.lit(3))
     found = number.unionByName(exact).unionByName(handle).unionByName(part)
     first = found.groupBy("query_id", "token").agg(F.min("level").alias("level"))
     hits = found.join(first, ["query_id", "token", "level"]).groupBy("query_id", "name").agg(F.countDistinct("token").alias("hits"))
