@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in local tests.
@@ -53,3 +53,28 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
 def word_count(text: str) -> F.Column:
     """Number of words of a text column (null: 0), without Python."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Bits of one bitmap row, and most bits of a filter: 2,048 rows, 8 MB.
+BITMAP_ROW = 32_768
+MOST_BITS = 1 << 26
+
+
+def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the keys, rows that surely have none), without a shuffle of ``df``.
+
+    keys has one column. A bitmap of their hashes, at most ``MOST_BITS`` whatever their
+    number, is sent to all tasks; what it cannot rule out is left to an exact join. So
+    wide rows that no decision touches stay where they are.
+    """
+    (name,) = keys.columns
+    count = keys.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    at = place(F.col(name))
+    maps = keys.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+    held = df.withColumn("__at", place(key)).join(F.broadcast(maps), F.bitmap_bucket_number("__at") == F.col("__bucket"), "left")
+    bit = F.bitmap_bit_position("__at")
+    byte = F.conv(F.hex(F.expr("substring(__bits, CAST(bitmap_bit_position(__at) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return held.where(hit).select(df.columns), held.where(~hit).select(df.columns)

@@ -5,8 +5,9 @@ beside its digest: tasks combine their own rows first (Spark's map-side partial
 aggregation), then groups of (digest, salt), then the salts' winners. So a text
 that a third of all rows share reaches any task at most once per (task, salt).
 
-A digest that occurs once needs no comparison (equal texts have equal digests),
-so only texts of repeated digests are moved. Two different texts with one digest
+A digest that occurs once needs no comparison (equal texts have equal digests), so
+only texts of repeated digests are moved; a bitmap of those digests, bounded in size,
+keeps all other rows out of the shuffles. Two different texts with one digest
 stay two groups.
 
 Defined cases: a null text counts as empty; empty texts are one group; a null id
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, split_by_keys
 
 SALTS = 16
 
@@ -29,20 +30,25 @@ def _hashed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__digest", F.sha2("__text", 256))
 
 
-def _classes(docs: DataFrame, id_col: str, text: str, salts: int) -> DataFrame:
-    """(__digest, __text, __keep, __n) for each text of a digest that occurs more than once."""
+def _repeated(docs: DataFrame, text: str) -> DataFrame:
+    """Digests that occur more than once, written."""
+    light = _hashed(docs, text).select("__digest")
+    return materialize(light.groupBy("__digest").agg(F.count("*").alias("n")).where("n > 1").select("__digest"), "exact-repeated")
+
+
+def _classes(docs: DataFrame, repeated: DataFrame, id_col: str, text: str, salts: int) -> DataFrame:
+    """(__digest, __text, __keep, __n) for each text of the repeated digests."""
     base = _hashed(docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__raw")), "__raw").drop("__raw")
-    repeated = base.groupBy("__digest").agg(F.count("*").alias("n")).where("n > 1").select("__digest")
-    suspects = base.join(repeated, "__digest", "left_semi")
+    suspects = split_by_keys(base, F.col("__digest"), repeated)[0].join(repeated, "__digest", "left_semi")
     salted = suspects.groupBy("__digest", F.pmod(F.xxhash64("__id"), F.lit(salts)).alias("__salt"), "__text").agg(
         F.max("__id").alias("__keep"), F.count("*").alias("__n")
     )
     return salted.groupBy("__digest", "__text").agg(F.max("__keep").alias("__keep"), F.sum("__n").alias("__n"))
 
 
-def _winners(docs: DataFrame, id_col: str, text: str, salts: int) -> tuple[DataFrame, DataFrame | None]:
+def _winners(docs: DataFrame, repeated: DataFrame, id_col: str, text: str, salts: int) -> tuple[DataFrame, DataFrame | None]:
     """Winners by digest, and winners by (digest, text) for digests that two texts share (None: there are none)."""
-    classes = _classes(docs, id_col, text, salts)
+    classes = _classes(docs, repeated, id_col, text, salts)
     by_digest = materialize(
         classes.groupBy("__digest").agg(F.max("__keep").alias("__keep"), F.sum("__n").alias("__n"), F.count("*").alias("__variants")),
         "exact-winners",
@@ -54,16 +60,18 @@ def _winners(docs: DataFrame, id_col: str, text: str, salts: int) -> tuple[DataF
 
 
 def _with_winner(docs: DataFrame, id_col: str, text: str, salts: int) -> DataFrame:
-    """docs with __digest, __keep and __n."""
-    by_digest, by_text = _winners(docs, id_col, text, salts)
+    """docs with __digest, __keep and __n; only rows of repeated digests are moved."""
+    repeated = _repeated(docs, text)
+    by_digest, by_text = _winners(docs, repeated, id_col, text, salts)
     own = (F.coalesce("__keep", F.col(id_col)).alias("__keep"), F.coalesce("__n", F.lit(1)).alias("__n"))
-    hashed = _hashed(docs, text)
     columns = [F.col(f"`{c}`") for c in docs.columns] + [F.col("__digest")]
+    maybe, single = split_by_keys(_hashed(docs, text), F.col("__digest"), repeated)
+    alone = single.select(*columns, F.col(id_col).alias("__keep"), F.lit(1).cast("long").alias("__n"))
     if by_text is None:
-        return hashed.drop("__text").join(by_digest, "__digest", "left").select(*columns, *own)
+        return alone.unionByName(maybe.drop("__text").join(by_digest, "__digest", "left").select(*columns, *own))
     shared = by_text.select("__digest").distinct()
-    plain = hashed.join(shared, "__digest", "left_anti").join(by_digest, "__digest", "left").select(*columns, *own)
-    return plain.unionByName(hashed.join(by_text, ["__digest", "__text"]).select(*columns, *own))
+    plain = maybe.join(shared, "__digest", "left_anti").join(by_digest, "__digest", "left").select(*columns, *own)
+    return alone.unionByName(plain).unionByName(maybe.join(by_text, ["__digest", "__text"]).select(*columns, *own))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:

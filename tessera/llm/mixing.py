@@ -22,10 +22,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import WORD, materialize, word_count
 
 SEED = "mix-1"
 MAX_REPEATS = 3
@@ -122,61 +122,89 @@ def default_weights(sources: list, cycle: tuple = WEIGHTS) -> dict:
     return {s: cycle[i % len(cycle)] for i, s in enumerate(order)}
 
 
-def mix(docs: DataFrame, members: F.Column, id_col: str = "doc_id", text: str = "text", weights: dict | None = None, seed: str = SEED, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row per document: doc_id, sources, size, source_size, target, taken (words), repeats.
+def _order(id_col: str, seed: str) -> Column:
+    """The seeded order of documents."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
-    ``members`` is an array of source names. source_size and target are those of
-    the first source of the array.
-    """
-    spark = docs.sparkSession
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), members.alias("sources"), word_count(text).alias("size"), hashed.alias("h")), "mix-sizes")
 
-    grouped = sized.groupBy("sources").agg(F.sum("size").alias("words")).collect()  # one row per pattern
-    patterns = [(tuple(r["sources"]), r["words"]) for r in grouped]
+def _quotas(sized: DataFrame, weights: dict | None, max_repeats: int) -> DataFrame | None:
+    """sources, source_size, target, passes, rest: a row per pattern."""
+    grouped = sized.groupBy("__sources").agg(F.sum("__size").alias("words")).collect()
+    patterns = [(tuple(r["__sources"]), r["words"]) for r in grouped]
     sizes: dict = {}
-    for members_, words in patterns:
-        for s in members_:
+    for members, words in patterns:
+        for s in members:
             sizes[s] = sizes.get(s, 0) + words
     if not sizes:
-        return sized.select("doc_id", "sources", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(0).alias("repeats"))
+        return None
     targets = water_fill(sizes, weights or default_weights(list(sizes)), sum(w for _, w in patterns), max_repeats)
     flows = route(patterns, targets, max_repeats)
-    quota = spark.createDataFrame(
+    return sized.sparkSession.createDataFrame(
         [(list(p), sizes[p[0]], float(targets[p[0]]), f // w if w else 0, f % w if w else 0) for (p, w), f in zip(patterns, flows, strict=True)],
-        "sources array<string>, source_size long, target double, passes long, rest long",
+        "__sources array<string>, __source_size long, __target double, __passes long, __rest long",
     )
 
-    # Words before each (hi, lo) cell of the seeded order; windows span at most 256 and 4096 cells.
-    cells = sized.groupBy("sources", F.substring("h", 1, 2).alias("hi"), F.substring("h", 3, 3).alias("lo")).agg(F.sum("size").alias("words"))
-    his = cells.groupBy("sources", "hi").agg(F.sum("words").alias("words"))
-    his = his.select("sources", "hi", F.coalesce(F.sum("words").over(Window.partitionBy("sources").orderBy("hi").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("hi_before"), "words")
-    q = F.broadcast(quota)  # one row per pattern, already held by the driver
-    cut_hi = his.join(q.select("sources", "rest"), "sources").where("hi_before < rest AND hi_before + words >= rest").select("sources", "hi", "hi_before", "rest")
-    los = cells.join(F.broadcast(cut_hi), ["sources", "hi"])  # at most one row per pattern
-    los = los.withColumn("lo_before", F.col("hi_before") + F.coalesce(F.sum("words").over(Window.partitionBy("sources", "hi").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    cut = los.where("lo_before < rest AND lo_before + words >= rest").select("sources", F.concat("hi", "lo").alias("cut"), "lo_before")
-    cut = materialize(cut, "mix-cut")
-
-    placed = sized.join(q, "sources").join(F.broadcast(cut), "sources", "left").withColumn("cell", F.substring("h", 1, 5))
-    edge = placed.where("cell = cut").withColumn(
-        "upto", F.col("lo_before") + F.sum("size").over(Window.partitionBy("sources").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    )
-    cells_whole = placed.where("cut IS NULL OR cell <> cut").withColumn("upto", F.lit(None).cast("long"))
-    headed = cells_whole.unionByName(edge).withColumn(
-        "more", F.when(F.col("rest") == 0, 0).when(F.col("upto").isNotNull(), (F.col("upto") <= F.col("rest")).cast("int")).otherwise((F.col("cell") < F.col("cut")).cast("int"))
-    )
-    headed = headed.withColumn("more", F.coalesce("more", F.lit(0)))
 
-    # The gap that the head leaves, and the one document that fills it best.
-    gaps = headed.groupBy("sources").agg((F.first("rest") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
-    untaken = headed.where("more = 0 AND size > 0").join(F.broadcast(gaps), "sources").where("abs(size - gap) < gap")
-    filler = untaken.groupBy("sources").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "h", "doc_id")).alias("f"))
-    filler = filler.select("sources", F.col("f.h").alias("fill_h"), F.col("f.doc_id").alias("fill_id"))
-    chosen = headed.join(F.broadcast(filler), "sources", "left")
-    repeats = F.when(F.col("size") == 0, 0).otherwise(F.col("passes") + F.col("more") + F.coalesce(((F.col("more") == 0) & (F.col("h") == F.col("fill_h")) & F.col("doc_id").eqNullSafe(F.col("fill_id"))).cast("int"), F.lit(0)))
-    repeats = F.least(repeats, F.lit(max_repeats)).cast("int")
-    return chosen.select("doc_id", "sources", "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"), repeats.alias("repeats"))
+def _cuts(sized: DataFrame, quotas: DataFrame) -> DataFrame:
+    """sources, cut (the cell of the order where the head ends), words before it; windows span at most 256 and 4,096 cells."""
+    cells = sized.groupBy("__sources", F.substring("__h", 1, 2).alias("hi"), F.substring("__h", 3, 3).alias("lo")).agg(F.sum("__size").alias("words"))
+    upto = lambda part, order: F.coalesce(F.sum("words").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    his = cells.groupBy("__sources", "hi").agg(F.sum("words").alias("words")).withColumn("before", upto(["__sources"], "hi"))
+    his = his.join(F.broadcast(quotas.select("__sources", "__rest")), "__sources").where("before < __rest AND before + words >= __rest").drop("words")
+    los = cells.join(F.broadcast(his), ["__sources", "hi"])  # at most one row per pattern
+    los = los.withColumn("before", F.col("before") + upto(["__sources", "hi"], "lo"))
+    return los.where("before < __rest AND before + words >= __rest").select("__sources", F.concat("hi", "lo").alias("__cut"), F.col("before").alias("__before"))
+
+
+def _headed(df: DataFrame, quotas: DataFrame, cuts: DataFrame) -> DataFrame:
+    """df with its quota and __more: 1 for the head of the order. Only documents of a cut cell, a millionth, are moved."""
+    placed = df.join(F.broadcast(quotas), "__sources").join(F.broadcast(cuts), "__sources", "left").withColumn("__cell", F.substring("__h", 1, 5))
+    at_cut = F.coalesce(F.col("__cell") == F.col("__cut"), F.lit(False))
+    whole = placed.where(~at_cut).withColumn("__more", F.coalesce((F.col("__cell") < F.col("__cut")).cast("int"), F.lit(0)))
+    used = F.col("__before") + F.sum("__size").over(Window.partitionBy("__sources").orderBy("__h", "__id").rowsBetween(Window.unboundedPreceding, 0))
+    edge = placed.where(at_cut).withColumn("__more", (used <= F.col("__rest")).cast("int"))
+    return whole.unionByName(edge).withColumn("__more", F.when(F.col("__rest") == 0, 0).otherwise(F.col("__more")))
+
+
+def _fillers(headed: DataFrame) -> DataFrame:
+    """sources, and the one document whose size is nearest to the words that the head leaves open."""
+    gaps = headed.groupBy("__sources").agg((F.first("__rest") - F.sum(F.col("__more") * F.col("__size"))).alias("gap"))
+    fits = headed.where("__more = 0 AND __size > 0").join(F.broadcast(gaps), "__sources").where("abs(__size - gap) < gap")
+    best = fits.groupBy("__sources").agg(F.min(F.struct(F.abs(F.col("__size") - F.col("gap")).alias("miss"), "__h", "__id")).alias("f"))
+    return best.select("__sources", F.col("f.__h").alias("__fill_h"), F.col("f.__id").alias("__fill_id"))
+
+
+def _repeated(headed: DataFrame, fillers: DataFrame, empty: Column, max_repeats: int) -> DataFrame:
+    """Adds __repeats."""
+    filled = ((F.col("__more") == 0) & (F.col("__h") == F.col("__fill_h")) & F.col("__id").eqNullSafe(F.col("__fill_id"))).cast("int")
+    times = F.least(F.col("__passes") + F.col("__more") + F.coalesce(filled, F.lit(0)), F.lit(max_repeats))
+    return headed.join(F.broadcast(fillers), "__sources", "left").withColumn("__repeats", F.when(empty, 0).otherwise(times).cast("int"))
+
+
+def _decide(docs: DataFrame, members: Column, id_col: str, text: str, weights: dict | None, seed: str, max_repeats: int):
+    """(sized documents, quotas, cuts, fillers); quotas is None for an empty table. All but the first have a row per pattern."""
+    sized = docs.select(F.col(id_col).alias("__id"), members.alias("__sources"), word_count(text).alias("__size"), _order(id_col, seed).alias("__h"))
+    sized = materialize(sized, "mix-sizes")
+    quotas = _quotas(sized, weights, max_repeats)
+    if quotas is None:
+        return sized, None, None, None
+    cuts = materialize(_cuts(sized, quotas), "mix-cuts")
+    return sized, quotas, cuts, materialize(_fillers(_headed(sized, quotas, cuts)), "mix-fillers")
+
+
+def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text: str = "text", weights: dict | None = None, seed: str = SEED, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """One row per document: doc_id, sources, size, source_size, target, taken (words), repeats.
+
+    ``members`` is an array of source names. source_size and target are those of
+    the first source of the array.
+    """
+    sized, quotas, cuts, fillers = _decide(docs, members, id_col, text, weights, seed, max_repeats)
+    names = (F.col("__id").alias("doc_id"), F.col("__sources").alias("sources"), F.col("__size").alias("size"))
+    if quotas is None:
+        return sized.select(*names, F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(0).alias("repeats"))
+    out = _repeated(_headed(sized, quotas, cuts), fillers, F.col("__size") == 0, max_repeats)
+    taken = (F.col("__size") * F.col("__repeats")).cast("long")
+    return out.select(*names, F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"), F.col("__repeats").alias("repeats"))
 
 
 def mix_sources(docs: DataFrame, source: str = "source", **options) -> DataFrame:
@@ -184,10 +212,13 @@ def mix_sources(docs: DataFrame, source: str = "source", **options) -> DataFrame
     return mix(docs, F.array(F.col(source).cast("string")), **options)
 
 
-def apply_mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken."""
-    plan = mix_sources(docs, source, id_col=id_col, **options).where("repeats > 0")
-    plan = materialize(plan.groupBy("doc_id", "size").agg(F.max("repeats").alias("__repeats")), "mix-plan").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__repeats")
-    own = docs.withColumn("__size0", word_count(options.get("text", "text")))
-    joined = own.join(plan, own[id_col].eqNullSafe(plan["__id"]) & (own["__size0"] == plan["__size"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(docs.columns)
+def apply_mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", text: str = "text", weights: dict | None = None, seed: str = SEED, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as it is taken; decided row by row, without moving them."""
+    members = F.array(F.col(source).cast("string"))
+    _, quotas, cuts, fillers = _decide(docs, members, id_col, text, weights, seed, max_repeats)
+    if quotas is None:
+        return docs.where(F.lit(False))
+    own = docs.withColumns({"__id": F.col(id_col), "__sources": members, "__size": word_count(text), "__h": _order(id_col, seed)})
+    wordless = ~F.coalesce(F.rlike(F.col(text), F.lit(WORD)), F.lit(False))
+    out = _repeated(_headed(own, quotas, cuts), fillers, wordless, max_repeats).where("__repeats > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(docs.columns)

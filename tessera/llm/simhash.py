@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERING, materialize
+from .common import LOWERING, materialize, split_by_keys
 
 SHINGLE = 4
 SEED = 42
@@ -288,4 +288,5 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shing
     prints = materialize(known.withColumn("node", F.xxhash64("sketch")), "sketches")
     distinct = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "sketches-distinct")
     gone = materialize(prints.join(_rooted(distinct, how), "node").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    return docs.join(gone, F.col(id_col).cast("long") == gone["__gone"], "left_anti")
+    maybe, stays = split_by_keys(docs, F.col(id_col).cast("long"), gone)
+    return stays.unionByName(maybe.join(gone, F.col(id_col).cast("long") == gone["__gone"], "left_anti"))
