@@ -369,11 +369,11 @@ QUESTION_SQL = "CASE WHEN t = '' THEN 'general' WHEN regexp_matches(t, '{}') AND
 
 
 @query(
-    f"SELECT conv_id, turn, {QUESTION_SQL} AS category FROM (SELECT conv_id, turn, regexp_replace(lower(trim([{', '.join(repr(x) for x in QUESTION_LEADS)}][turn % 8 + 1] || substr(coalesce(text, ''), 1, 60), ' ')), '\\s+', ' ', 'g') AS t FROM conversations)"
+    f"SELECT conv_id, turn, {QUESTION_SQL} AS category FROM (SELECT conv_id, turn, regexp_replace(lower(trim([{', '.join(repr(x) for x in QUESTION_LEADS)}][turn % 8 + 1] || coalesce(text, ''))), '\\s+', ' ', 'g') AS t FROM conversations)"
 )
 def classify_question(spark, sf):
     lead = F.element_at(F.array([F.lit(x) for x in QUESTION_LEADS]), (F.col("turn") % len(QUESTION_LEADS) + 1).cast("int"))
-    asked = read(spark, sf, "conversations").select("conv_id", "turn", F.concat(lead, F.substring(F.coalesce("text", F.lit("")), 1, 60)).alias("text"))
+    asked = read(spark, sf, "conversations").select("conv_id", "turn", F.concat(lead, F.coalesce("text", F.lit(""))).alias("text"))
     return asked.select("conv_id", "turn", text.classify_question("text").alias("category"))
 
 
@@ -649,15 +649,17 @@ def triples_as_of(spark, sf):
     return graph.triples(facts_of(spark, sf), rel="PLACED", as_of="1996-06-01 00:00:00").select("src", "rel", "dst")
 
 
-@query("SELECT DISTINCT src, rel, dst FROM supplies WHERE src IN ('s1', 's2', 's3')", ("supplies",))
+@query("SELECT DISTINCT src, rel, dst FROM supplies WHERE src IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0)", ("supplies",))
 def neighbors(spark, sf):
-    return graph.neighbors(supplies_of(spark, sf), spark.createDataFrame([("s1",), ("s2",), ("s3",)], "node string"))
+    """Of the suppliers in credit."""
+    nodes = read(spark, sf, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    return graph.neighbors(supplies_of(spark, sf), nodes)
 
 
-@query(r"SELECT query_id, name, hits, rank FROM (SELECT query_id, name, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, name) AS rank FROM (SELECT query_id, name, count(DISTINCT token) AS hits FROM (SELECT t.query_id, t.token, p.p_name AS name FROM (SELECT p_partkey AS query_id, unnest(string_split(lower(p_name), ' ')) AS token FROM part WHERE p_partkey < 20) t JOIN part p ON lower(p.p_name) = t.token OR (length(t.token) >= 5 AND contains(lower(p.p_name), t.token) AND NOT EXISTS (SELECT 1 FROM part x WHERE lower(x.p_name) = t.token))) GROUP BY query_id, name)) WHERE rank <= 10")
+@query(r"SELECT query_id, name, hits, rank FROM (SELECT query_id, name, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, name) AS rank FROM (SELECT query_id, name, count(DISTINCT token) AS hits FROM (SELECT t.query_id, t.token, p.p_name AS name FROM (SELECT p_partkey AS query_id, unnest(string_split(lower(p_name), ' ')) AS token FROM part WHERE p_partkey % 50 = 0) t JOIN part p ON lower(p.p_name) = t.token OR (length(t.token) >= 5 AND contains(lower(p.p_name), t.token) AND NOT EXISTS (SELECT 1 FROM part x WHERE lower(x.p_name) = t.token))) GROUP BY query_id, name)) WHERE rank <= 10")
 def graph_token_hits(spark, sf):
     part = read(spark, sf, "part")
-    tokens = part.where("p_partkey < 20").select(F.col("p_partkey").alias("query_id"), F.explode(F.split(F.lower("p_name"), " ")).alias("token")).distinct()
+    tokens = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.explode(F.split(F.lower("p_name"), " ")).alias("token")).distinct()
     return retrieve.graph_hits(part.select(F.col("p_name").alias("name")).distinct(), tokens).select("query_id", "name", "hits", "rank")
 
 
@@ -679,9 +681,11 @@ def graph_resurrection(spark, sf):
     return graph.resurrect(asked, nodes, edges, said).select("query_id", "name", F.round("score", 6).alias("score"), "rank")
 
 
-@query("SELECT src, rel, dst FROM supplies WHERE lower(dst) IN ('p1', 'p5', 'p9')", ("supplies",))
+@query("SELECT src, rel, dst FROM supplies WHERE lower(dst) IN (SELECT 'p' || p_partkey FROM part WHERE p_size = 1)", ("supplies",))
 def dangling_referrers(spark, sf):
-    return graph.referrers(supplies_of(spark, sf), spark.createDataFrame([("P1",), ("p5",), ("P9",)], "name string")).select("src", "rel", "dst")
+    """To the parts of the smallest size."""
+    names = read(spark, sf, "part").where("p_size = 1").select(F.concat(F.lit("P"), "p_partkey").alias("name"))
+    return graph.referrers(supplies_of(spark, sf), names).select("src", "rel", "dst")
 
 
 @query(
