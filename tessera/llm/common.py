@@ -18,7 +18,34 @@ LOWER = b"abcdefghijklmnopqrstuvwxyz"
 LOWERING = bytes.maketrans(UPPER, LOWER)
 
 
+#: Rows that are handed to Python at once: whole texts are long, and a worker keeps what its largest batch took.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of Python workers over whole texts; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the system; Spark reuses workers, and what they hold adds up."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

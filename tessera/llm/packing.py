@@ -20,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_right
 
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 
 BUDGET = 2048
 END_ID = 0
@@ -44,11 +45,9 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.ranks = None
+        self.path, self.whole, self.ranks = path, None, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         if ranks_path:
             import tiktoken
 
@@ -58,6 +57,10 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if self.ranks is None or any(s in text for s in self.special):
+            if self.whole is None:  # tens of MB that most tasks never need
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
         return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
@@ -87,6 +90,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", encoder:
                 ids = np.concatenate([encode(t), end]) if t else end
                 rows += [(doc, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cut(ids, budget))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        del encode
+        give_back()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return slim.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -35,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERING, materialize, split_by_keys
+from .common import LOWERING, give_back, materialize, split_by_keys
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 #: Sketches that one block holds, about; each enters as many ball points as a segment has bits.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 30_000
 ROUNDS = 60
 
 #: Bit i of byte value v.
@@ -223,7 +223,10 @@ def links(distinct: DataFrame, count: int, how: Segments = EXACT) -> DataFrame:
         lanes = nodes.view(np.uint64)[:, None] if how.lanes == 1 else np.frombuffer(b"".join(pdf["lanes"]), np.uint64).reshape(-1, how.lanes)
         keys, owner = ball_entries(how.value(lanes, block >> top), how.width, top, block & (1 << top) - 1)
         a, b = links_in_block(keys, owner, lanes, how.distance)
-        return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
+        out = pd.DataFrame({"a": nodes[a], "b": nodes[b]})
+        del keys, owner, lanes, nodes
+        give_back()
+        return out
 
     columns = ["node"] if how.lanes == 1 else ["node", "sketch"]
     entries = distinct.select(columns).mapInPandas(enter, "block long, nodes binary, lanes binary")

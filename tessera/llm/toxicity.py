@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERING, materialize
+from .common import LOWERING, give_back, materialize
 
 #: Documented bounds: labelled rows that are learned from, and terms the model keeps.
 SAMPLE_ROWS = 50_000
@@ -138,6 +138,7 @@ def _count(sample: DataFrame) -> DataFrame:
             if len(counts[0]) + len(counts[1]) > FLUSH:
                 yield rows()
         yield rows()
+        give_back()
 
     part = sample.where("part < 2").select("text", "label").mapInPandas(run, "kind int, term binary, clean long, toxic long")
     return part.groupBy("kind", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
