@@ -5,9 +5,14 @@ fingerprints. Each is cut into segments, and the small Hamming ball around each
 (radius 1: the segment and every value one bit off) is enumerated into a table keyed by
 ball point. Two fingerprints whose segments differ in at most two bits share a point and
 meet there; complete distances are then verified. For at most four differing bits two
-halves of 32 bits miss nothing, and at 32 bits chance meetings stay few at any size. For
-similarity over five-word shingles (``drop_near``) sketches of 256 bits are cut into ten
-segments of 24.
+halves of 32 bits miss nothing, and at 32 bits chance meetings stay few at any size.
+
+``drop_near`` is about similarity (Jaccard over sets of five-word shingles), which no
+distance of fingerprints decides. Documents that agree in a band of least hash values are
+candidates, and a link is made only where the shingle sets themselves are similar enough.
+Members of a band's group are first compared with its smallest one; then all pairs that
+are not yet in one component are. So a group of copies costs as many comparisons as it has
+members; many documents that meet but are not similar are compared in pairs.
 
 The table is dealt out by segment and its top bits: a fingerprint is sent to the blocks
 that its ball touches (one, and one per top bit), and the ball is enumerated there. A
@@ -104,10 +109,13 @@ class Segments(NamedTuple):
 
 #: Two halves of one fingerprint; at most four differing bits leave a half with at most two, so none is missed.
 EXACT = Segments(1, 32, 2, DISTANCE)
-#: For similarity 0.8 and more over five-word shingles: 256 bits, ten segments. A pair of similarity 0.8 differs in 39 bits
-#: on average and shares a ball point with probability 0.96, one of 0.9 in 27 bits and 0.9995.
-WIDE = Segments(4, 24, 10, 44)
 SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+#: Candidates of ``drop_near``: least values under 96 hash functions, in bands of four. A pair of similarity s agrees in a band
+#: with probability s^4, so one of 0.8 meets in none of 24 bands with probability 3.2e-6, one of 0.9 with 5e-12.
+BANDS, DEPTH = 24, 4
+#: Shingle sets and pairs that one task of the exact check holds, about.
+CELL_BYTES, CELL_PAIRS = 2 << 20, 200_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,9 +263,9 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
-def _rooted(distinct: DataFrame, how: Segments) -> DataFrame:
-    """node and component_id (the smallest id of the component) for a written table of node, least (smallest id) and sketch."""
-    found = components(links(distinct, distinct.count(), how)).withColumnRenamed("node", "__node")
+def _rooted(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and component_id (the smallest id of the component) for a written table of node and least (smallest id)."""
+    found = components(edges).withColumnRenamed("node", "__node")
     rooted = distinct.join(found, distinct["node"] == found["__node"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(firsts, "root").select("node", "component_id")
@@ -267,29 +275,121 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     prints = materialize(fingerprints(docs, id_col, text, shingle), "simhash-prints")
     distinct = materialize(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = prints.join(_rooted(distinct, EXACT), prints["fp"] == F.col("node"))
+    found = prints.join(_rooted(distinct, links(distinct, distinct.count())), prints["fp"] == F.col("node"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch(hashes: np.ndarray, lanes: int = WIDE.lanes) -> bytes:
-    """``lanes`` fingerprints side by side; each lane folds another mix of the same shingle hashes."""
-    out = []
-    for i in range(lanes):
-        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD if i else 1)
-        out.append(fold(mixed ^ (mixed >> np.uint64(33)) if i else mixed))
-    return np.array(out, np.uint64).tobytes()
+def _odd(count: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 63, count, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+MIXERS = _odd(BANDS * DEPTH)[:, None]
+
+
+def shingle_set(text: str | None, size: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(shingle_hashes((text or "").encode(), size))
+
+
+def set_node(shingles: np.ndarray) -> int:
+    """One number a shingle set, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """A key a band (its least values and its place); none for an empty set."""
+    if not len(shingles):
+        return []
+    least = np.full(len(MIXERS), np.iinfo(np.uint64).max)
+    for i in range(0, len(shingles), 1024):
+        mixed = shingles[i : i + 1024] * MIXERS
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xFF51AFD7ED558CCD)
+        least = np.minimum(least, mixed.min(1))
+    keys = [xxhash.xxh3_64_intdigest(least[i * DEPTH : (i + 1) * DEPTH].tobytes(), i) for i in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the Jaccard similarity of sets a[i] and b[i] (sorted, distinct) is at least ``similarity``."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    out = (sizes[a] == 0) & (sizes[b] == 0)
+    small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    at = np.flatnonzero((small > 0) & (small >= similarity * large))
+    at = at[np.argsort(a[at], kind="stable")]
+    for part in np.split(at, np.flatnonzero(np.diff(a[at])) + 1):
+        for i in range(0, len(part), 256):
+            rows = part[i : i + 256]
+            own, others = sets[a[rows[0]]], np.concatenate([sets[x] for x in b[rows].tolist()])
+            hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+            common = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(sizes[b[rows]])[:-1]])
+            out[rows] = common >= similarity * (len(own) + sizes[b[rows]] - common)
+    return out
+
+
+def _similar_links(pairs: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those (a, b) of pairs whose sets are similar enough. A set is sent once to each cell of a grid of tasks that needs it."""
+    pairs = materialize(pairs, "near-pairs")
+    side = F.lit(1 + int(max(size / CELL_BYTES, pairs.count() / CELL_PAIRS) ** 0.5))
+    celled = pairs.withColumn("cell", F.pmod("a", side) * side + F.pmod("b", side))
+    needed = celled.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        nodes = right["node"].to_numpy(np.int64)
+        held = [np.frombuffer(x, np.uint64) for x in right["shingles"]]
+        order = np.argsort(nodes)
+        a, b = (order[np.searchsorted(nodes, left[k].to_numpy(np.int64), sorter=order)] for k in "ab")
+        out = left.loc[similar(held, a, b, similarity), ["a", "b"]] if len(left) else left[["a", "b"]]
+        del held
+        give_back()
+        return out
 
+    found = celled.groupBy("cell").cogroup(needed.join(sets, "node").groupBy("at")).applyInPandas(check, "a long, b long")
+    return materialize(found, "near-links")
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, how: Segments = WIDE) -> DataFrame:
-    """One document of each near-duplicate group (the smallest id) with all its columns; rows with a null id stay."""
 
-    @F.pandas_udf("binary")
-    def draw(texts: pd.Series) -> pd.Series:
-        return pd.Series([sketch(shingle_hashes((t or "").encode(), shingle), how.lanes) for t in texts], dtype=object)
+def _similar_pairs(prints: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) links between nodes that give the components of similarity; prints: doc_id, node, bands; texts: doc_id, text."""
+    entries = prints.select("node", F.explode("bands").alias("key"))
+    hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
+    hubs = materialize(hubs, "near-hubs")
+    maybe, _ = split_by_keys(entries, F.col("key"), hubs.select(F.col("key").alias("__key")))
+    met = materialize(maybe.join(hubs, "key").select("key", "node", "hub").distinct(), "near-met")
+    nodes = met.select("node").distinct()
+    ids = materialize(prints.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("__id")).distinct(), "near-ids")
 
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), draw(F.col(text).cast("string")).alias("sketch"))
-    prints = materialize(known.withColumn("node", F.xxhash64("sketch")), "sketches")
-    distinct = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "sketches-distinct")
-    gone = materialize(prints.join(_rooted(distinct, how), "node").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
+    def draw(batches):
+        for pdf in batches:
+            drawn = [shingle_set(t, shingle) for t in pdf["text"]]
+            yield pd.DataFrame({"node": [set_node(x) for x in drawn], "shingles": [x.tobytes() for x in drawn]}).astype({"node": "int64"})
+
+    held, _ = split_by_keys(texts, F.col("doc_id"), ids)
+    drawn = held.select("text").mapInPandas(draw, "node long, shingles binary")
+    sets = materialize(drawn.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+    size = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    first = _similar_links(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), sets, size, similarity)
+    root = components(first).select(F.col("node").alias("__node"), "root")
+    labelled = met.join(root, met["node"] == root["__node"], "left").select("key", "node", "hub", F.coalesce("root", "node").alias("label"))
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    apart = materialize(labelled.join(open_, "key"), "near-apart")
+    x, y = apart.alias("x"), apart.alias("y")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") != F.col("x.hub")))
+    second = _similar_links(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets, size, similarity)
+    return first.unionByName(second)
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each near-duplicate group (the smallest id) with all its columns; rows with a null id stay."""
+
+    def draw(batches):
+        for pdf in batches:
+            drawn = [shingle_set(t, shingle) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [set_node(x) for x in drawn], "bands": [bands(x) for x in drawn]}).astype({"node": "int64"})
+
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    prints = materialize(texts.mapInPandas(draw, "doc_id long, node long, bands array<long>"), "near-prints")
+    distinct = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "near-distinct")
+    rooted = _rooted(distinct, _similar_pairs(prints, texts, shingle, similarity))
+    gone = materialize(prints.join(rooted, "node").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
     maybe, stays = split_by_keys(docs, F.col(id_col).cast("long"), gone)
     return stays.unionByName(maybe.join(gone, F.col(id_col).cast("long") == gone["__gone"], "left_anti"))

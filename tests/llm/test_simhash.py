@@ -111,3 +111,19 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, extra int")
     assert simhash.near_groups(empty).count() == 0
     assert simhash.drop_near(empty).count() == 0
+
+
+def halves(rnd, size, common):
+    """Two texts of ``size`` five-word shingles each, of which they share the first ``common``."""
+    words = lambda n: [f"h{rnd.getrandbits(60)}" for _ in range(n)]
+    same = words(common + 4)
+    return [" ".join(same + words(size - common)) for _ in range(2)]
+
+
+def test_documents_under_the_similarity_stay(spark):
+    rnd = random.Random(4)
+    texts = [t for size, common in ((85, 70), (70, 60)) for _ in range(60) for t in halves(rnd, size, common)]  # 0.70, 0.75
+    passage = " ".join(f"p{i}" for i in range(84))
+    texts += [passage + " " + " ".join(f"h{rnd.getrandbits(60)}" for _ in range(15)) for _ in range(80)]  # 80 of 110 shingles: 0.73
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near(df).collect()) == list(range(len(texts)))
