@@ -127,3 +127,33 @@ def test_documents_under_the_similarity_stay(spark):
     texts += [passage + " " + " ".join(f"h{rnd.getrandbits(60)}" for _ in range(15)) for _ in range(80)]  # 80 of 110 shingles: 0.73
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.drop_near(df).collect()) == list(range(len(texts)))
+
+
+def test_pairs_of_the_similarity_and_above_go(spark):
+    rnd = random.Random(6)
+    texts = [t for size, common, n in ((90, 80, 150), (100, 90, 100), (185, 170, 50)) for _ in range(n) for t in halves(rnd, size, common)]  # 0.80, 0.82, 0.85
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near(df).collect()) == list(range(0, len(texts), 2))
+
+
+def test_components_equal_brute_force(spark):
+    rnd = random.Random(7)
+    texts = ["", None, "a b", "A  b"]
+    for _ in range(12):
+        base = [f"h{rnd.getrandbits(60)}" for _ in range(90)]
+        for _ in range(9):  # about 0.8 to the base, less among themselves
+            copy = list(base)
+            for at in rnd.sample(range(90), rnd.randint(0, 3)):
+                copy[at] = f"h{rnd.getrandbits(60)}"
+            texts.append(" ".join(copy))
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    low = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= 0.8 * len(x | y) and low[i] != low[j]:
+                a, b = sorted((low[i], low[j]))
+                low = [a if v == b else v for v in low]
+    order = list(enumerate(texts))
+    rnd.shuffle(order)
+    df = spark.createDataFrame(order, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near(df).collect()} == set(low)
