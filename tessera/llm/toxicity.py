@@ -198,25 +198,31 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: F.Column, id_col: str
             (model.beginnings if r["kind"] else model.words)[bytes(r["term"])] = float(r["odds"])
     shared = spark.sparkContext.broadcast(model)
 
-    def best(batches):
+    def segments(batches):
         for pdf in batches:
             rows_ = []
             for t, y in zip(pdf["text"], pdf["label"], strict=True):
                 words = _words(t)
-                scores = [s for _, _, s in maximal_segments(word_scores(words, shared.value))]
-                rows_.append((int(y), len(words), sorted(scores, reverse=True)[:50]))
+                rows_.append((int(y), max(1, len(words)), [s for _, _, s in maximal_segments(word_scores(words, shared.value))]))
             yield pd.DataFrame(rows_, columns=["y", "n", "scores"])
 
-    held = sample.where("part = 2").select("text", "label").mapInPandas(best, "y int, n long, scores array<double>").collect()
-    if not held:
+    found = materialize(sample.where("part = 2").select("text", "label").mapInPandas(segments, "y int, n long, scores array<double>"), "toxicity-segments")
+    tops = found.select("y", "n", F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("top")).collect()
+    if not tops:
         return model
-    y = np.array([r["y"] for r in held], float)
-    n = np.array([max(1, r["n"]) for r in held], float)
-    top = np.array([max(r["scores"], default=0.0) for r in held])
+    y, n, top = (np.array([r[k] for r in tops], float) for k in ("y", "n", "top"))
     clean = (y == 0) & (n > 1)
     if clean.sum() >= 10:
         model.lam, model.k = _gumbel(top[clean], n[clean])
-    x = np.array([significance([(0, 0, s) for s in r["scores"]], max(1, r["n"]), model)[:2] for r in held])
+
+    def features(batches):
+        for pdf in batches:
+            sums = [significance([(0, 0, s) for s in scores], n_, model)[:2] for n_, scores in zip(pdf["n"], pdf["scores"], strict=True)]
+            yield pd.DataFrame({"y": pdf["y"], "best": [b for b, _ in sums], "total": [t for _, t in sums]}).astype({"best": float, "total": float})
+
+    held = found.mapInPandas(features, "y int, best double, total double").collect()
+    y = np.array([r["y"] for r in held], float)
+    x = np.array([(r["best"], r["total"]) for r in held])
     model.weights = _logistic(np.log1p(x), y)
     shared.unpersist()
     return model

@@ -82,6 +82,26 @@ def test_passages_are_found(spark):
     assert [(r.first_word, r.last_word, r.passage) for r in found] == [(100, 102, "vilest scummy filthy")]
 
 
+def test_calibration_sees_all_passages(spark):
+    docs, labels = toxic_corpus()
+    texts = {d: t for d, t, *_ in docs if d is not None}
+    truth = {d: y for d, y in labels if y in (0, 1) and d in texts}
+    bad = [d for d, y in truth.items() if y][::2]
+    d = spark.createDataFrame([(i, " ".join([texts[i] or ""] * (80 if i in bad else 1))) for i in truth], "doc_id long, text string")
+    lab = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    model = toxicity.train(d, lab, F.lit(True))
+    held = toxicity._sample(d, lab, "doc_id", "text", "toxic", F.lit(True), toxicity.SAMPLE_ROWS).where("part = 2").collect()
+    x, most = [], 0
+    for r in held:
+        words = toxicity._words(r.text)
+        best, total, many = toxicity.significance(toxicity.maximal_segments(toxicity.word_scores(words, model)), max(1, len(words)), model)
+        x.append((best, total))
+        most = max(most, many)
+    assert most > 50
+    want = toxicity._logistic(np.log1p(np.array(x)), np.array([r.label for r in held], float))
+    assert np.allclose(model.weights, want, rtol=1e-6)
+
+
 def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
