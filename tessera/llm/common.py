@@ -1,13 +1,14 @@
-"""Shared helpers: the durable folder, written intermediates, input tables."""
+"""Shared helpers: the durable folder, written intermediates, input tables, joins that stand hot keys."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where the session names no shared folder and runs on one machine, as in local tests.
 LOCAL_DIR = "file:///tmp/checkpoints/tessera"
 
 #: A word, and what stands between words, as in every contract of this package.
@@ -17,16 +18,15 @@ UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = b"abcdefghijklmnopqrstuvwxyz"
 LOWERING = bytes.maketrans(UPPER, LOWER)
 
+#: Texts that a Python worker turns into objects at once; Spark bounds a batch's bytes itself.
+TEXT_ROWS = 500
 
-#: Rows that are handed to Python at once: whole texts are long, and a worker keeps what its largest batch took.
-TEXT_ROWS = 1000
 
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory of Python workers over whole texts; a smaller setting of the session stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
-        spark.conf.set(name, str(TEXT_ROWS))
+def slices(batches: Iterable, rows: int = TEXT_ROWS) -> Iterator:
+    """Arrow batches cut into few rows, so that a worker never holds many texts as objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def give_back() -> None:
@@ -45,41 +45,84 @@ def give_back() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each extended until it clashes with no column (Spark compares without case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """A column by its literal name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_DIR).rstrip("/")
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = LOCAL_DIR
+    return named.rstrip("/")
+
+
+def _filesystem(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
     """A new path under the shared folder, removed when the JVM ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hadoop, fs = _filesystem(spark, path)
     fs.mkdirs(hadoop)
     fs.deleteOnExit(hadoop)
     return path
 
 
+#: Shuffles of a query that is written are of no use behind it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it back.
 
     Unlike a local checkpoint the result survives lost executors, and an
-    expensive or order-dependent stage is evaluated once.
+    expensive or order-dependent stage is evaluated once. The write's shuffle files
+    are removed behind it.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, tag)
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of materialized tables that nothing will read again."""
+    for t in tables:
+        hadoop, fs = _filesystem(t.sparkSession, t._written)
+        fs.delete(hadoop, True)
 
 
 def word_count(text: str) -> F.Column:
     """Number of words of a text column (null: 0), without Python."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(column(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 #: Bits of one bitmap row, and most bits of a filter: 2,048 rows, 8 MB.
@@ -92,16 +135,36 @@ def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFram
 
     keys has one column. A bitmap of their hashes, at most ``MOST_BITS`` whatever their
     number, is sent to all tasks; what it cannot rule out is left to an exact join. So
-    wide rows that no decision touches stay where they are.
+    wide rows that no decision touches stay where they are. Beyond some ten million keys
+    the bitmap fills and rules out less: results stay whole, but more rows are moved.
     """
     (name,) = keys.columns
+    spot, bucket, bitmap = unused([*df.columns, name], "__at", "__bucket", "__bits")
     count = keys.count()
     bits = min(MOST_BITS, max(1 << 16, 1 << (16 * count).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
-    at = place(F.col(name))
-    maps = keys.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
-    held = df.withColumn("__at", place(key)).join(F.broadcast(maps), F.bitmap_bucket_number("__at") == F.col("__bucket"), "left")
-    bit = F.bitmap_bit_position("__at")
-    byte = F.conv(F.hex(F.expr("substring(__bits, CAST(bitmap_bit_position(__at) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
-    return held.where(hit).select(df.columns), held.where(~hit).select(df.columns)
+    at = place(column(name))
+    maps = keys.groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bitmap))
+    held = df.withColumn(spot, place(key)).join(F.broadcast(maps), F.bitmap_bucket_number(spot) == F.col(bucket), "left")
+    byte = F.conv(F.hex(F.expr(f"substring({bitmap}, CAST(bitmap_bit_position({spot}) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.bitmap_bit_position(spot) % 8).cast("int")) == 1, F.lit(False))
+    columns = [column(c) for c in df.columns]
+    return held.where(hit).select(columns), held.where(~hit).select(columns)
+
+
+#: Most keys that are sent to all tasks by ``spread_join``.
+HOT = 1024
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined to right on keys, where right has a row a key and ``weight`` says how much of ``total`` is the key's.
+
+    Keys with more than a ``HOT``-th of the total, of which there cannot be more than
+    ``HOT``, are sent to all tasks, so their rows in left stay where they are; the others meet
+    by a shuffle, and none of them is hot. left is read twice: hand in a written table.
+    """
+    (mark,) = unused([*left.columns, *right.columns], "__hot")
+    hot = right.where(F.col(weight) * HOT > F.lit(total))
+    found = left.join(F.broadcast(hot.withColumn(mark, F.lit(True))), keys, how).where(F.col(mark)).drop(mark)
+    rest = left.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(right.where(F.col(weight) * HOT <= F.lit(total)), keys, how)
+    return found.unionByName(rest)

@@ -4,49 +4,60 @@ Fingerprints are computed in one pass over the texts. Search runs over distinct
 fingerprints. Each is cut into segments, and the small Hamming ball around each segment
 (radius 1: the segment and every value one bit off) is enumerated into a table keyed by
 ball point. Two fingerprints whose segments differ in at most two bits share a point and
-meet there; complete distances are then verified. For at most four differing bits two
-halves of 32 bits miss nothing, and at 32 bits chance meetings stay few at any size.
+meet there; complete distances are then verified.
+
+``near_groups`` links fingerprints of 64 bits at four or fewer differing bits: two halves
+of 32 bits miss nothing. Distance decides, so a block returns the components among its
+meetings as a forest (one link a fingerprint).
 
 ``drop_near`` is about similarity (Jaccard over sets of five-word shingles), which no
-distance of fingerprints decides. Documents that agree in a band of least hash values are
-candidates, and a link is made only where the shingle sets themselves are similar enough.
-Members of a band's group are first compared with its smallest one; then all pairs that
-are not yet in one component are. So a group of copies costs as many comparisons as it has
-members; many documents that meet but are not similar are compared in pairs.
+distance of fingerprints decides. Its sketches are wider SimHashes: a bit differs with
+probability acos(2s / (1 + s)) / pi, 0.1515 at similarity s = 0.8. The segments are as wide
+as the number of documents asks for (chance meetings a document stay few at any size), and
+as many as make a pair at the similarity meet but for a probability of ``MISS``; the
+complete distance rules out strangers, and only an exact Jaccard similarity of the shingle
+sets makes a link. At a ball point members are first compared with its smallest one;
+then those pairs are that are not yet in one component. So a group of copies costs as many
+comparisons as it has members; many documents that meet but are not similar are compared
+in pairs.
 
 The table is dealt out by segment and its top bits: a fingerprint is sent to the blocks
-that its ball touches (one, and one per top bit), and the ball is enumerated there. A
-block never lists the pairs of a group: in a run of equal points members are compared
-only with members that are not yet joined to them, and the links found are reduced to a
-forest (one link a fingerprint) before they leave the task. Links are joined to
-components by alternating large-star and small-star rounds, each written to the shared
-folder; no component is ever gathered in one place.
+that its ball touches (one, and one per top bit), and the ball is enumerated there. Links
+are joined to components by alternating large-star and small-star rounds, each written
+to the shared folder; no component is ever gathered in one place, and hubs are joined
+without moving their links.
 
 Defined cases: a null or empty text (or one of white space only) has fingerprint zero
 and links like any other; a text of fewer words than a shingle is one shingle; words
-are split at ASCII white space only and A-Z are lowered, nothing else; repeated rows
-are separate documents with one fingerprint; a row with a null id is a document that
-never names its component; an empty table gives an empty result; other columns are
-ignored by ``near_groups`` and kept by ``drop_near``.
+are split at ASCII white space only and A-Z are lowered, nothing else; very long texts
+are read whole, one at a time; repeated rows are separate documents with one fingerprint;
+a row with a null id is a document that never names its component; an empty table gives an
+empty result; other columns are ignored by ``near_groups`` and kept by ``drop_near``. There
+documents are told apart by id and text: of equal ids each text is decided by itself, of
+rows equal in both one stays, and rows with a null id stay.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERING, give_back, materialize, split_by_keys
+from .common import LOWERING, column, discard, give_back, materialize, slices, split_by_keys, spread_join, unused
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 #: Sketches that one block holds, about; each enters as many ball points as a segment has bits.
-BLOCK_ROWS = 30_000
+BLOCK_ROWS = 60_000
 ROUNDS = 60
 
 #: Bit i of byte value v.
@@ -68,38 +79,57 @@ def shingle_hashes(data: bytes, size: int = SHINGLE, seed: int = SEED) -> np.nda
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], "<u8")
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit of (hashes, lanes) is set, lane by lane from the lowest bit on; 4,096 hashes at a time."""
+    lanes = hashes.shape[1] * 8
+    at = np.arange(lanes) * 256
+    seen = np.zeros(lanes * 256, np.int64)
+    for i in range(0, len(hashes), 4096):
+        part = np.ascontiguousarray(hashes[i : i + 4096])
+        seen += np.bincount((part.view(np.uint8).reshape(len(part), lanes) + at).ravel(), minlength=lanes * 256)
+    return (seen.reshape(lanes, 256) @ BITS).ravel()
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of (hashes, lanes): a bit is set if more than half of the hashes set it."""
+    return np.packbits(2 * bit_counts(hashes) > len(hashes), bitorder="little").view("<u8")
+
+
 def fold(hashes: np.ndarray) -> int:
-    """The fingerprint: a bit is set if more than half of the hashes set it."""
-    n = len(hashes)
-    if not n:
-        return 0
-    lanes = hashes.view(np.uint8).reshape(n, 8)
-    counts = np.concatenate([np.bincount(lanes[:, i], minlength=256) @ BITS for i in range(8)])
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    """The fingerprint of 64 bits; zero without hashes."""
+    return int(majority(hashes[:, None])[0]) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long)."""
 
     def run(batches):
-        for pdf in batches:
-            fps = [0 if t is None else fold(shingle_hashes(t.encode(), shingle)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": np.array(fps, np.uint64).view(np.int64)})
+        for batch in slices(batches):
+            fps = [0 if t is None else fold(shingle_hashes(t.encode(), shingle)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInPandas(run, "doc_id long, fp long")
+    slim = docs.select(column(id_col).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
+    return slim.mapInArrow(run, "doc_id long, fp long")
 
 
 class Segments(NamedTuple):
-    """How sketches of ``lanes`` 64-bit words are cut and compared."""
+    """How fingerprints are cut and compared; of 64-bit words, ``lanes`` are needed."""
 
-    lanes: int
     width: int
     count: int
     distance: int
 
+    @property
+    def lanes(self) -> int:
+        return -(-self.width * self.count // 64)
+
+    @property
+    def kind(self) -> str:
+        """The smallest type that holds a segment."""
+        return "<u4" if self.width <= 32 else "<u8"
+
     def value(self, lanes: np.ndarray, segment: int) -> np.ndarray:
-        """The segment's bits of each sketch."""
+        """The segment's bits of each fingerprint."""
         word, shift = divmod(segment * self.width, 64)
         out = lanes[:, word] >> np.uint64(shift)
         if shift + self.width > 64:
@@ -108,14 +138,64 @@ class Segments(NamedTuple):
 
 
 #: Two halves of one fingerprint; at most four differing bits leave a half with at most two, so none is missed.
-EXACT = Segments(1, 32, 2, DISTANCE)
+EXACT = Segments(32, 2, DISTANCE)
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: Candidates of ``drop_near``: least values under 96 hash functions, in bands of four. A pair of similarity s agrees in a band
-#: with probability s^4, so one of 0.8 meets in none of 24 bands with probability 3.2e-6, one of 0.9 with 5e-12.
-BANDS, DEPTH = 24, 4
-#: Shingle sets and pairs that one task of the exact check holds, about.
-CELL_BYTES, CELL_PAIRS = 2 << 20, 200_000
+#: Greatest probability that two documents at the similarity never meet.
+MISS = 1e-4
+#: Segments are this many bits wider than the number of documents has, so that strangers meet a few times at any size.
+SPARE_BITS = 6
+#: Standard deviations over the mean distance at the similarity that are still compared.
+SLACK = 5.0
+#: Sketches a block of ``drop_near``.
+SIMILAR_BLOCK_ROWS = 150_000
+
+
+def differing(similarity: float) -> float:
+    """The probability that a bit differs."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def cut_off(bits: int, similarity: float) -> int:
+    """The greatest distance of ``bits`` bits that is not ruled out."""
+    p = differing(similarity)
+    return math.ceil(p * bits + SLACK * math.sqrt(p * (1 - p) * bits))
+
+
+@cache
+def segments_for(count: int, similarity: float = SIMILARITY, miss: float = MISS) -> Segments:
+    """The cut of sketches for ``count`` documents."""
+    p = differing(similarity)
+    width = max(16, max(count, 1).bit_length() + SPARE_BITS)
+    meet = sum(math.comb(width, i) * p**i * (1 - p) ** (width - i) for i in range(3))
+    pieces = max(1, math.ceil(math.log(miss) / math.log1p(-meet)))
+    return Segments(width, pieces, cut_off(-(-width * pieces // 64) * 64, similarity))
+
+
+def ball_entries(values: np.ndarray, width: int, top: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ball point, row) for those points of each value's radius-1 ball whose top bits are ``prefix``."""
+    low = width - top
+    own = np.flatnonzero((values >> np.uint64(low)) == prefix)
+    near = np.flatnonzero(np.bitwise_count((values >> np.uint64(low)) ^ np.uint64(prefix)) == 1)
+    flips = np.concatenate([[0], 1 << np.arange(low)]).astype(np.uint64)
+    points = (values[own][:, None] ^ flips).ravel()
+    crossing = (values[near] & np.uint64((1 << low) - 1)) | np.uint64(prefix << low)
+    return np.concatenate([points, crossing]), np.concatenate([np.repeat(own, low + 1), near])
+
+
+def runs(points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows by ball point, where a point's rows start, how many they are), for points with more than one row."""
+    bits = np.uint64(max(1, int(owner.max(initial=0)).bit_length()))
+    if len(points) and int(points.max()) >> (64 - int(bits)):
+        order = np.lexsort((owner, points))
+        points, owner = points[order], owner[order]
+    else:  # one sort of plain numbers is several times as fast
+        packed = np.sort((points << bits) | owner.astype(np.uint64))
+        points, owner = packed >> bits, (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, points[1:] != points[:-1]]) if len(points) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(points)])
+    keep = sizes > 1
+    return owner, starts[keep], sizes[keep]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,155 +215,158 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def _near(lanes: np.ndarray, a, b, distance: int) -> np.ndarray:
-    return np.bitwise_count(lanes[a] ^ lanes[b]).sum(-1, dtype=np.int64) <= distance
+def near(lanes: np.ndarray, a, b, distance: int, step: int = 500_000) -> np.ndarray:
+    """Whether the complete fingerprints of rows a[i] and b[i] are near."""
+    out = np.empty(len(a), bool)
+    for i in range(0, len(a), step):
+        out[i : i + step] = np.bitwise_count(lanes[a[i : i + step]] ^ lanes[b[i : i + step]]).sum(-1, dtype=np.int64) <= distance
+    return out
 
 
-def _run_links(lanes: np.ndarray, members: np.ndarray, distance: int) -> tuple[list, list]:
-    """Links that join a large run's components: each member is compared only with members that are not yet joined to it."""
-    comp = np.arange(len(members))
+def large_run_links(lanes: np.ndarray, members: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join a run's components. A member is compared with all those not joined to it; the largest component's own are not."""
+    comp, done = np.arange(len(members)), np.zeros(len(members), bool)
     a, b = [], []
-    for i in range(len(members) - 1):
-        rest = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-        if not len(rest):
-            if (comp == comp[i]).all():
-                break
-            continue
-        for j in rest[_near(lanes, members[i], members[rest], distance)].tolist():
-            if comp[j] != comp[i]:
-                a.append(members[i])
-                b.append(members[j])
-                comp[comp == comp[j]] = comp[i]
-    return a, b
-
-
-def links_in_block(keys: np.ndarray, owner: np.ndarray, lanes: np.ndarray, distance: int, small: int = 32, hold: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Forest of the verified links among entries with equal keys, as rows of ``lanes``."""
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, len(keys)])
+    at = 0
+    while True:
+        done[at] = True
+        others = np.flatnonzero(comp != comp[at])
+        hit = others[near(lanes, np.full(len(others), members[at]), members[others], distance)]
+        if len(hit):
+            comps, first = np.unique(comp[hit], return_index=True)
+            a.append(np.full(len(first), members[at]))
+            b.append(members[hit[first]])
+            comp[np.isin(comp, comps)] = comp[at]
+        sizes = np.bincount(comp, minlength=len(members))
+        open_ = np.flatnonzero(~done & (comp != sizes.argmax()))  # pairs with the largest component are seen from the other side
+        if not len(open_):
+            none = np.empty(0, np.int64)
+            return np.concatenate([none, *a]), np.concatenate([none, *b])
+        at = open_[sizes[comp[open_]].argmin()] if len(open_) < 1000 else open_[0]
+
+
+def pairs_at(owner: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs ``step`` apart in each run."""
+    some = sizes > step
+    left = np.repeat(starts[some], sizes[some] - step) + np.arange((sizes[some] - step).sum()) - np.repeat(np.cumsum(sizes[some] - step) - (sizes[some] - step), sizes[some] - step)
+    return owner[left], owner[left + step]
+
+
+def links_in_block(points: np.ndarray, owner: np.ndarray, lanes: np.ndarray, distance: int, small: int = 32, hold: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the verified links among entries with equal points, as rows of ``lanes``."""
+    owner, starts, sizes = runs(points, owner)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
     def hold_on(a, b):
         nonlocal found, held
-        found.append((np.asarray(a), np.asarray(b)))
+        found.append((a, b))
         held += len(a)
         if held > hold:
             found, held = [forest(*map(np.concatenate, zip(*found, strict=True)))], 0
 
-    for start, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-        a, b = _run_links(lanes, np.unique(owner[start : start + size]), distance)
-        if a:
-            hold_on(a, b)
-    little = (sizes > 1) & (sizes <= small)
-    left = np.zeros(len(keys), np.int64)
-    for start, size in zip(starts[little], sizes[little], strict=True) if little.sum() < 64 else ():
-        left[start : start + size] = np.arange(size - 1, -1, -1)
-    if little.sum() >= 64:
-        ends = np.repeat(np.where(little, starts + sizes, 0), sizes)
-        left = np.maximum(ends - np.arange(len(keys)) - 1, 0)
-    at, step = np.flatnonzero(left > 0), 1
-    while len(at):
-        a, b = owner[at], owner[at + step]
-        near = _near(lanes, a, b, distance) & (a != b)
-        if near.any():
-            hold_on(a[near], b[near])
-        step += 1
-        at = at[left[at] >= step]
-    if not found:
+    large = sizes > small
+    for start, size in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
+        hold_on(*large_run_links(lanes, np.unique(owner[start : start + size]), distance))
+    for step in range(1, int(sizes[~large].max(initial=0))):
+        a, b = pairs_at(owner, starts[~large], sizes[~large], step)
+        hit = (a != b) & near(lanes, a, b, distance)
+        hold_on(a[hit], b[hit])
+    if not held and not any(len(a) for a, _ in found):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return forest(*map(np.concatenate, zip(*found, strict=True)))
 
 
-def ball_entries(values: np.ndarray, width: int, top: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ball point, row) for those points of each value's radius-1 ball whose top bits are ``prefix``."""
-    low = width - top
-    own = np.flatnonzero((values >> np.uint64(low)) == prefix)
-    near = np.flatnonzero(np.bitwise_count((values >> np.uint64(low)) ^ np.uint64(prefix)) == 1)
-    flips = np.concatenate([[0], 1 << np.arange(low)]).astype(np.uint64)
-    points = (values[own][:, None] ^ flips).ravel()
-    crossing = (values[near] & np.uint64((1 << low) - 1)) | np.uint64(prefix << low)
-    return np.concatenate([points, crossing]), np.concatenate([np.repeat(own, low + 1), near])
-
-
-def links(distinct: DataFrame, count: int, how: Segments = EXACT) -> DataFrame:
-    """(a, b) links between nodes, a forest by block. distinct: node, and sketch (bytes) if it has more than one lane."""
-    top = max(0, (max(count, 1) // BLOCK_ROWS).bit_length())
-    blocks = how.count << top
+def _blocks(nodes: DataFrame, count: int, how: Segments, payload: list[str], schema: str, block_rows: int):
+    """(entries by block, number of top bits). A block's row holds, for part of the nodes, node ids, fingerprints and more as bytes."""
+    top = min(how.width - 2, max(0, (max(count, 1) // block_rows).bit_length()))
 
     def enter(batches):
-        for pdf in batches:
-            nodes = pdf["node"].to_numpy(np.int64)
-            lanes = nodes.view(np.uint64)[:, None] if how.lanes == 1 else np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(-1, how.lanes)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            lanes = ids.view(np.uint64)[:, None] if "sketch" not in payload else np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, how.lanes)
+            more = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in payload if c != "sketch"]
             rows = []
             for s in range(how.count):
-                prefix = (how.value(lanes, s) >> np.uint64(how.width - top)).astype(np.int64)
-                for p in np.unique(np.concatenate([prefix ^ f for f in (0, *(1 << i for i in range(top)))])).tolist() if len(nodes) else ():
+                value = how.value(lanes, s) if len(ids) else np.empty(0, np.uint64)
+                prefix = (value >> np.uint64(how.width - top)).astype(np.int64)
+                for p in np.unique(np.concatenate([prefix ^ f for f in (0, *(1 << i for i in range(top)))])).tolist() if len(ids) else ():
                     at = np.bitwise_count(prefix ^ p) <= 1
-                    rows.append(((s << top) | p, nodes[at].tobytes(), lanes[at].tobytes() if how.lanes > 1 else b""))
-            yield pd.DataFrame(rows, columns=["block", "nodes", "lanes"])
+                    rows.append(((s << top) | p, ids[at].tobytes(), value[at].astype(how.kind).tobytes() if "sketch" in payload else b"", lanes[at, :CHECK].tobytes() if "sketch" in payload else b"", *(m[at].tobytes() for m in more)))
+            names = ["block", "nodes", "values", "lanes", *(c for c in payload if c != "sketch")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(zip(*rows, strict=True) if rows else [[]] * len(names))], names)
+
+    entries = nodes.select("node", *payload).mapInArrow(enter, f"block long, nodes binary, values binary, lanes binary{schema}")
+    return entries.repartition(how.count << top, "block").groupBy("block"), top
+
+
+#: Words of a sketch that travel with a block's entries: 128 bits rule out strangers; what is left is compared whole.
+CHECK = 2
+
+
+def links(distinct: DataFrame, count: int, how: Segments = EXACT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b) links between fingerprints (``node``, as signed longs), a forest by block."""
+    blocks, top = _blocks(distinct, count, how, [], "", block_rows)
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["block"].iloc[0])
         nodes = np.frombuffer(b"".join(pdf["nodes"]), np.int64)
-        lanes = nodes.view(np.uint64)[:, None] if how.lanes == 1 else np.frombuffer(b"".join(pdf["lanes"]), np.uint64).reshape(-1, how.lanes)
-        keys, owner = ball_entries(how.value(lanes, block >> top), how.width, top, block & (1 << top) - 1)
-        a, b = links_in_block(keys, owner, lanes, how.distance)
+        lanes = nodes.view(np.uint64)[:, None]
+        a, b = links_in_block(*ball_entries(how.value(lanes, block >> top), how.width, top, block & (1 << top) - 1), lanes, how.distance)
         out = pd.DataFrame({"a": nodes[a], "b": nodes[b]})
-        del keys, owner, lanes, nodes
+        del lanes, nodes
         give_back()
         return out
 
-    columns = ["node"] if how.lanes == 1 else ["node", "sketch"]
-    entries = distinct.select(columns).mapInPandas(enter, "block long, nodes binary, lanes binary")
-    return entries.repartition(blocks, "block").groupBy("block").applyInPandas(verify, "a long, b long")
+    return blocks.applyInPandas(verify, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component, for nodes with a link. Alternating stars until nothing changes."""
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, total: int, large: bool) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         around = both if large else both.where("b < a")
-        least = around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        joined = around.join(least, "a")
+        least = around.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+        joined = spread_join(around, least, ["a"], "n", 2 * total)
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return moved.where("a <> b").distinct()
 
     pairs = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "star-0")
-    mark = None
+    total, mark = pairs.count(), None
     for i in range(1, ROUNDS + 1):
-        pairs = materialize(star(star(pairs, True), False), f"star-{i}")
+        outer = materialize(star(pairs, total, True), f"star-{i}-large")
+        inner = materialize(star(outer, outer.count(), False), f"star-{i}")
+        discard(pairs, outer)
+        pairs = inner
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = now
+        total, mark = now[0], now
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
 def _rooted(distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and component_id (the smallest id of the component) for a written table of node and least (smallest id)."""
+    """node and component_id (the least of the component's ``least``) for a written table of node, least and n (documents)."""
     found = components(edges).withColumnRenamed("node", "__node")
-    rooted = distinct.join(found, distinct["node"] == found["__node"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(firsts, "root").select("node", "component_id")
+    rooted = materialize(distinct.join(found, distinct["node"] == found["__node"], "left").select("node", "n", "least", F.coalesce("root", "node").alias("root")), "near-rooted")
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("__n"))
+    return spread_join(rooted.drop("least"), firsts, ["root"], "__n", rooted.count()).select("node", "n", "component_id")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
-    prints = materialize(fingerprints(docs, id_col, text, shingle), "simhash-prints")
-    distinct = materialize(prints.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = prints.join(_rooted(distinct, links(distinct, distinct.count())), prints["fp"] == F.col("node"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = materialize(fingerprints(docs, id_col, text, shingle).withColumnRenamed("fp", "node"), "simhash-prints")
+    distinct = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    rooted = materialize(_rooted(distinct, links(distinct, distinct.count())), "simhash-rooted")
+    found = spread_join(prints, rooted, ["node"], "n", prints.count())
+    return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _odd(count: int) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 1 << 63, count, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+# --- similarity -----------------------------------------------------------------
 
-
-MIXERS = _odd(BANDS * DEPTH)[:, None]
+#: Shingle sets and pairs that one task of the exact check holds, about.
+CELL_BYTES, CELL_PAIRS = 2 << 20, 200_000
 
 
 def shingle_set(text: str | None, size: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -296,18 +379,20 @@ def set_node(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def bands(shingles: np.ndarray) -> list[int]:
-    """A key a band (its least values and its place); none for an empty set."""
+@cache
+def _mixers(lanes: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 63, lanes, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def sketch(shingles: np.ndarray, lanes: int) -> np.ndarray:
+    """SimHash of a shingle set over ``lanes`` words; zeros for an empty set."""
     if not len(shingles):
-        return []
-    least = np.full(len(MIXERS), np.iinfo(np.uint64).max)
-    for i in range(0, len(shingles), 1024):
-        mixed = shingles[i : i + 1024] * MIXERS
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xFF51AFD7ED558CCD)
-        least = np.minimum(least, mixed.min(1))
-    keys = [xxhash.xxh3_64_intdigest(least[i * DEPTH : (i + 1) * DEPTH].tobytes(), i) for i in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+        return np.zeros(lanes, np.uint64)
+    mixed = shingles[:, None] * _mixers(lanes)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xFF51AFD7ED558CCD)
+    mixed ^= mixed >> np.uint64(29)
+    return majority(mixed)
 
 
 def similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -327,9 +412,8 @@ def similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: fl
     return out
 
 
-def _similar_links(pairs: DataFrame, sets: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those (a, b) of pairs whose sets are similar enough. A set is sent once to each cell of a grid of tasks that needs it."""
-    pairs = materialize(pairs, "near-pairs")
+def _similar_links(pairs: DataFrame, sets: DataFrame, size: int, how: Segments, similarity: float) -> DataFrame:
+    """Those (a, b) of written pairs whose complete sketches are near and whose sets are similar enough. A set is sent once to each cell of a grid of tasks that needs it."""
     side = F.lit(1 + int(max(size / CELL_BYTES, pairs.count() / CELL_PAIRS) ** 0.5))
     celled = pairs.withColumn("cell", F.pmod("a", side) * side + F.pmod("b", side))
     needed = celled.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -337,10 +421,13 @@ def _similar_links(pairs: DataFrame, sets: DataFrame, size: int, similarity: flo
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         nodes = right["node"].to_numpy(np.int64)
         held = [np.frombuffer(x, np.uint64) for x in right["shingles"]]
+        sketches = np.frombuffer(b"".join(right["sketch"]), np.uint64).reshape(-1, how.lanes)
         order = np.argsort(nodes)
         a, b = (order[np.searchsorted(nodes, left[k].to_numpy(np.int64), sorter=order)] for k in "ab")
-        out = left.loc[similar(held, a, b, similarity), ["a", "b"]] if len(left) else left[["a", "b"]]
-        del held
+        close = near(sketches, a, b, how.distance)
+        close[close] = similar(held, a[close], b[close], similarity)
+        out = left.loc[close, ["a", "b"]]
+        del held, sketches
         give_back()
         return out
 
@@ -348,48 +435,147 @@ def _similar_links(pairs: DataFrame, sets: DataFrame, size: int, similarity: flo
     return materialize(found, "near-links")
 
 
-def _similar_pairs(prints: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) links between nodes that give the components of similarity; prints: doc_id, node, bands; texts: doc_id, text."""
-    entries = prints.select("node", F.explode("bands").alias("key"))
-    hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    hubs = materialize(hubs, "near-hubs")
-    maybe, _ = split_by_keys(entries, F.col("key"), hubs.select(F.col("key").alias("__key")))
-    met = materialize(maybe.join(hubs, "key").select("key", "node", "hub").distinct(), "near-met")
-    nodes = met.select("node").distinct()
-    ids = materialize(prints.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("__id")).distinct(), "near-ids")
+def hub_pairs(owner: np.ndarray, starts: np.ndarray, sizes: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each run's smallest node with each other member, every pair once."""
+    where = np.repeat(np.arange(len(starts)), sizes)
+    rows = owner[np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+    rank = np.argsort(np.argsort(nodes))
+    low = np.minimum.reduceat(rank[rows], np.cumsum(sizes) - sizes) if len(rows) else np.empty(0, np.int64)
+    hub = np.argsort(nodes)[low][where] if len(rows) else rows
+    pairs = np.unique(hub[rows != hub] * len(nodes) + rows[rows != hub])
+    return pairs // max(1, len(nodes)), pairs % max(1, len(nodes))
+
+
+def open_pairs(owner: np.ndarray, starts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, small: int = 32) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each run's members with different labels, in parts; members of a large run's greatest label are met from the other side."""
+    if not len(starts):
+        return []
+    where = np.repeat(np.arange(len(starts)), sizes)
+    rows = owner[np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+    at = np.cumsum(sizes) - sizes
+    mixed = np.minimum.reduceat(labels[rows], at) < np.maximum.reduceat(labels[rows], at)
+    rows, sizes = rows[mixed[where]], sizes[mixed]
+    starts = np.cumsum(sizes) - sizes
+    out = []
+    for start, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
+        members = np.unique(rows[start : start + size])
+        own, count = np.unique(labels[members], return_counts=True)
+        for x in members[labels[members] != own[count.argmax()]].tolist():
+            others = members[labels[members] != labels[x]]
+            out.append((np.full(len(others), x), others))
+    little = sizes <= small
+    for step in range(1, int(sizes[little].max(initial=0))):
+        a, b = pairs_at(rows, starts[little], sizes[little], step)
+        differ = labels[a] != labels[b]
+        out.append((a[differ], b[differ]))
+    return out
+
+
+def _meetings(nodes: DataFrame, count: int, how: Segments, similarity: float, block_rows: int) -> DataFrame:
+    """(a, b), a < b: candidate pairs; with a label column all that meet and have different ones, else each point's smallest node with the others."""
+    labelled = "label" in nodes.columns
+    blocks, top = _blocks(nodes, count, how, ["sketch", "label"] if labelled else ["sketch"], ", label binary" if labelled else "", block_rows)
+    check = min(CHECK, how.lanes)
+    most = cut_off(64 * check, similarity)
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["block"].iloc[0])
+        ids = np.frombuffer(b"".join(pdf["nodes"]), np.int64)
+        label = np.frombuffer(b"".join(pdf["label"]), np.int64) if labelled else ids
+        values = np.frombuffer(b"".join(pdf["values"]), how.kind).astype(np.uint64)
+        lanes = np.frombuffer(b"".join(pdf["lanes"]), np.uint64).reshape(-1, check)
+        owner, starts, sizes = runs(*ball_entries(values, how.width, top, block & (1 << top) - 1))
+        found = [np.empty(0, np.int64)]
+        for a, b in open_pairs(owner, starts, sizes, label) if labelled else [hub_pairs(owner, starts, sizes, ids)]:
+            hit = near(lanes, a, b, most)
+            a, b = np.minimum(a[hit], b[hit]), np.maximum(a[hit], b[hit])
+            found.append(a * len(ids) + b)
+        pairs = np.unique(np.concatenate(found))
+        a, b = ids[pairs // max(1, len(ids))], ids[pairs % max(1, len(ids))]
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        del owner, values, lanes, found
+        give_back()
+        return out
+
+    return blocks.applyInPandas(verify, "a long, b long").distinct()
+
+
+def _similar_pairs(prints: DataFrame, texts: DataFrame, shingle: int, similarity: float, how: Segments, block_rows: int) -> DataFrame:
+    """(a, b) links between nodes that give the components of similarity; prints: key, node, sketch; texts: key, text."""
+    nodes = materialize(prints.groupBy("node").agg(F.first("sketch").alias("sketch")), "near-nodes")
+    count = nodes.count()
+    first = materialize(_meetings(nodes, count, how, similarity, block_rows), "near-pairs")
+    sets, size = _sets(prints, texts, first, shingle, how, "near-sets")
+    some = _similar_links(first, sets, size, how, similarity)
+    root = components(some).select(F.col("node").alias("__node"), "root")
+    labelled = materialize(nodes.join(root, nodes["node"] == root["__node"], "left").select("node", "sketch", F.coalesce("root", "node").alias("label")), "near-labelled")
+    second = _meetings(labelled, count, how, similarity, block_rows)
+    rest = materialize(second.join(first, ["a", "b"], "left_anti"), "near-rest")
+    discard(sets, labelled, nodes)
+    sets, size = _sets(prints, texts, rest, shingle, how, "near-more-sets")
+    found = some.unionByName(_similar_links(rest, sets, size, how, similarity))
+    discard(sets, first, rest)
+    return found
+
+
+def _sets(prints: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int, how: Segments, tag: str) -> tuple[DataFrame, int]:
+    """(node, sketch, shingles) of the nodes in pairs, written, and their bytes. Only their texts are read into Python again."""
 
     def draw(batches):
-        for pdf in batches:
-            drawn = [shingle_set(t, shingle) for t in pdf["text"]]
-            yield pd.DataFrame({"node": [set_node(x) for x in drawn], "shingles": [x.tobytes() for x in drawn]}).astype({"node": "int64"})
-
-    held, _ = split_by_keys(texts, F.col("doc_id"), ids)
-    drawn = held.select("text").mapInPandas(draw, "node long, shingles binary")
-    sets = materialize(drawn.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
-    size = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
-    first = _similar_links(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), sets, size, similarity)
-    root = components(first).select(F.col("node").alias("__node"), "root")
-    labelled = met.join(root, met["node"] == root["__node"], "left").select("key", "node", "hub", F.coalesce("root", "node").alias("label"))
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    apart = materialize(labelled.join(open_, "key"), "near-apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") != F.col("x.hub")))
-    second = _similar_links(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets, size, similarity)
-    return first.unionByName(second)
-
-
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each near-duplicate group (the smallest id) with all its columns; rows with a null id stay."""
+        for batch in slices(batches):
+            drawn = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
+            columns = [[set_node(x) for x in drawn], [sketch(x, how.lanes).tobytes() for x in drawn], [x.tobytes() for x in drawn]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "sketch", "shingles"])
+        give_back()
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keys = materialize(prints.groupBy("node").agg(F.min("key").alias("key")).join(wanted, "node", "left_semi").select(F.col("key").alias("__key")), f"{tag}-keys")
+    held, _ = split_by_keys(texts, F.col("key"), keys)
+    drawn = held.join(keys, held["key"] == keys["__key"], "left_semi").select("text").mapInArrow(draw, "node long, sketch binary, shingles binary")
+    sets = materialize(drawn.dropDuplicates(["node"]), tag)
+    discard(keys)
+    return sets, sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+
+
+def _key(id_col: str, text: str) -> Column:
+    """Tells documents apart by id and text; null for a null id."""
+    return F.concat(column(id_col).cast("long").cast("string"), F.lit(":"), F.md5(F.coalesce(column(text).cast("string"), F.lit(""))))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, block_rows: int = SIMILAR_BLOCK_ROWS) -> DataFrame:
+    """One document of each near-duplicate group (the smallest id) with all its columns."""
+    how = segments_for(docs.count(), similarity)
 
     def draw(batches):
-        for pdf in batches:
-            drawn = [shingle_set(t, shingle) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [set_node(x) for x in drawn], "bands": [bands(x) for x in drawn]}).astype({"node": "int64"})
-
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prints = materialize(texts.mapInPandas(draw, "doc_id long, node long, bands array<long>"), "near-prints")
-    distinct = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "near-distinct")
-    rooted = _rooted(distinct, _similar_pairs(prints, texts, shingle, similarity))
-    gone = materialize(prints.join(rooted, "node").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    maybe, stays = split_by_keys(docs, F.col(id_col).cast("long"), gone)
-    return stays.unionByName(maybe.join(gone, F.col(id_col).cast("long") == gone["__gone"], "left_anti"))
+        for batch in slices(batches):
+            texts_ = batch.column(1).to_pylist()
+            drawn = [shingle_set(t, shingle) for t in texts_]
+            ids = batch.column(0)
+            keys = [f"{d}:{hashlib.md5((t or '').encode()).hexdigest()}" for d, t in zip(ids.to_pylist(), texts_, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(keys, pa.string()), pa.array([set_node(x) for x in drawn], pa.int64()), pa.array([sketch(x, how.lanes).tobytes() for x in drawn], pa.binary())],
+                ["doc_id", "key", "node", "sketch"],
+            )
+        give_back()
+
+    slim = docs.select(column(id_col).cast("long").alias("doc_id"), column(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
+    prints = materialize(slim.mapInArrow(draw, "doc_id long, key string, node long, sketch binary"), "near-prints")
+    texts = slim.select(_key("doc_id", "text").alias("key"), "text")
+    rank = F.struct("doc_id", "key")
+    distinct = materialize(prints.groupBy("node").agg(F.min(rank).alias("least"), F.count("*").alias("n")), "near-distinct")
+    rooted = materialize(_rooted(distinct, _similar_pairs(prints, texts, shingle, similarity, how, block_rows)), "near-roots")
+    total = prints.count()
+    gone = spread_join(prints.select("node", "key"), rooted, ["node"], "n", total).where(F.col("key") != F.col("component_id.key")).select(F.col("key").alias("__gone")).distinct()
+    gone = materialize(gone, "near-gone")
+    (key,) = unused(docs.columns, "__key")
+    maybe, stays = split_by_keys(docs, _key(id_col, text), gone)
+    columns = [column(c) for c in docs.columns]
+    left = maybe.withColumn(key, _key(id_col, text)).join(gone, F.col(key) == gone["__gone"], "left_anti").select(columns)
+    kept = stays.unionByName(left)
+    twice = materialize(prints.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__twice")), "near-twice")
+    if twice.isEmpty():
+        return kept
+    maybe, once = split_by_keys(kept, _key(id_col, text), twice)
+    keyed = maybe.withColumn(key, _key(id_col, text))
+    again = keyed.join(twice, F.col(key) == twice["__twice"], "left_semi").dropDuplicates([key])
+    return once.unionByName(keyed.join(twice, F.col(key) == twice["__twice"], "left_anti").select(columns)).unionByName(again.select(columns))

@@ -157,3 +157,59 @@ def test_components_equal_brute_force(spark):
     rnd.shuffle(order)
     df = spark.createDataFrame(order, "doc_id long, text string")
     assert {r.doc_id for r in simhash.drop_near(df).collect()} == set(low)
+
+
+def test_large_ids_beside_nulls_stay_whole(spark):
+    big = (1 << 60) + 1
+    rows = [(big, "a b c d e"), (None, "x"), (big + 2, "a b c d e"), (big + 4, "z y x w v u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.component_id) for r in simhash.near_groups(df).collect()}
+    assert got == {(big, big), (None, None), (big + 2, big), (big + 4, big + 4)}
+    assert {r.doc_id for r in simhash.drop_near(df).collect()} == {big, None, big + 4}
+
+
+def test_repeated_ids_are_told_apart_by_text(spark):
+    rnd = random.Random(11)
+    base = [f"h{rnd.getrandbits(60)}" for _ in range(120)]
+    a, near_a, other = " ".join(base), " ".join([*base[:119], "changed"]), " ".join(f"h{rnd.getrandbits(60)}" for _ in range(80))
+    df = spark.createDataFrame([(3, a), (5, near_a), (5, other), (5, other)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.drop_near(df).collect()) == sorted([(3, a), (5, other)])
+    df = spark.createDataFrame([(5, a), (5, near_a)], "doc_id long, text string")
+    assert simhash.drop_near(df).count() == 1
+
+
+def test_large_runs_equal_brute_force():
+    rnd = np.random.default_rng(5)
+    for _ in range(20):
+        centres = rnd.integers(0, 1 << 63, 6, dtype=np.uint64)
+        lanes = centres[rnd.integers(0, 6, 120)][:, None]
+        for _ in range(3):
+            lanes ^= np.where(rnd.random((120, 1)) < 0.6, np.uint64(1) << rnd.integers(0, 12, (120, 1), dtype=np.uint64), np.uint64(0))
+        low = np.arange(120)
+        for i in range(120):
+            for j in np.flatnonzero(np.bitwise_count(lanes[:, 0] ^ lanes[i, 0]) <= 2):
+                low[low == max(low[i], low[j])] = min(low[i], low[j])
+        a, b = simhash.forest(*simhash.large_run_links(lanes, np.arange(120), 2))
+        got = np.arange(120)
+        got[a] = b
+        assert (got == low).all()
+
+
+def test_open_and_hub_pairs_equal_brute_force():
+    rnd = np.random.default_rng(6)
+    points, owner = rnd.integers(0, 40, 900, dtype=np.uint64), rnd.integers(0, 300, 900)
+    points, owner = np.array(sorted(set(zip(points.tolist(), owner.tolist())))).T
+    nodes, labels = rnd.permutation(300), rnd.integers(0, 3, 300)
+    at = simhash.runs(points.astype(np.uint64), owner)
+    groups = [set(owner[points == p].tolist()) for p in range(40)]
+    want = {tuple(sorted((a, b))) for g in groups for a in g for b in g if labels[a] != labels[b]}
+    for small in (3, 1000):
+        got = {tuple(sorted(x)) for a, b in simhash.open_pairs(*at, labels, small) for x in zip(a.tolist(), b.tolist())}
+        assert got == want
+    want = {(min(g, key=lambda x: nodes[x]), b) for g in groups for b in g if b != min(g, key=lambda x: nodes[x])}
+    assert set(zip(*map(np.ndarray.tolist, simhash.hub_pairs(*at, nodes)))) == want
+
+
+def test_segments_grow_with_the_corpus():
+    small, large = simhash.segments_for(50_000), simhash.segments_for(10_000_000_000)
+    assert (small.width, large.width) == (22, 40) and large.count > small.count
