@@ -18,8 +18,9 @@ folder of the session.
 
 Defined cases: a null payload is an empty one; a null or blank URL becomes
 ``urn:page:<id>``; blanks in URLs are percent-encoded; rows equal in id and payload
-are all responses when that id is the smallest; an empty table writes no archive and
-gives an empty result; other columns are ignored.
+are all responses when that id is the smallest; a page without an id is a revisit of the
+smallest id with its payload, if there is one; very long payloads are one record; an empty
+table writes no archive and gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, materialize
+from .common import column, fresh_dir, give_back, materialize, slices, spread_join
 
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVE_BYTES = 64 << 20
@@ -131,46 +133,51 @@ def member(data: bytes, level: int) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def _batch(rows: list, kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
+
+
 def write_monolithic(pages: DataFrame, directory: str, id_col: str = "page_id", url: str = "url", payload: str = "html", archive_bytes: int = ARCHIVE_BYTES, level: int = 1) -> DataFrame:
     """Writes the archives; returns archive, ordinal, page_id, payload_sha256, payload_bytes by record."""
-    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").alias("payload"))
+    slim = pages.select(column(id_col).cast("long").alias("page_id"), column(url).cast("string").alias("url"), column(payload).cast("string").alias("payload"))
+    kinds = [("archive", pa.string()), ("ordinal", pa.int64()), ("page_id", pa.int64()), ("payload_sha256", pa.string()), ("payload_bytes", pa.int64())]
 
     def write(batches):
         where, base = pafs.FileSystem.from_uri(directory)
         out = z = None
         raw = ordinal = 0
         name = ""
-        lines: list = []
-        for pdf in batches:
-            lines = []
-            for page, url_, text in zip(pdf["page_id"], pdf["url"], pdf["payload"], strict=True):
+        for batch in slices(batches):
+            lines: list = []
+            for page, url_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     name = f"{base}/mono-{uuid.uuid4().hex}.warc.gz"
                     out, z, raw, ordinal = where.open_output_stream(name, compression=None), zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
                 data = b"" if text is None else text.encode()
-                key = "null" if pd.isna(page) else str(int(page))
+                key = "null" if page is None else str(page)
                 target = "" if url_ is None else "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url_.strip())
                 row = record_bytes(key, target or f"urn:page:{key}", data)
                 out.write(z.compress(row))
-                lines.append((name, ordinal, None if key == "null" else int(key), hashlib.sha256(data).hexdigest(), len(data)))
+                lines.append((name, ordinal, page, hashlib.sha256(data).hexdigest(), len(data)))
                 raw, ordinal = raw + len(row), ordinal + 1
                 if raw >= archive_bytes:
                     out.write(z.flush())
                     out.close()
                     out = None
-            frame = pd.DataFrame(lines, columns=["archive", "ordinal", "page_id", "payload_sha256", "payload_bytes"])
-            yield frame.astype({"page_id": "Int64"})
+            yield _batch(lines, kinds)
         if out is not None:
             out.write(z.flush())
             out.close()
+        give_back()
 
-    return slim.mapInPandas(write, "archive string, ordinal long, page_id long, payload_sha256 string, payload_bytes long")
+    return slim.mapInArrow(write, "archive string, ordinal long, page_id long, payload_sha256 string, payload_bytes long")
 
 
 def first_of_equal(lines: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds refers_to: the smallest id with the same payload, null for that id itself and for payloads under min_bytes."""
-    firsts = lines.groupBy("payload_sha256", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = lines.join(firsts, ["payload_sha256", "payload_bytes"], "left")
+    """Adds refers_to to written lines: the smallest id with the same payload, null for that id itself and for payloads under min_bytes. Payloads that many pages share are not gathered."""
+    firsts = lines.groupBy("payload_sha256", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    joined = spread_join(lines, materialize(firsts, "warc-firsts"), ["payload_sha256", "payload_bytes"], "n", lines.count(), "left").drop("n")
     later = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("payload_bytes") >= min_bytes)
     return joined.withColumn("refers_to", F.when(later, F.col("first"))).drop("first")
 
@@ -181,15 +188,15 @@ def normalise(lines: DataFrame, directory: str, level: int = 6) -> DataFrame:
     def rewrite(pdf: pd.DataFrame) -> pd.DataFrame:
         where, base = pafs.FileSystem.from_uri(directory)
         source = pdf["archive"].iloc[0]
-        refers = dict(zip(pdf["ordinal"], pdf["refers_to"], strict=True))
+        refers = dict(zip(pdf["ordinal"], pdf["refers_to"], strict=True))  # ids as text: pandas has no whole numbers beside nulls
         name = f"{base}/members-{uuid.uuid4().hex}.warc.gz"
         offset, index = 0, []
         with where.open_input_stream(source, compression=None) as mono, where.open_output_stream(name, compression=None) as out:
             for ordinal, (fields, block) in enumerate(records(inflate(mono))):
                 to = refers[ordinal]
-                data = member(as_response(fields, block) if pd.isna(to) else as_revisit(fields, block, str(int(to))), level)
+                data = member(as_response(fields, block) if to is None else as_revisit(fields, block, to), level)
                 out.write(data)
-                index.append(f"{offset} {len(data)} {fields['warc-record-id']} {'response' if pd.isna(to) else 'revisit'}\n")
+                index.append(f"{offset} {len(data)} {fields['warc-record-id']} {'response' if to is None else 'revisit'}\n")
                 offset += len(data)
         if len(index) != len(pdf):
             raise ValueError(f"{source} holds {len(index)} records; its lines name {len(pdf)}")
@@ -197,22 +204,23 @@ def normalise(lines: DataFrame, directory: str, level: int = 6) -> DataFrame:
             out.write("".join(index).encode())
         return pd.DataFrame([(name, f"{name}.idx", len(index), offset)], columns=["archive", "index", "records", "bytes"])
 
-    slim = lines.select("archive", "ordinal", "refers_to")
+    slim = lines.select("archive", "ordinal", F.col("refers_to").cast("string").alias("refers_to"))
     archives = max(1, min(slim.select("archive").distinct().count(), 10_000))
     return slim.repartition(archives, "archive").groupBy("archive").applyInPandas(rewrite, "archive string, index string, records long, bytes long")
 
 
 def read_archives(manifest: DataFrame, directory: str, page_rows: int = 2000) -> DataFrame:
     """A row per record, read by index ranges: page_id, payload_bytes, payload_digest, record_type, refers_to, url, archive, offset, length."""
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "archive", "offset", "length"]
+    text, whole = pa.string(), pa.int64()
+    kinds = [("page_id", whole), ("payload_bytes", whole), ("payload_digest", text), ("record_type", text), ("refers_to", whole), ("url", text), ("archive", text), ("offset", whole), ("length", whole)]
 
     def key(field: str | None):
         return None if field is None or field == "<urn:page:null>" else int(field[len("<urn:page:") : -1])
 
     def read(batches):
         where, _ = pafs.FileSystem.from_uri(directory)
-        for pdf in batches:
-            for archive, index in zip(pdf["archive"], pdf["index"], strict=True):
+        for batch in batches:
+            for archive, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with where.open_input_stream(index, compression=None) as f:
                     entries = f.read().decode().splitlines()
                 rows = []
@@ -232,12 +240,13 @@ def read_archives(manifest: DataFrame, directory: str, page_rows: int = 2000) ->
                             raise ValueError(f"{archive}: the payload at {offset} is damaged")
                         rows.append((key(fields["warc-record-id"]), size, digest, kind, key(fields.get("warc-refers-to")), fields["warc-target-uri"], archive, int(offset), int(length)))
                         if len(rows) >= page_rows:
-                            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield _batch(rows, kinds)
                             rows = []
-                yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield _batch(rows, kinds)
+        give_back()
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string, offset long, length long"
-    return manifest.mapInPandas(read, schema)
+    return manifest.select("archive", "index").mapInArrow(read, schema)
 
 
 def archive_pages(pages: DataFrame, directory: str | None = None, min_bytes: int = 0, **columns) -> DataFrame:
