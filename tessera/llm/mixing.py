@@ -7,15 +7,18 @@ sources; a pattern can be used again, and every further pass costs more (a conve
 cost), so words are repeated only where the quotas ask for it and evenly.
 
 A pattern whose flow is ``k`` whole passes and ``r`` words gives every document
-``k`` times and, once more, the documents at the head of a seeded order until
-``r`` words are full. The head is found by sums over a radix of the order's hash,
-so no task orders a whole pattern. One further document, the one whose size is
-nearest to the words still missing, closes the gap.
+``k`` times and, once more, the documents at the head of a seeded order (a hash of id and
+text) until ``r`` words are full. The head is found by sums over a radix of the order's
+hash, so no task orders a whole pattern. One further document, the one whose size is
+nearest to the words still missing, closes the gap; it is one of those that no other row
+repeats. The driver plans over at most ``MOST_PATTERNS`` patterns and says so beyond.
 
 Defined cases: a null text has no words; words are never cut, so a document is
 taken 0, 1, .. ``max_repeats`` times; a document without words is taken 0 times;
-null is a source of its own and sorts last; repeated rows are separate documents;
-an empty table gives an empty result.
+null is a source of its own and sorts last; repeated rows are separate documents, and
+which of them is taken makes no difference to the result; very long texts count whole;
+other columns, whatever their names, are ignored by ``mix`` and kept by ``apply_mix``; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, word_count
+from .common import WORD, column, materialize, word_count
 
 SEED = "mix-1"
 MAX_REPEATS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Documented limit: membership patterns that the driver plans over.
+MOST_PATTERNS = 100_000
 
 
 @dataclass
@@ -100,20 +105,44 @@ def water_fill(sizes: dict, weights: dict, total: int, max_repeats: int = MAX_RE
     return out
 
 
+def _parts(patterns: list[tuple[tuple, int]]) -> list[list[int]]:
+    """Patterns that share no source, even through others, apart; each part is a flow by itself."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for members, _ in patterns:
+        for s in members[1:]:
+            root[find(s)] = find(members[0])
+    parts: dict = {}
+    for i, (members, _) in enumerate(patterns):
+        parts.setdefault(find(members[0]) if members else (), []).append(i)
+    return list(parts.values())
+
+
 def route(patterns: list[tuple[tuple, int]], targets: dict, max_repeats: int = MAX_REPEATS) -> list[int]:
     """Words taken from each pattern. patterns: (sources, words); pass r over a pattern costs r, r = 1, 2, .."""
-    names = sorted(targets, key=lambda s: (s is None, s or ""))
-    place = {s: 2 + len(patterns) + i for i, s in enumerate(names)}
-    net = FlowNetwork(2 + len(patterns) + len(names))
-    passes: list[list[tuple[int, int]]] = []
-    for i, (members, words) in enumerate(patterns):
-        passes.append([net.add(0, 2 + i, words, r) for r in range(1, max_repeats + 1)])
-        for s in members:
-            net.add(2 + i, place[s], max_repeats * words, 0)
-    for s in names:
-        net.add(place[s], 1, int(targets[s] + 0.5), 0)
-    net.run(0, 1)
-    return [sum(net.used(h) for h in hs) for hs in passes]
+    taken = [0] * len(patterns)
+    for part in _parts(patterns):
+        names = sorted({s for i in part for s in patterns[i][0]}, key=lambda s: (s is None, s or ""))
+        place = {s: 2 + len(part) + i for i, s in enumerate(names)}
+        net = FlowNetwork(2 + len(part) + len(names))
+        passes: list[list[tuple[int, int]]] = []
+        for node, i in enumerate(part, 2):
+            members, words = patterns[i]
+            passes.append([net.add(0, node, words, r) for r in range(1, max_repeats + 1)])
+            for s in members:
+                net.add(node, place[s], max_repeats * words, 0)
+        for s in names:
+            net.add(place[s], 1, int(targets[s] + 0.5), 0)
+        net.run(0, 1)
+        for i, hs in zip(part, passes, strict=True):
+            taken[i] = sum(net.used(h) for h in hs)
+    return taken
 
 
 def default_weights(sources: list, cycle: tuple = WEIGHTS) -> dict:
@@ -122,14 +151,17 @@ def default_weights(sources: list, cycle: tuple = WEIGHTS) -> dict:
     return {s: cycle[i % len(cycle)] for i, s in enumerate(order)}
 
 
-def _order(id_col: str, seed: str) -> Column:
-    """The seeded order of documents."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+def _order(id_col: str, text: str, seed: str) -> Column:
+    """The seeded order of documents; only rows equal in id and text share a place."""
+    content = F.md5(F.coalesce(column(text).cast("string"), F.lit("")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column(id_col).cast("string"), F.lit("")), F.lit(":"), content))
 
 
 def _quotas(sized: DataFrame, weights: dict | None, max_repeats: int) -> DataFrame | None:
     """sources, source_size, target, passes, rest: a row per pattern."""
-    grouped = sized.groupBy("__sources").agg(F.sum("__size").alias("words")).collect()
+    grouped = sized.groupBy("__sources").agg(F.sum("__size").alias("words")).limit(MOST_PATTERNS + 1).collect()
+    if len(grouped) > MOST_PATTERNS:
+        raise ValueError(f"documents have more than {MOST_PATTERNS} patterns of sources; name coarser sources")
     patterns = [(tuple(r["__sources"]), r["words"]) for r in grouped]
     sizes: dict = {}
     for members, words in patterns:
@@ -161,35 +193,41 @@ def _headed(df: DataFrame, quotas: DataFrame, cuts: DataFrame) -> DataFrame:
     placed = df.join(F.broadcast(quotas), "__sources").join(F.broadcast(cuts), "__sources", "left").withColumn("__cell", F.substring("__h", 1, 5))
     at_cut = F.coalesce(F.col("__cell") == F.col("__cut"), F.lit(False))
     whole = placed.where(~at_cut).withColumn("__more", F.coalesce((F.col("__cell") < F.col("__cut")).cast("int"), F.lit(0)))
-    used = F.col("__before") + F.sum("__size").over(Window.partitionBy("__sources").orderBy("__h", "__id").rowsBetween(Window.unboundedPreceding, 0))
+    used = F.col("__before") + F.sum("__size").over(Window.partitionBy("__sources").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0))
     edge = placed.where(at_cut).withColumn("__more", (used <= F.col("__rest")).cast("int"))
     return whole.unionByName(edge).withColumn("__more", F.when(F.col("__rest") == 0, 0).otherwise(F.col("__more")))
 
 
 def _fillers(headed: DataFrame) -> DataFrame:
     """sources, and the one document whose size is nearest to the words that the head leaves open."""
-    gaps = headed.groupBy("__sources").agg((F.first("__rest") - F.sum(F.col("__more") * F.col("__size"))).alias("gap"))
+    gaps = materialize(headed.groupBy("__sources").agg((F.first("__rest") - F.sum(F.col("__more") * F.col("__size"))).alias("gap")), "mix-gaps")
     fits = headed.where("__more = 0 AND __size > 0").join(F.broadcast(gaps), "__sources").where("abs(__size - gap) < gap")
-    best = fits.groupBy("__sources").agg(F.min(F.struct(F.abs(F.col("__size") - F.col("gap")).alias("miss"), "__h", "__id")).alias("f"))
-    return best.select("__sources", F.col("f.__h").alias("__fill_h"), F.col("f.__id").alias("__fill_id"))
+    miss = F.abs(F.col("__size") - F.col("gap")).alias("miss")
+    nearest = lambda rows: rows.groupBy("__sources").agg(F.min(F.struct("miss", "__h")).alias("f")).select("__sources", F.col("f.__h").alias("__fill_h"))
+    best = materialize(nearest(fits.select("__sources", miss, "__h")), "mix-fillers")
+    same = (headed["__sources"] == best["__sources"]) & (headed["__h"] == best["__fill_h"])
+    if headed.join(F.broadcast(best), same, "left_semi").groupBy("__sources", "__h").count().where("count > 1").isEmpty():
+        return best
+    single = fits.select("__sources", miss, "__h").groupBy("__sources", "__h").agg(F.min("miss").alias("miss"), F.count("*").alias("n")).where("n = 1")
+    return materialize(nearest(single), "mix-fillers")
 
 
 def _repeated(headed: DataFrame, fillers: DataFrame, empty: Column, max_repeats: int) -> DataFrame:
     """Adds __repeats."""
-    filled = ((F.col("__more") == 0) & (F.col("__h") == F.col("__fill_h")) & F.col("__id").eqNullSafe(F.col("__fill_id"))).cast("int")
+    filled = ((F.col("__more") == 0) & (F.col("__h") == F.col("__fill_h"))).cast("int")
     times = F.least(F.col("__passes") + F.col("__more") + F.coalesce(filled, F.lit(0)), F.lit(max_repeats))
     return headed.join(F.broadcast(fillers), "__sources", "left").withColumn("__repeats", F.when(empty, 0).otherwise(times).cast("int"))
 
 
 def _decide(docs: DataFrame, members: Column, id_col: str, text: str, weights: dict | None, seed: str, max_repeats: int):
-    """(sized documents, quotas, cuts, fillers); quotas is None for an empty table. All but the first have a row per pattern."""
-    sized = docs.select(F.col(id_col).alias("__id"), members.alias("__sources"), word_count(text).alias("__size"), _order(id_col, seed).alias("__h"))
+    """(sized documents, quotas, cuts, fillers); quotas is None for an empty table. All but the first have a row per pattern, ``MOST_PATTERNS`` at most."""
+    sized = docs.select(column(id_col).alias("__id"), members.alias("__sources"), word_count(text).alias("__size"), _order(id_col, text, seed).alias("__h"))
     sized = materialize(sized, "mix-sizes")
     quotas = _quotas(sized, weights, max_repeats)
     if quotas is None:
         return sized, None, None, None
     cuts = materialize(_cuts(sized, quotas), "mix-cuts")
-    return sized, quotas, cuts, materialize(_fillers(_headed(sized, quotas, cuts)), "mix-fillers")
+    return sized, quotas, cuts, _fillers(_headed(sized, quotas, cuts))
 
 
 def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text: str = "text", weights: dict | None = None, seed: str = SEED, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -209,16 +247,19 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text: str = "t
 
 def mix_sources(docs: DataFrame, source: str = "source", **options) -> DataFrame:
     """``mix`` for documents that belong to one source each."""
-    return mix(docs, F.array(F.col(source).cast("string")), **options)
+    return mix(docs, F.array(column(source).cast("string")), **options)
 
 
 def apply_mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", text: str = "text", weights: dict | None = None, seed: str = SEED, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken; decided row by row, without moving them."""
-    members = F.array(F.col(source).cast("string"))
-    _, quotas, cuts, fillers = _decide(docs, members, id_col, text, weights, seed, max_repeats)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column of the input clashes with ours
+    plain = docs.toDF(*names)
+    source_, id_, text_ = (names[docs.columns.index(c)] for c in (source, id_col, text))
+    members = F.array(F.col(source_).cast("string"))
+    _, quotas, cuts, fillers = _decide(plain, members, id_, text_, weights, seed, max_repeats)
     if quotas is None:
         return docs.where(F.lit(False))
-    own = docs.withColumns({"__id": F.col(id_col), "__sources": members, "__size": word_count(text), "__h": _order(id_col, seed)})
-    wordless = ~F.coalesce(F.rlike(F.col(text), F.lit(WORD)), F.lit(False))
+    own = plain.withColumns({"__sources": members, "__size": word_count(text_), "__h": _order(id_, text_, seed)})
+    wordless = ~F.coalesce(F.rlike(F.col(text_), F.lit(WORD)), F.lit(False))
     out = _repeated(_headed(own, quotas, cuts), fillers, wordless, max_repeats).where("__repeats > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(docs.columns)
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(names).toDF(*docs.columns)

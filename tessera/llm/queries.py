@@ -97,7 +97,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat('mix-1:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h
+         md5(concat('mix-1:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))) AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -123,16 +123,17 @@ WITH d AS (
   FROM t
 ), p AS (
   SELECT d.*, u.source_size, u.target, u.passes, u.rest,
-         sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) <= rest AS head
+         sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) <= rest AS head,
+         count(*) OVER (PARTITION BY d.source, h) = 1 AS alone
   FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
 ), g AS (
   SELECT *, rest - coalesce(sum(size) FILTER (WHERE head) OVER (PARTITION BY source), 0) AS gap FROM p
 ), k AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN NOT head AND size > 0 AND abs(size - gap) < gap THEN 0 ELSE 1 END, abs(size - gap), h, doc_id) AS place FROM g
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN alone AND NOT head AND size > 0 AND abs(size - gap) < gap THEN 0 ELSE 1 END, abs(size - gap), h) AS place FROM g
 )
 SELECT doc_id, size, source_size, target,
        CAST(size * (passes + CASE WHEN head THEN CASE WHEN rest = 0 THEN 0 ELSE 1 END
-                                  WHEN place = 1 AND size > 0 AND abs(size - gap) < gap THEN 1 ELSE 0 END) AS BIGINT) AS taken
+                                  WHEN place = 1 AND alone AND size > 0 AND abs(size - gap) < gap THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM k
 """
 
