@@ -10,13 +10,14 @@ For each page and language, log posteriors add up
   domain's, which is smoothed towards the whole table's. A page's own mass is taken out
   of its host's and domain's counts first.
 
-Masses are grouped aggregations over all pages; hosts join back by key.
+Masses are grouped aggregations over all pages. Domains and suffixes are joined to hosts, and
+hosts to pages without moving the pages of hot hosts.
 
 Defined cases: a null page has no text and no declaration, a null URL no suffix and
 host ''; a page without any evidence gets the table's own prior; undeclared or unknown
 declared languages are no evidence; repeated rows count singly; without labelled
-documents no language is known and lang is null; an empty table gives an empty result;
-other columns are ignored.
+documents no language is known and lang is null; very long pages are read whole; a tie goes to
+the language that sorts first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import column, give_back, materialize, slices, spread_join
 
 #: Documented bound: labelled documents that the text model is fitted on.
 SAMPLE_ROWS = 20_000
@@ -57,7 +59,7 @@ def trigrams(text: str) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log likelihoods (feature x language)."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    slim = docs.select(column(id_col).alias("id"), column(lang).cast("string").alias("lang"), column(text).cast("string").alias("text"))
     chosen = slim.where("id IS NOT NULL AND lang IS NOT NULL").select("id", F.xxhash64(F.lit("langid"), "id").alias("h")).orderBy("h", "id").limit(rows).select("id").distinct()
 
     def count(batches):
@@ -84,24 +86,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
 def text_evidence(pages: DataFrame, langs: list[str], table: np.ndarray, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, host, domain, suffix, declared (a known language or null), ll (tempered log likelihoods)."""
     shared = pages.sparkSession.sparkContext.broadcast(table)
-    names = ["page_id", "host", "domain", "suffix", "declared", "ll"]
+    names = ["host", "domain", "suffix", "declared", "ll"]
+    kinds = [*[pa.string()] * 4, pa.list_(pa.float64())]
 
     def run(batches):
         known = set(langs)
-        for pdf in batches:
+        for batch in slices(batches):
             rows = []
-            for page, u, h in zip(pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], strict=True):
+            for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 m = HOST.match(u or "")
                 host = m[1].lower() if m else ""
                 labels = host.split(".")
                 d = DECLARED.search(h or "")
                 declared = d[1].lower() if d and d[1].lower() in known else None
                 ll = TEMPER * shared.value[trigrams(UNSEEN.sub(" ", h or ""))].sum(0)
-                rows.append((page, host, ".".join(labels[-2:]), labels[-1], declared, (ll - ll.max()).tolist()))
-            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
+                rows.append((host, ".".join(labels[-2:]), labels[-1], declared, (ll - ll.max()).tolist()))
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["page_id", *names])
+        give_back()
 
-    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    return slim.mapInPandas(run, "page_id long, host string, domain string, suffix string, declared string, ll array<double>")
+    slim = pages.select(column(id_col).cast("long").alias("page_id"), column(url).cast("string").alias("url"), column(html).cast("string").alias("html"))
+    return slim.mapInArrow(run, "page_id long, host string, domain string, suffix string, declared string, ll array<double>")
 
 
 def _posterior(logs: list[F.Column]) -> list[F.Column]:
@@ -118,7 +123,7 @@ def identify(pages: DataFrame, docs: DataFrame, **columns) -> DataFrame:
     """page_id, host, lang, confidence, text_lang, declared."""
     langs, table = fit(docs)
     if not langs:
-        return pages.select(F.col(columns.get("id_col", "page_id")).cast("long").alias("page_id"), F.lit("").alias("host"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("declared"))
+        return pages.select(column(columns.get("id_col", "page_id")).cast("long").alias("page_id"), F.lit("").alias("host"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("declared"))
     n = len(langs)
     seen = text_evidence(pages, langs, table, **columns)
     mass = [F.round(p, 9).alias(f"p{i}") for i, p in enumerate(_posterior([F.col("ll")[i] for i in range(n)]))]
@@ -130,11 +135,15 @@ def identify(pages: DataFrame, docs: DataFrame, **columns) -> DataFrame:
     total = max(whole["n"], 1)
     base = [((whole[f"g{i}"] or 0.0) + 1.0) / (total + n) for i in range(n)]
     trust = ((whole["agree"] or 0.0) + 2.0) / (whole["declared"] + 3.0)
-    suffixes = seen.groupBy("suffix").agg(*sums("s"))
-    domains = seen.groupBy("domain").agg(F.count("*").alias("dn"), *sums("d"))
-    hosts = seen.groupBy("host").agg(F.count("*").alias("hn"), F.first("domain").alias("domain"), *sums("h"))
-    around = hosts.join(domains, "domain").drop("domain")
-    joined = seen.join(around, "host").join(suffixes, "suffix")
+    hosts = seen.groupBy("host").agg(F.count("*").alias("hn"), F.first("domain").alias("domain"), F.first("suffix").alias("suffix"), *sums("h"))
+    hosts = materialize(hosts, "langid-hosts")
+    over = lambda tag: [F.sum(f"h{i}").alias(f"{tag}{i}") for i in range(n)]
+    domains = hosts.groupBy("domain").agg(F.count("*").alias("__hosts"), F.sum("hn").alias("dn"), *over("d"))
+    suffixes = hosts.groupBy("suffix").agg(F.count("*").alias("__hosts"), *over("s"))
+    many = hosts.count()
+    around = materialize(spread_join(hosts, domains, ["domain"], "__hosts", many).drop("__hosts", "domain"), "langid-domains")
+    around = materialize(spread_join(around, suffixes, ["suffix"], "__hosts", many).drop("__hosts", "suffix"), "langid-around")
+    joined = spread_join(seen, around, ["host"], "hn", total)
 
     logs = []
     for i in range(n):
