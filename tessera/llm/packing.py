@@ -12,9 +12,9 @@ all pieces share is spread over the salts) and find their place in the plan by b
 search. Full pieces are sequences by themselves.
 
 Defined cases: a null text is empty; an empty text is the end id alone, one piece of
-length one; repeated rows are separate documents and may share doc_id and piece; a row
-with a null id is packed like any other; an empty table gives an empty result; other
-columns are ignored.
+length one; very long texts are cut into as many pieces as they fill; repeated rows are
+separate documents and may share doc_id and piece; a row with a null id is packed like any
+other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +25,16 @@ import zlib
 from bisect import bisect_right
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize
+from .common import column, give_back, materialize, slices
 
 BUDGET = 2048
 END_ID = 0
-SALTS = 64
+#: Salts of a length: at least, and at most; in between one for each so many pieces.
+SALTS, MOST_SALTS, SALT_PIECES = 64, 1024, 1_000_000
 
 
 class Encoder:
@@ -84,17 +85,19 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", encoder:
     def run(batches):
         encode = Encoder(*encoder)
         end = np.array([END_ID], "<u4")
-        for pdf in batches:
+        for batch in slices(batches):
             rows = []
-            for doc, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+            for at, t in enumerate(batch.column(1).to_pylist()):
                 ids = np.concatenate([encode(t), end]) if t else end
-                rows += [(doc, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cut(ids, budget))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                rows += [(at, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cut(ids, budget))]
+            at, piece, *more = zip(*rows, strict=True) if rows else [()] * 5
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in more)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
         del encode
         give_back()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    slim = docs.select(column(id_col).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
+    return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], budget: int = BUDGET) -> list[tuple[list[int], int]]:
@@ -168,12 +171,13 @@ def _slots(bins: list[tuple[list[int], int]], shift: int) -> tuple[np.ndarray, n
     return keys, firsts, offsets, first
 
 
-def pack(items: DataFrame, budget: int = BUDGET, salts: int = SALTS) -> DataFrame:
-    """Adds sequence_id and offset to written rows with doc_id, piece and length."""
+def pack(items: DataFrame, budget: int = BUDGET, salts: int | None = None) -> DataFrame:
+    """Adds sequence_id and offset to written rows with doc_id, piece, length and ids_crc32."""
     shift = 44
-    salted = items.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salts = salts or min(MOST_SALTS, max(SALTS, items.count() // SALT_PIECES))
+    salted = items.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     short = salted.where(F.col("length") < budget)
-    cells = short.groupBy("length", "__salt").agg(F.count("*").alias("n")).collect()  # at most budget x salts rows
+    cells = short.groupBy("length", "__salt").agg(F.count("*").alias("n")).collect()  # at most budget x MOST_SALTS rows
     counts = np.zeros((budget, salts), np.int64)
     for length, salt, n in cells:
         counts[length, salt] = n
@@ -186,21 +190,18 @@ def pack(items: DataFrame, budget: int = BUDGET, salts: int = SALTS) -> DataFram
     ranked = short.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)))
 
     def place(batches):
-        for pdf in batches:
-            length = pdf["length"].to_numpy()
-            rank = before[length, pdf["__salt"].to_numpy()] + pdf["__rank"].to_numpy() - 1
-            want = (length << shift) + rank
+        for batch in batches:
+            length, salt, row = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "__salt", "__rank"))
+            want = (length << shift) + before[length, salt] + row - 1
             run = np.searchsorted(keys, want, side="right") - 1
-            out = pdf[names].copy()
-            out["sequence_id"] = firsts[run] + want - keys[run]
-            out["offset"] = offsets[run]
-            yield out
+            own = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(firsts[run] + want - keys[run]), pa.array(offsets[run])], [*names, "sequence_id", "offset"])
 
     from pyspark.sql.types import LongType, StructType
 
     schema = StructType([*items.schema.fields]).add("sequence_id", LongType()).add("offset", LongType())
     full = items.where(F.col("length") == budget).withColumn("sequence_id", F.lit(total) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return ranked.mapInPandas(place, schema).unionByName(full)
+    return ranked.mapInArrow(place, schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", encoder: tuple | None = None, budget: int = BUDGET) -> DataFrame:
