@@ -6,9 +6,12 @@ from its bytes: variable-length EBML ids and sizes (unknown sizes too), clusters
 SimpleBlocks and BlockGroups, no, Xiph, fixed-size and EBML lacing, and cues; it gives
 a row per packet with timestamp, track and byte range.
 
+``media_digests`` writes the media column to the shared folder, reads the stored bytes
+back and takes the packets from them; no file is muxed and parsed in one breath.
+
 Defined cases: a null text is an empty one; an empty payload is one frame of blanks;
-other columns are ignored; each row is handled by itself, so repeats and empty tables
-need no care.
+a null id stays null; very long texts are one file of many clusters; other columns are
+ignored; each row is handled by itself, so repeats, ties and empty tables need no care.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import column, give_back, materialize, slices
 
 FRAME = 192
 RATE = 8000
@@ -247,6 +251,9 @@ def demux(data: bytes) -> Media:
         while at < end:
             name, at = _read_id(data, at)
             size, at = _read_size(data, at)
+            size = end - at if size is None else size  # unknown: all that is left of the group
+            if at + size > end:
+                raise ValueError("a block group's element runs over its end")
             if name == BLOCK:
                 place = (at, at + size)
             refers |= name == 0xFB
@@ -287,45 +294,57 @@ def features(payload: bytes, media: Media) -> str:
     )
 
 
+def _slim(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
+
+
 def muxed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes and the media column."""
 
     def run(batches):
-        for pdf in batches:
-            parts = [padded(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [n for _, n in parts], "media": [mux(p) for p, _ in parts]})
+        for batch in slices(batches):
+            parts = [padded(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in parts], pa.int64()), pa.array([mux(p) for p, _ in parts], pa.binary())], ["doc_id", "n_bytes", "media"])
+        give_back()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return _slim(docs, id_col, text).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """A row per packet of a (doc_id, media) table."""
-    names = ["doc_id", "packet", "track", "timestamp_ms", "offset", "length", "keyframe"]
+    """A row per packet of a (doc_id, media) table: packet number, track, timestamp_ms, offset, length, keyframe."""
+    kinds = [("packet", pa.int64()), ("track", pa.int64()), ("timestamp_ms", pa.float64()), ("offset", pa.int64()), ("length", pa.int64()), ("keyframe", pa.bool_())]
 
     def run(batches):
-        for pdf in batches:
-            rows = [(d, i, *p) for d, m in zip(pdf["doc_id"].astype("Int64"), pdf["media"], strict=True) for i, p in enumerate(demux(m).packets)]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+        for batch in slices(batches, 50):
+            found = [demux(m).packets for m in batch.column(1).to_pylist()]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+            rows = [(i, *p) for x in found for i, p in enumerate(x)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True))], ["doc_id", *(n for n, _ in kinds)])
 
-    return media.select("doc_id", "media").mapInPandas(run, "doc_id long, packet long, track long, timestamp_ms double, offset long, length long, keyframe boolean")
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, packet long, track long, timestamp_ms double, offset long, length long, keyframe boolean")
 
 
-def media_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Muxes, reads the stored bytes back packet by packet, and describes both."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def described(stored: bytes) -> tuple:
+    """payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of a stored file, by its packets."""
+    media = demux(stored)
+    if [c[2] for c in media.cues] != media.clusters:
+        raise ValueError("a cue does not point at its cluster")
+    back = b"".join([stored[o : o + k] for _, _, o, k, _ in media.packets])
+    return (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), features(back, media))
+
 
-    def describe(doc, text_):
-        payload, n = padded(text_)
-        stored = mux(payload)
-        media = demux(stored)
-        back = b"".join([stored[o : o + k] for _, _, o, k, _ in media.packets])
-        return (doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), features(back, media))
+def media_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stores the media column, reads the stored bytes back packet by packet, and describes both."""
+    kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    stored = materialize(muxed(docs, id_col, text), "media", "zstd")
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([describe(d, t) for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True)], columns=names).astype({"doc_id": "Int64"})
+        for batch in slices(batches):
+            rows = [described(m) for m in batch.column(2).to_pylist()]
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", *(n for n, _ in kinds)])
+        give_back()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return slim.mapInPandas(run, schema)
+    return stored.mapInArrow(run, schema)
