@@ -109,6 +109,37 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_documents(d.limit(0), none).count() == 0
 
 
+def test_without_both_classes_scores_are_the_base_rate_and_all_stay(spark):
+    docs, _ = toxic_corpus(60)
+    d = spark.createDataFrame(docs, "doc_id long, text string, x string")
+    for label, rate in ((None, 0.0), (0, 0.0), (1, 1.0)):
+        lab = spark.createDataFrame([(i, label) for i in range(60)], "doc_id long, toxic int")
+        out = toxicity.score_documents(d, lab).collect()
+        assert {(r.score, r.predicted) for r in out} == {(rate, int(rate))}
+        assert toxicity.drop_toxic(d, lab).count() == len(docs)
+
+
+def test_scores_equal_brute_force(spark):
+    docs, labels = toxic_corpus(600)
+    d = spark.createDataFrame(docs[:-1], "doc_id long, text string, x string")
+    model = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert all(x >= 0 for x in model.weights[1:])
+    for r in toxicity.score(d, model).collect():
+        words = "".join(c.lower() if c.isascii() else c for c in dict((i, t) for i, t, _ in docs)[r.doc_id] or "").split()
+        s = [(model.words[w] if w in model.words else model.beginnings.get(w[:5], 0.0)) - toxicity.DRIFT for w in words]
+        bits = [model.lam * sum(s[a:b]) - math.log(model.k * len(words)) for a, b in slow_segments(s)]
+        best, total = max([0.0, *bits]), sum(b for b in bits if b > -math.log(toxicity.EXPECTED))
+        a, b, c = model.weights
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(a + b * math.log1p(best) + c * math.log1p(total)))), abs=1e-9)
+
+
+def test_slopes_are_never_negative():
+    rnd = np.random.default_rng(1)
+    x = rnd.random((400, 2))
+    w = toxicity._logistic(x, (x[:, 0] - x[:, 1] + 0.2 * rnd.standard_normal(400) > 0).astype(float))
+    assert w[1] > 0 and w[2] == 0
+
+
 # --- language model -----------------------------------------------------------
 
 
@@ -242,5 +273,24 @@ def test_languages_by_text_and_fusion(spark):
     assert len(got) == len(pages)
     assert all(got[i].lang == x for i, _, _, x in pages if x)
     assert all(0 <= r.confidence <= 1 + 1e-9 for r in got.values())
+    # The fusion against a plain version over the text evidence.
+    langs, table = langid.fit(d)
+    seen = langid.text_evidence(p, langs, table).collect()
+    soft = lambda x: [math.exp(v - max(x)) / sum(math.exp(u - max(x)) for u in x) for v in x]
+    mass = [[round(v, 9) for v in soft(r.ll)] for r in seen]
+    total, n = len(seen), len(langs)
+    whole = [sum(m[i] for m in mass) for i in range(n)]
+    said = [(r, m) for r, m in zip(seen, mass, strict=True) if r.declared]
+    trust = (sum(m[langs.index(r.declared)] for r, m in said) + 2) / (len(said) + 3)
+    for r, own in zip(seen, mass, strict=True):
+        logs = []
+        for i, x in enumerate(langs):
+            others = lambda c: [m[i] for q, m in zip(seen, mass, strict=True) if q is not r and q[c] == r[c]]  # noqa: B023, E731
+            suffix = (sum(others("suffix")) + 1.0) / (whole[i] - own[i] + 2.0)
+            domain = (sum(others("domain")) + 10 * (whole[i] + 1) / (total + n)) / (len(others("domain")) + 10)
+            host = (sum(others("host")) + 5 * domain) / (len(others("host")) + 5)
+            logs.append(r.ll[i] + (0 if r.declared is None else math.log(trust if r.declared == x else (1 - trust) / (n - 1))) + math.log(suffix) + math.log(host))
+        post = soft(logs)
+        assert got[r.page_id].lang == langs[post.index(max(post))] and got[r.page_id].confidence == pytest.approx(max(post), abs=1e-6)
     assert langid.identify(p.limit(0), d).count() == 0
     assert {r.lang for r in langid.identify(p, d.limit(0)).collect()} == {None}
