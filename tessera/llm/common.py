@@ -93,19 +93,20 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "snappy", by: str | None = None) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it back.
 
     Unlike a local checkpoint the result survives lost executors, and an
     expensive or order-dependent stage is evaluated once. The write's shuffle files
-    are removed behind it.
+    are removed behind it. ``by`` names a column whose values get folders of their own.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, tag)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        writer = df.write.mode("overwrite").option("compression", codec)
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -169,31 +169,160 @@ def test_base_score_equals_brute_force(spark):
     assert both[True].perplexity < both[True].base_perplexity
 
 
-def test_model_is_a_distribution():
-    docs = [t for _, t in lm_docs()]
-    blocks, _ = pitman_yor.chunk_blocks(docs, np.zeros(len(docs), bool), 1)
-    words, entries, counts = pitman_yor.merged([b[1:5] for b in blocks])
-    by = lambda w: np.bincount(entries % pitman_yor.CLASSES, weights=w, minlength=pitman_yor.CLASSES)
-    width = np.bincount(entries // pitman_yor.CLASSES)
-    stats = np.r_[len(words), (counts == 1).sum(), (counts == 2).sum(), (width == 1).sum(), (width == 2).sum(), by(counts), by(np.ones(len(entries)))]
-    hyper, totals = pitman_yor.Hyper(stats), []
-    for i in range(pitman_yor.SWEEPS):
-        *_, (seated, customers, tables) = pitman_yor.sweeps(len(words), entries, counts, hyper, totals, i + 1, 0)
-        assert (seated >= 1).all() and (seated <= counts).all() and (tables >= 1).all() and (tables <= customers).all()
-        totals.append(np.r_[by(seated), customers.sum(), tables.sum()])
-    model = pitman_yor.Predictor(words, entries, counts, hyper, totals, 0)
-    everything = np.append(words, np.uint64(12345))  # and one unknown word
-    everything.sort()
-    for k in (0, 5, 63):
-        logs, _ = model.look_up(everything, np.ones(len(everything), int), np.full(len(everything), k))
-        assert (10**logs).sum() == pytest.approx(1, abs=1e-9)
+def run_rounds(docs, sweeps, burn_in, hyper, grid=pitman_yor.Grid(2, 2)):
+    """The operator's rounds without Spark: (rows of every kind, samples, lexica)."""
+    import pandas as pd
+
+    by = lambda rows, f: pd.concat([f(g) for _, g in rows.groupby("dest")])
+    of = lambda rows, *kinds: rows[rows["kind"].isin(kinds)]
+    half = len(docs) // 2
+    chunks = [r for i, part in enumerate((docs[:half], docs[half:])) for r in pitman_yor.chunk_rows((i + 1) << 36, [d for d, _ in part], [t for _, t in part], grid)]
+    merged = by(pitman_yor._frame(chunks), lambda g: pitman_yor.merge(g, grid))
+    rows, state, samples, lexica, fixed = merged, of(merged, pitman_yor.STATE), [], [], hyper is not None
+    hyper, first = hyper or pitman_yor.Hyper(), None
+    for s in range(sweeps + 1):
+        told = by(of(rows, pitman_yor.MESSAGE), lambda g: pitman_yor.reduce(g, s, hyper))
+        stats = of(pd.concat([rows, told]), pitman_yor.STAT).groupby("dest")["n"].sum().to_dict()
+        first = first or stats
+        hyper = pitman_yor.new_hyper(hyper, {**first, **stats}, s, fixed)
+        if s > burn_in:
+            samples.append(hyper)
+        if not s or s > burn_in:
+            lexica.append(of(told, pitman_yor.LEXICON))
+        if s < sweeps:
+            rows = by(pd.concat([state, of(told, pitman_yor.REPLY)]), lambda g: pitman_yor.sweep_cell(g, s, hyper, grid, s >= burn_in))
+            state = of(rows, pitman_yor.STATE)
+    tokens = of(merged, pitman_yor.TOKENS)
+    answers = by(pd.concat([of(merged, pitman_yor.COUNTS, pitman_yor.WHERE), state]), pitman_yor.answer_pairs)
+    asked = []
+    for t in tokens.itertuples():
+        words = pitman_yor.unpack(t.data)[4]
+        for d in np.unique(grid.reducer(words)):
+            asked.append((int(d), pitman_yor.REQUEST, t.dest, pitman_yor.pack(words[grid.reducer(words) == d]), 0.0))
+    words = by(pd.concat([pitman_yor._frame(asked), *lexica]), lambda g: pitman_yor.answer_words(g, len(samples)))
+    n, texts = int(first[pitman_yor.TOTAL + 3]), int(first[pitman_yor.TOTAL + 4])
+    return by(pd.concat([tokens, answers, words]), lambda g: pitman_yor.score_chunk(g, grid, samples, n, texts)), samples
+
+
+def plain_scores(docs, sweeps, burn_in, hyper):
+    """A plain sampler: every customer leaves its table and is seated anew, one after the other."""
+    d, s, d0, s0 = hyper[:4]
+    rnd = random.Random(3)
+    split = lambda t: [*(t or "").encode().translate(pitman_yor.LOWERING).split(), b"\n"]
+    texts = [split(t) for x, t in docs if not pitman_yor.is_held_out(x)]
+    pairs = [(u, w) for t in texts for u, w in zip([b"^", *t], t)]
+    known = {w for _, w in pairs}
+    seats, total, opened = {}, Counter(), Counter()  # tables of (context, word), customers and tables by context; None: the parent
+    base = 1 / (len(known) + 1)
+
+    def p(u, w):
+        if u == "base":
+            return base
+        sizes = seats.get((u, w), [])
+        a, b = (d0, s0) if u is None else (d, s)
+        return (max(sum(sizes) - a * len(sizes), 0) + (b + a * opened[u]) * p("base" if u is None else None, w)) / (b + total[u])
+
+    def sit(u, w):
+        a, b = (d0, s0) if u is None else (d, s)
+        sizes = seats.setdefault((u, w), [])
+        new = (b + a * opened[u]) * p("base" if u is None else None, w)
+        at = rnd.random() * (sum(sizes) - a * len(sizes) + new)
+        for i, n in enumerate(sizes):
+            at -= n - a
+            if at < 0:
+                sizes[i] += 1
+                break
+        else:
+            sizes.append(1)
+            opened[u] += 1
+            if u is not None:
+                sit(None, w)
+        total[u] += 1
+
+    def leave(u, w):
+        sizes = seats[u, w]
+        i = rnd.choices(range(len(sizes)), sizes)[0]
+        sizes[i] -= 1
+        total[u] -= 1
+        if not sizes[i]:
+            del sizes[i]
+            opened[u] -= 1
+            if u is not None:
+                leave(None, w)
+
+    for u, w in pairs:
+        sit(u, w)
+    sums = [[0.0] * len(split(t)) for _, t in docs]
+    for i in range(sweeps):
+        for u, w in pairs:
+            leave(u, w)
+            sit(u, w)
+        if i >= burn_in:
+            for out, (_, t) in zip(sums, docs, strict=True):
+                for j, (u, w) in enumerate(zip([b"^", *split(t)], split(t))):
+                    out[j] += p(u, w)
+    return [sum(math.log10(x / (sweeps - burn_in)) for x in out) for out in sums]
+
+
+def test_scores_equal_a_plain_sampler():
+    rnd = random.Random(12)
+    say = lambda n: " ".join(f"w{int(rnd.paretovariate(0.8)) % 40}" for _ in range(n))
+    docs = [(i, say(rnd.randint(5, 25))) for i in range(120)]
+    docs += [(500, None), (501, "w1 w2 unseen w3"), (None, "w1 w1 w1 w1")]
+    hyper = pitman_yor.Hyper(d=0.6, s=1.5, d0=0.4, s0=2.0)
+    got, _ = run_rounds(docs, 240, 40, hyper)
+    want = plain_scores(docs, 240, 40, hyper)
+    place = {d: i for i, (d, _) in enumerate(docs)}
+    apart = []
+    for doc, score in zip(got["doc_id"].astype(object), got["score"], strict=True):
+        expected = want[place[doc if isinstance(doc, int) else None]]
+        assert score == pytest.approx(expected, rel=0.02, abs=0.05)
+        apart.append(score / expected - 1)
+    assert abs(np.mean(apart)) < 0.003
+
+
+def test_discounts_and_strengths_are_found_again():
+    """Texts drawn from a Pitman-Yor restaurant: the sampled discount of its customers comes near to the true one."""
+    rnd = random.Random(2)
+    sizes, d, s = [], 0.6, 5.0
+    for n in range(3000):
+        if rnd.random() * (s + n) < s + d * len(sizes):
+            sizes.append(1)
+        else:
+            sizes[rnd.choices(range(len(sizes)), [x - d for x in sizes])[0]] += 1
+    counts = np.array(sizes)
+    stats = dict(pitman_yor.seating_stats(counts, np.ones(len(counts), np.int64), pitman_yor.PARENT))
+    stats |= {pitman_yor.TOTAL: float(counts.sum()), pitman_yor.TOTAL + 1: float(len(counts))}
+    rng = np.random.default_rng(0)
+    evidence, x, seen = pitman_yor.Evidence(stats, pitman_yor.PARENT), (0.5, 1.0), []
+    for _ in range(60):
+        x = evidence.sample(*x, rng)
+        seen.append(x)
+    assert np.mean([a for a, _ in seen[20:]]) == pytest.approx(d, abs=0.1)
+
+
+def test_held_out_perplexity_gains_from_contexts():
+    docs = lm_docs()
+    got, samples = run_rounds(docs, 5, 2, None)
+    held = got[got["held_out"]]
+    assert len(samples) == 3 and all(0 < h.d < 1 and h.s > 0 for h in samples)
+    assert held["score"].sum() > 0.95 * held["base_score"].sum()
+
+
+def test_the_parent_is_a_distribution():
+    rng = np.random.default_rng(4)
+    customers = rng.integers(1, 50, 30)
+    tables = rng.integers(1, customers + 1)
+    h = pitman_yor.Hyper(d0=0.7, s0=2.5, customers=float(customers.sum()), tables=float(tables.sum()), words=30.0)
+    assert h.parent(customers, tables).sum() + h.parent(0, 0) == pytest.approx(1)
 
 
 def test_table_counts_follow_their_conditional():
-    d, a, c = 0.6, 0.8, 5
-    table = pitman_yor.stirling(d)
+    d, theta, others, base, c = 0.6, 1.2, 3, 0.15, 5
     rng = np.random.default_rng(0)
-    drawn = np.bincount(pitman_yor.draw_tables(np.full(200_000, c), np.full(200_000, a), d, table, rng), minlength=c + 1)[1:] / 200_000
+    n = 200_000
+    drawn = pitman_yor.draw_tables(np.full(n, c), np.full(n, math.log(base)), np.full(n, others), d, theta, pitman_yor.stirling(d, 8), rng)
+    drawn = np.bincount(drawn, minlength=c + 1)[1:] / n
 
     def weigh(sizes, left):
         """Weights by number of tables of all seatings, customer by customer."""
@@ -204,7 +333,7 @@ def test_table_counts_follow_their_conditional():
             for t, w in weigh((*sizes[:i], sizes[i] + 1, *sizes[i + 1 :]), left - 1).items():
                 out[t] += w * (sizes[i] - d)
         for t, w in weigh((*sizes, 1), left - 1).items():
-            out[t] += w * a
+            out[t] += w * (theta + d * (others + len(sizes))) * base
         return out
 
     exact = weigh((), c)
@@ -212,6 +341,22 @@ def test_table_counts_follow_their_conditional():
     assert drawn == pytest.approx([exact[t] / total for t in range(1, c + 1)], abs=0.005)
 
 
+@pytest.mark.parametrize("d", [0.3, 0.6, 0.85])
+@pytest.mark.parametrize("base", [0.001, 0.05, 0.5])
+def test_many_customers_follow_the_same_conditional(d, base):
+    c, n = 1800, 60_000
+    exact = pitman_yor.stirling(d, c)[c, 1:] + np.cumsum(np.log((1.0 + d * (10 + np.arange(c))) * base))
+    exact = np.exp(exact - exact.max())
+    drawn = pitman_yor.draw_tables(np.full(n, c), np.full(n, math.log(base)), np.full(n, 10), d, 1.0, pitman_yor.stirling(d), np.random.default_rng(1))
+    drawn = np.bincount(drawn, minlength=c + 1)[1 : c + 1] / n
+    assert 0.5 * np.abs(drawn - exact / exact.sum()).sum() < 0.05
+
+
+def test_arrays_are_packed_and_unpacked():
+    arrays = [np.array([], np.uint64), np.array([1, 2, 1 << 60], np.uint64), pitman_yor.small(np.array([0, 70_000])), np.array([-1], np.int64)]
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, pitman_yor.unpack(pitman_yor.pack(*arrays)), strict=True))
+
+
 def test_language_model_empty(spark):
     assert pitman_yor.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
