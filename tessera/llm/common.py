@@ -114,10 +114,10 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy", by: str | None =
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Removes the files of materialized tables that nothing will read again."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Removes the files of materialized tables, or of a part's folder, that nothing will read again."""
     for t in tables:
-        hadoop, fs = _filesystem(t.sparkSession, t._written)
+        hadoop, fs = _filesystem(t.sparkSession, f"{t._written}/{part}")
         fs.delete(hadoop, True)
 
 

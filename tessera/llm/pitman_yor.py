@@ -57,11 +57,10 @@ from .common import LOWERING, column, discard, give_back, materialize, slices
 SWEEPS, BURN_IN = 5, 2
 EXACT = 512
 SEED = 7
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 CHUNK_DOCS = 100_000
-#: Text behind a cell, and cells behind a further share of a reducer.
+#: Text behind a cell; there are as many reducers.
 CELL_BYTES = 32 << 20
-SHARE_CELLS = 8
 #: No word holds a line feed.
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n", b"\n\n"))
 
@@ -82,8 +81,10 @@ def small(x: np.ndarray) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Compressed, each array byte by byte of its numbers: the high ones are alike."""
     head = np.array([len(arrays), *(v for a in arrays for v in (KINDS.index(a.dtype.str), len(a)))], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(planes))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -92,11 +93,21 @@ def unpack(data: bytes) -> list[np.ndarray]:
     head = np.frombuffer(raw, np.int64, 1 + 2 * n)
     at, out = head.nbytes, []
     for kind, length in head[1:].reshape(-1, 2).tolist():
-        out.append(np.frombuffer(raw, KINDS[kind], length, at))
-        at += out[-1].nbytes
+        size = int(KINDS[kind][-1])
+        planes = np.frombuffer(raw, np.uint8, length * size, at).reshape(size, length)
+        out.append(np.ascontiguousarray(planes.T).view(KINDS[kind]).reshape(length))
+        at += length * size
     return out
 
 
+def by_frequency(numbers: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers by falling frequency, each number's place there): small places are common, so they pack well."""
+    order = np.argsort(-np.bincount(numbers, minlength=count), kind="stable")
+    place = np.empty(count, np.int64)
+    place[order] = np.arange(count)
+    return order, place
+
+
 # --- seating ----------------------------------------------------------------------
 
 
@@ -297,7 +308,7 @@ class Grid(NamedTuple):
 
 def grid_for(size: int) -> Grid:
     side = max(2, math.ceil(math.sqrt(size / CELL_BYTES)))
-    return Grid(side, 1 + side // SHARE_CELLS)
+    return Grid(side, side)
 
 
 def chunk_pairs(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, grid: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -314,19 +325,23 @@ def chunk_rows(chunk: int, ids: list, texts: list, grid: Grid) -> list[tuple]:
     """The chunk's tokens, and its pairs cell by cell."""
     hashes = [token_hashes(t) for t in texts]
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    words, tokens = np.unique(np.concatenate([*hashes, np.array([START], np.uint64)]), return_inverse=True)
+    hashes = np.concatenate([*hashes, np.array([START], np.uint64)])
+    words, tokens = np.unique(hashes, return_inverse=True)
+    del hashes
     tokens = tokens[:-1]
     held = np.array([is_held_out(d) for d in ids], bool)
     null = np.array([d is None for d in ids], bool)
     numbers = np.array([0 if d is None else d for d in ids], np.int64)
-    out = [(chunk, TOKENS, 0, pack(numbers, null.astype(np.uint8), held.astype(np.uint8), small(sizes), words, small(tokens)), 0.0)]
+    order, place = by_frequency(tokens, len(words))
+    out = [(chunk, TOKENS, 0, pack(numbers, null.astype(np.uint8), held.astype(np.uint8), small(sizes), words[order], small(place[tokens])), 0.0)]
     cell, context, word, pair = chunk_pairs(words, tokens, sizes, grid)
     counts = np.bincount(pair, weights=np.repeat(~held, sizes), minlength=len(cell)).astype(np.int64)
     cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True]) if len(cell) else [0]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         first = np.flatnonzero(np.r_[True, context[a + 1 : b] != context[a : b - 1]])
         own, index = np.unique(word[a:b], return_inverse=True)
-        out.append((int(cell[a]), ENTRIES, chunk, pack(words[context[a:b][first]], small(np.diff(np.r_[first, b - a])), words[own], small(index), small(counts[a:b])), 0.0))
+        order, place = by_frequency(index, len(own))
+        out.append((int(cell[a]), ENTRIES, chunk, pack(words[context[a:b][first]], small(np.diff(np.r_[first, b - a])), words[own[order]], small(place[index]), small(counts[a:b])), 0.0))
     return out
 
 
@@ -384,10 +399,15 @@ def merge(pdf: pd.DataFrame, grid: Grid) -> pd.DataFrame:
     blocks = [unpack(x) for x in pdf["data"]]
     contexts, words = (np.unique(np.concatenate([b[i] for b in blocks])) for i in (0, 2))
     keys = [np.repeat(np.searchsorted(contexts, b[0]), b[1]) * len(words) + np.searchsorted(words, b[2])[b[3]] for b in blocks]
-    pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(at, weights=np.concatenate([b[4] for b in blocks]), minlength=len(pairs)).astype(np.int64)
-    rows = [(cell, COUNTS, 0, pack(small(counts)), 0.0)]
     cuts = np.cumsum([0, *map(len, keys)])
+    met = np.concatenate([b[4] for b in blocks])
+    del blocks
+    keys = np.concatenate(keys)
+    pairs, at = np.unique(keys, return_inverse=True)
+    del keys
+    counts = np.bincount(at, weights=met, minlength=len(pairs)).astype(np.int64)
+    del met
+    rows = [(cell, COUNTS, 0, pack(small(counts)), 0.0)]
     for chunk, a, b in zip(pdf["src"], cuts[:-1], cuts[1:], strict=True):
         rows.append((cell, WHERE, int(chunk), pack(small(np.diff(at[a:b], prepend=0))), 0.0))
     live = counts > 0
@@ -503,7 +523,7 @@ def requests(tokens: DataFrame, grid: Grid) -> DataFrame:
     def run(batches):
         for pdf in batches:
             for chunk, data in zip(pdf["dest"], pdf["data"], strict=True):
-                words = unpack(data)[4]
+                words = np.sort(unpack(data)[4])
                 dest = grid.reducer(words)
                 order = np.argsort(dest, kind="stable")
                 cuts = np.flatnonzero(np.r_[True, np.diff(dest[order]) > 0, True])
@@ -519,10 +539,14 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score_chunk(pdf: pd.DataFrame, grid: Grid, samples: list[Hyper], train_tokens: int, train_texts: int) -> pd.DataFrame:
     """A row per text of the chunk."""
     ids, null, held, sizes, words, tokens = unpack(pdf.loc[pdf["kind"] == TOKENS, "data"].iloc[0])
-    sizes, tokens = sizes.astype(np.int64), tokens.astype(np.int64)
+    order = np.argsort(words)
+    number = np.empty(len(words), np.int64)
+    number[order] = np.arange(len(words))
+    words, tokens, sizes = words[order], number[tokens], sizes.astype(np.int64)
     _, context, word, pair = chunk_pairs(words, tokens, sizes, grid)
     about = [unpack(x) for x in pdf[pdf["kind"] == PAIRS].sort_values("src")["data"]]
-    count, *tables = (np.concatenate([b[i] for b in about]).astype(float) for i in range(1 + len(samples)))
+    count, *tables = (np.concatenate([b[i] for b in about]) for i in range(1 + len(samples)))
+    del about
     order = np.argsort(grid.reducer(words), kind="stable")
     told = [unpack(x) for x in pdf[pdf["kind"] == WORDS].sort_values("src")["data"]]
     by_word = np.empty((1 + 3 * len(samples), len(words)))
@@ -608,23 +632,28 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             samples.append(hyper)
         if not sweep or sweep > burn_in:
             lexica.append(_of(told, LEXICON))
+        else:
+            discard(told, part=f"kind={LEXICON}")
         if sweep < sweeps:
             step = lambda pdf, s=sweep, h=hyper, k=sweep >= burn_in: sweep_cell(pdf, s, h, grid, k)
             now = materialize(_exchange(state.unionByName(_of(told, REPLY)), cells, step), f"lm-sweep-{sweep}", by="kind")
-            if rows is not merged:
-                discard(rows)
-            if 0 < sweep <= burn_in:
-                discard(told)
+            for kind in (STATE, MESSAGE):
+                discard(rows, part=f"kind={kind}")
+            discard(told, part=f"kind={REPLY}")
             rows, state = now, _of(now, STATE)
     tokens = _of(merged, TOKENS)
-    pairs = _exchange(_of(merged, COUNTS, WHERE).unionByName(state), cells, answer_pairs)
+    discard(rows, part=f"kind={MESSAGE}")
+    pairs = materialize(_exchange(_of(merged, COUNTS, WHERE).unionByName(state), cells, answer_pairs), "lm-pairs")
+    discard(rows)
+    for kind in (COUNTS, WHERE):
+        discard(merged, part=f"kind={kind}")
     asked = requests(tokens, grid)
     for lexicon in lexica:
         asked = asked.unionByName(lexicon)
-    answers = materialize(pairs.unionByName(_exchange(asked, reducers, lambda pdf: answer_words(pdf, len(samples)))), "lm-answers")
+    about = materialize(_exchange(asked, reducers, lambda pdf: answer_words(pdf, len(samples))), "lm-words")
     train_tokens, train_texts = int(customers.get(TOTAL + 3, 0)), int(customers.get(TOTAL + 4, 0))
     final = _freed(lambda pdf: score_chunk(pdf, grid, samples, train_tokens, train_texts))
-    return tokens.unionByName(answers).groupBy("dest").applyInPandas(final, SCHEMA)
+    return tokens.unionByName(pairs).unionByName(about).groupBy("dest").applyInPandas(final, SCHEMA)
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

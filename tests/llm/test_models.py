@@ -196,7 +196,7 @@ def run_rounds(docs, sweeps, burn_in, hyper, grid=pitman_yor.Grid(2, 2)):
     answers = by(pd.concat([of(merged, pitman_yor.COUNTS, pitman_yor.WHERE), state]), pitman_yor.answer_pairs)
     asked = []
     for t in tokens.itertuples():
-        words = pitman_yor.unpack(t.data)[4]
+        words = np.sort(pitman_yor.unpack(t.data)[4])
         for d in np.unique(grid.reducer(words)):
             asked.append((int(d), pitman_yor.REQUEST, t.dest, pitman_yor.pack(words[grid.reducer(words) == d]), 0.0))
     words = by(pd.concat([pitman_yor._frame(asked), *lexica]), lambda g: pitman_yor.answer_words(g, len(samples)))
