@@ -16,10 +16,10 @@ probability acos(2s / (1 + s)) / pi, 0.1515 at similarity s = 0.8. The segments
 as the number of documents asks for (chance meetings a document stay few at any size), and
 as many as make a pair at the similarity meet but for a probability of ``MISS``; the
 complete distance rules out strangers, and only an exact Jaccard similarity of the shingle
-sets makes a link. At a ball point members are first compared with its smallest one;
-then those pairs are that are not yet in one component. So a group of copies costs as many
-comparisons as it has members; many documents that meet but are not similar are compared
-in pairs.
+sets makes a link. At a ball point members are first compared with its smallest one, so a
+group of copies costs as many comparisons as it has members. Components that still meet
+with near fingerprints are then joined to neighbourhoods, and the members of a neighbourhood
+are compared across components in a grid of tasks; no list of pairs is ever written.
 
 The table is dealt out by segment and its top bits: a fingerprint is sent to the blocks
 that its ball touches (one, and one per top bit), and the ball is enumerated there. Links
@@ -146,9 +146,11 @@ MISS = 1e-4
 #: Segments are this many bits wider than the number of documents has, so that strangers meet a few times at any size.
 SPARE_BITS = 6
 #: Standard deviations over the mean distance at the similarity that are still compared.
-SLACK = 5.0
-#: Sketches a block of ``drop_near``.
-SIMILAR_BLOCK_ROWS = 150_000
+SLACK = 4.0
+#: Segments that the first round uses, in which groups of copies find their smallest member.
+FIRST_SEGMENTS = 4
+#: Sketches a block of ``drop_near`` (52 bytes each), and ball points that it enumerates at once.
+SIMILAR_BLOCK_ROWS, POINTS = 2_000_000, 2_000_000
 
 
 def differing(similarity: float) -> float:
@@ -223,9 +225,10 @@ def near(lanes: np.ndarray, a, b, distance: int, step: int = 500_000) -> np.ndar
     return out
 
 
-def large_run_links(lanes: np.ndarray, members: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join a run's components. A member is compared with all those not joined to it; the largest component's own are not."""
-    comp, done = np.arange(len(members)), np.zeros(len(members), bool)
+def large_run_links(lanes: np.ndarray, members: np.ndarray, distance: int, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join a run's components. A member is compared with all those not joined to it; the largest component's own are not. comp: where components start from."""
+    comp = np.arange(len(members)) if comp is None else comp.copy()
+    done = np.zeros(len(members), bool)
     a, b = [], []
     at = 0
     while True:
@@ -277,8 +280,8 @@ def links_in_block(points: np.ndarray, owner: np.ndarray, lanes: np.ndarray, dis
     return forest(*map(np.concatenate, zip(*found, strict=True)))
 
 
-def _blocks(nodes: DataFrame, count: int, how: Segments, payload: list[str], schema: str, block_rows: int):
-    """(entries by block, number of top bits). A block's row holds, for part of the nodes, node ids, fingerprints and more as bytes."""
+def _blocks(nodes: DataFrame, count: int, how: Segments, payload: list[str], schema: str, block_rows: int, segments: int | None = None):
+    """(entries by block, number of top bits) of all or the first segments. A block's row holds, for part of the nodes, node ids, fingerprints and more as bytes."""
     top = min(how.width - 2, max(0, (max(count, 1) // block_rows).bit_length()))
 
     def enter(batches):
@@ -287,7 +290,7 @@ def _blocks(nodes: DataFrame, count: int, how: Segments, payload: list[str], sch
             lanes = ids.view(np.uint64)[:, None] if "sketch" not in payload else np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, how.lanes)
             more = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in payload if c != "sketch"]
             rows = []
-            for s in range(how.count):
+            for s in range(segments or how.count):
                 value = how.value(lanes, s) if len(ids) else np.empty(0, np.uint64)
                 prefix = (value >> np.uint64(how.width - top)).astype(np.int64)
                 for p in np.unique(np.concatenate([prefix ^ f for f in (0, *(1 << i for i in range(top)))])).tolist() if len(ids) else ():
@@ -297,11 +300,11 @@ def _blocks(nodes: DataFrame, count: int, how: Segments, payload: list[str], sch
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(zip(*rows, strict=True) if rows else [[]] * len(names))], names)
 
     entries = nodes.select("node", *payload).mapInArrow(enter, f"block long, nodes binary, values binary, lanes binary{schema}")
-    return entries.repartition(how.count << top, "block").groupBy("block"), top
+    return entries.repartition((segments or how.count) << top, "block").groupBy("block"), top
 
 
-#: Words of a sketch that travel with a block's entries: 128 bits rule out strangers; what is left is compared whole.
-CHECK = 2
+#: Words of a sketch that travel with a block's entries: 256 bits rule out strangers; what is left is compared whole.
+CHECK = 4
 
 
 def links(distinct: DataFrame, count: int, how: Segments = EXACT, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -367,6 +370,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
 
 #: Shingle sets and pairs that one task of the exact check holds, about.
 CELL_BYTES, CELL_PAIRS = 2 << 20, 200_000
+#: Documents and bytes of shingle sets in a part of a neighbourhood.
+AREA_ROWS, AREA_BYTES = 4000, 16 << 20
 
 
 def shingle_set(text: str | None, size: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -446,80 +451,149 @@ def hub_pairs(owner: np.ndarray, starts: np.ndarray, sizes: np.ndarray, nodes: n
     return pairs // max(1, len(nodes)), pairs % max(1, len(nodes))
 
 
-def open_pairs(owner: np.ndarray, starts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, small: int = 32) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of each run's members with different labels, in parts; members of a large run's greatest label are met from the other side."""
+def label_links(owner: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lanes: np.ndarray, labels: np.ndarray, distance: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of links between labels that have near members in one run."""
+    none = np.empty(0, np.int64)
     if not len(starts):
-        return []
+        return none, none
     where = np.repeat(np.arange(len(starts)), sizes)
     rows = owner[np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
     at = np.cumsum(sizes) - sizes
     mixed = np.minimum.reduceat(labels[rows], at) < np.maximum.reduceat(labels[rows], at)
     rows, sizes = rows[mixed[where]], sizes[mixed]
     starts = np.cumsum(sizes) - sizes
-    out = []
+    found = [(none, none)]
     for start, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
         members = np.unique(rows[start : start + size])
-        own, count = np.unique(labels[members], return_counts=True)
-        for x in members[labels[members] != own[count.argmax()]].tolist():
-            others = members[labels[members] != labels[x]]
-            out.append((np.full(len(others), x), others))
+        found.append(large_run_links(lanes, members, distance, np.unique(labels[members], return_inverse=True)[1]))
     little = sizes <= small
     for step in range(1, int(sizes[little].max(initial=0))):
         a, b = pairs_at(rows, starts[little], sizes[little], step)
         differ = labels[a] != labels[b]
-        out.append((a[differ], b[differ]))
-    return out
+        a, b = a[differ], b[differ]
+        hit = near(lanes, a, b, distance)
+        found.append((a[hit], b[hit]))
+    a, b = map(np.concatenate, zip(*found, strict=True))
+    return forest(labels[a], labels[b])
 
 
-def _meetings(nodes: DataFrame, count: int, how: Segments, similarity: float, block_rows: int) -> DataFrame:
-    """(a, b), a < b: candidate pairs; with a label column all that meet and have different ones, else each point's smallest node with the others."""
+def _meetings(nodes: DataFrame, count: int, how: Segments, similarity: float, block_rows: int, segments: int | None = None) -> DataFrame:
+    """(a, b), a < b: each point's smallest node with the others that are near it. With a label column: labels with near members, a forest by block."""
     labelled = "label" in nodes.columns
-    blocks, top = _blocks(nodes, count, how, ["sketch", "label"] if labelled else ["sketch"], ", label binary" if labelled else "", block_rows)
+    blocks, top = _blocks(nodes, count, how, ["sketch", "label"] if labelled else ["sketch"], ", label binary" if labelled else "", block_rows, segments)
     check = min(CHECK, how.lanes)
     most = cut_off(64 * check, similarity)
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["block"].iloc[0])
         ids = np.frombuffer(b"".join(pdf["nodes"]), np.int64)
-        label = np.frombuffer(b"".join(pdf["label"]), np.int64) if labelled else ids
+        label = np.frombuffer(b"".join(pdf["label"]), np.int64) if labelled else None
         values = np.frombuffer(b"".join(pdf["values"]), how.kind).astype(np.uint64)
         lanes = np.frombuffer(b"".join(pdf["lanes"]), np.uint64).reshape(-1, check)
-        owner, starts, sizes = runs(*ball_entries(values, how.width, top, block & (1 << top) - 1))
-        found = [np.empty(0, np.int64)]
-        for a, b in open_pairs(owner, starts, sizes, label) if labelled else [hub_pairs(owner, starts, sizes, ids)]:
+        finer = min(how.width - top - 1, (len(ids) * (how.width + 1) // POINTS).bit_length())
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for part in range(1 << finer):
+            met = runs(*ball_entries(values, how.width, top + finer, (block & (1 << top) - 1) << finer | part))
+            if labelled:
+                found.append(label_links(*met, lanes, label, most))
+                continue
+            a, b = hub_pairs(*met, ids)
             hit = near(lanes, a, b, most)
-            a, b = np.minimum(a[hit], b[hit]), np.maximum(a[hit], b[hit])
-            found.append(a * len(ids) + b)
-        pairs = np.unique(np.concatenate(found))
-        a, b = ids[pairs // max(1, len(ids))], ids[pairs % max(1, len(ids))]
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-        del owner, values, lanes, found
+            found.append((ids[a[hit]], ids[b[hit]]))
+        a, b = map(np.concatenate, zip(*found, strict=True))
+        a, b = forest(a, b) if labelled else (a, b)
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        del values, lanes, found
         give_back()
         return out
 
     return blocks.applyInPandas(verify, "a long, b long").distinct()
 
 
+def cross_links(sets: list[np.ndarray], lanes: np.ndarray, labels: np.ndarray, side: np.ndarray, distance: int, similarity: float, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are similar across labels, as links that join them. side: 0 or 1, and only rows of different sides are compared; or None, all are."""
+    order = np.argsort(labels, kind="stable")
+    labels = np.unique(labels, return_inverse=True)[1]
+    a, b = [], []
+    left = order if side is None else order[side[order] == 0]
+    right = order if side is None else order[side[order] == 1]
+    for i in range(0, len(left), step):
+        rows = left[i : i + step]
+        apart = np.zeros((len(rows), len(right)), np.uint16)
+        for w in range(lanes.shape[1]):
+            apart += np.bitwise_count(lanes[rows, w][:, None] ^ lanes[right, w][None, :])
+        close = apart <= distance
+        for x, hits in zip(rows.tolist(), close, strict=True):
+            others = right[hits]
+            others = others[labels[others] != labels[x]]
+            if not len(others):
+                continue
+            for y in others[similar(sets, np.full(len(others), x), others, similarity)].tolist():
+                if labels[y] != labels[x]:
+                    a.append(x)
+                    b.append(y)
+                    labels[labels == labels[y]] = labels[x]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _neighbours(labelled: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label, area): nodes whose component meets another, and their neighbourhood; written."""
+    areas = components(edges).select(F.col("node").alias("label"), F.col("root").alias("area"))
+    areas = areas.unionByName(areas.select(F.col("area").alias("label"), "area")).distinct()
+    sized = areas.join(labelled.groupBy("label").agg(F.count("*").alias("n")), "label")
+    return materialize(spread_join(labelled.drop("sketch"), sized, ["label"], "n", labelled.count()).select("node", "label", "area"), "near-open")
+
+
+def _area_links(open_: DataFrame, sets: DataFrame, how: Segments, similarity: float) -> DataFrame:
+    """(a, b): similar nodes of different labels in one neighbourhood. A neighbourhood is cut into parts, and a task compares two parts."""
+    sized = materialize(open_.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node"), "near-sized")
+    areas = sized.groupBy("area").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    side = F.ceil(F.greatest(F.col("n") / AREA_ROWS, F.col("bytes") / AREA_BYTES, F.lit(1))).cast("int")
+    areas = materialize(areas.select("area", "n", "bytes", side.alias("side")), "near-areas")
+    # Small neighbourhoods share a task; a large one's parts meet in tasks of their own.
+    tasks = 1 + int((areas.where("side = 1").agg(F.sum("bytes")).first()[0] or 0) // AREA_BYTES)
+    placed = spread_join(sized.drop("bytes"), areas.drop("bytes"), ["area"], "n", sized.count()).withColumn("part", F.pmod(F.xxhash64("node"), "side"))
+    dealt = placed.select("area", "node", "label", "part", "side", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("other"))
+    large = F.col("side") > 1
+    task = F.when(large, F.col("area")).otherwise(F.pmod(F.xxhash64("area"), F.lit(tasks)))
+    dealt = dealt.select(large.alias("large"), task.alias("task"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "area", "node", "label", "part")
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        lanes = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(-1, how.lanes)
+        nodes, labels, i, j = pdf["node"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64), pdf["i"].iloc[0], pdf["j"].iloc[0]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for rows in pdf.groupby("area").indices.values():
+            side = None if i == j else (pdf["part"].to_numpy()[rows] == j).astype(int)
+            a, b = cross_links([held[r] for r in rows], lanes[rows], labels[rows], side, how.distance, similarity)
+            found.append((nodes[rows[a]], nodes[rows[b]]))
+        a, b = map(np.concatenate, zip(*found, strict=True))
+        del held, lanes
+        give_back()
+        return pd.DataFrame({"a": a, "b": b})
+
+    return materialize(dealt.join(sets, "node").groupBy("large", "task", "i", "j").applyInPandas(check, "a long, b long"), "near-cross-links")
+
+
 def _similar_pairs(prints: DataFrame, texts: DataFrame, shingle: int, similarity: float, how: Segments, block_rows: int) -> DataFrame:
     """(a, b) links between nodes that give the components of similarity; prints: key, node, sketch; texts: key, text."""
     nodes = materialize(prints.groupBy("node").agg(F.first("sketch").alias("sketch")), "near-nodes")
     count = nodes.count()
-    first = materialize(_meetings(nodes, count, how, similarity, block_rows), "near-pairs")
-    sets, size = _sets(prints, texts, first, shingle, how, "near-sets")
+    first = materialize(_meetings(nodes, count, how, similarity, block_rows, min(FIRST_SEGMENTS, how.count)), "near-pairs")
+    sets, size = _sets(prints, texts, first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle, how, "near-sets")
     some = _similar_links(first, sets, size, how, similarity)
     root = components(some).select(F.col("node").alias("__node"), "root")
     labelled = materialize(nodes.join(root, nodes["node"] == root["__node"], "left").select("node", "sketch", F.coalesce("root", "node").alias("label")), "near-labelled")
-    second = _meetings(labelled, count, how, similarity, block_rows)
-    rest = materialize(second.join(first, ["a", "b"], "left_anti"), "near-rest")
-    discard(sets, labelled, nodes)
-    sets, size = _sets(prints, texts, rest, shingle, how, "near-more-sets")
-    found = some.unionByName(_similar_links(rest, sets, size, how, similarity))
-    discard(sets, first, rest)
-    return found
+    discard(sets, nodes)
+    edges = materialize(_meetings(labelled, count, how, similarity, block_rows), "near-edges")
+    open_ = _neighbours(labelled, edges)
+    discard(first, labelled, edges)
+    sets, _ = _sets(prints, texts, open_.select("node"), shingle, how, "near-open-sets")
+    return some.unionByName(_area_links(open_, sets, how, similarity))
 
 
-def _sets(prints: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int, how: Segments, tag: str) -> tuple[DataFrame, int]:
-    """(node, sketch, shingles) of the nodes in pairs, written, and their bytes. Only their texts are read into Python again."""
+def _sets(prints: DataFrame, texts: DataFrame, wanted: DataFrame, shingle: int, how: Segments, tag: str) -> tuple[DataFrame, int]:
+    """(node, sketch, shingles) of the wanted nodes, written, and their bytes. Only their texts are read into Python again."""
 
     def draw(batches):
         for batch in slices(batches):
@@ -528,7 +602,6 @@ def _sets(prints: DataFrame, texts: DataFrame, pairs: DataFrame, shingle: int, h
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "sketch", "shingles"])
         give_back()
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = materialize(prints.groupBy("node").agg(F.min("key").alias("key")).join(wanted, "node", "left_semi").select(F.col("key").alias("__key")), f"{tag}-keys")
     held, _ = split_by_keys(texts, F.col("key"), keys)
     drawn = held.join(keys, held["key"] == keys["__key"], "left_semi").select("text").mapInArrow(draw, "node long, sketch binary, shingles binary")

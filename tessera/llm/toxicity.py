@@ -67,7 +67,7 @@ class ToxicityModel:
 class _Scores(dict):
     """Scores of words met so far; unknown ones get the drift alone."""
 
-    MOST = 1_000_000
+    MOST = 100_000
 
     def __init__(self, model: ToxicityModel):
         super().__init__()

@@ -195,19 +195,50 @@ def test_large_runs_equal_brute_force():
         assert (got == low).all()
 
 
-def test_open_and_hub_pairs_equal_brute_force():
+def joined(labels, a, b):
+    """Labels after the links."""
+    out = labels.copy()
+    for x, y in zip(a.tolist(), b.tolist()):
+        out[out == max(out[x], out[y])] = min(out[x], out[y])
+    return out
+
+
+def test_hub_pairs_and_label_links_equal_brute_force():
     rnd = np.random.default_rng(6)
     points, owner = rnd.integers(0, 40, 900, dtype=np.uint64), rnd.integers(0, 300, 900)
     points, owner = np.array(sorted(set(zip(points.tolist(), owner.tolist())))).T
-    nodes, labels = rnd.permutation(300), rnd.integers(0, 3, 300)
+    nodes, labels = rnd.permutation(300), rnd.integers(0, 60, 300)
+    lanes = (np.uint64(1) << rnd.integers(0, 64, (300, 1), dtype=np.uint64)) | (np.uint64(1) << rnd.integers(0, 64, (300, 1), dtype=np.uint64))
     at = simhash.runs(points.astype(np.uint64), owner)
     groups = [set(owner[points == p].tolist()) for p in range(40)]
-    want = {tuple(sorted((a, b))) for g in groups for a in g for b in g if labels[a] != labels[b]}
-    for small in (3, 1000):
-        got = {tuple(sorted(x)) for a, b in simhash.open_pairs(*at, labels, small) for x in zip(a.tolist(), b.tolist())}
-        assert got == want
     want = {(min(g, key=lambda x: nodes[x]), b) for g in groups for b in g if b != min(g, key=lambda x: nodes[x])}
     assert set(zip(*map(np.ndarray.tolist, simhash.hub_pairs(*at, nodes)))) == want
+    pairs = [(labels[a], labels[b]) for g in groups for a in g for b in g if np.bitwise_count(lanes[a] ^ lanes[b])[0] <= 2]
+    want = joined(np.arange(60), *np.array(pairs).T)
+    for small in (3, 1000):
+        assert (joined(np.arange(60), *simhash.label_links(*at, lanes, labels, 2, small)) == want).all() and (want != np.arange(60)).any()
+
+
+def test_cross_links_equal_brute_force():
+    rnd = np.random.default_rng(8)
+    base = [rnd.choice(1 << 40, 60, replace=False).astype(np.uint64) for _ in range(8)]
+    sets = []
+    for i in range(160):
+        x = base[i % 8].copy()
+        x[: rnd.integers(0, 9)] = rnd.integers(1 << 41, 1 << 42, dtype=np.uint64)
+        sets.append(np.unique(x))
+    how = simhash.segments_for(1000)
+    lanes = np.array([simhash.sketch(x, how.lanes) for x in sets])
+    labels, side = rnd.integers(0, 100, 160), rnd.integers(0, 2, 160)
+    for part in (None, side):
+        want = joined(labels, *np.array([(i, j) for i in range(160) for j in range(160) if (part is None or part[i] != part[j]) and len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 0.8 * len(set(sets[i].tolist()) | set(sets[j].tolist()))]).T)
+        assert (joined(labels, *simhash.cross_links(sets, lanes, labels, part, how.distance, 0.8)) == want).all() and (want != labels).any()
+
+
+def test_neighbourhoods_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "AREA_ROWS", 3)
+    monkeypatch.setattr(simhash, "POINTS", 200)
+    test_components_equal_brute_force(spark)
 
 
 def test_segments_grow_with_the_corpus():
