@@ -103,10 +103,16 @@ def test_curiosity_of_unknown_dates(spark):
     assert [r.score for r in rank.curiosity(events, NOW)(df).orderBy("id").collect()] == [0.025, 0.05, 0.0]
 
 
-def test_exact_tokens():
-    found = text.find_identifiers("fix /etc/app.conf on 10.0.0.1, see main/develop, src/x.py, fooBarBaz, snake_case, v-12b and/or 1/2")
+def value(spark, c):
+    """Of a Column without a table."""
+    return spark.range(1).select(c.alias("v")).first().v
+
+
+def test_exact_tokens(spark):
+    found = value(spark, text.exact_tokens(F.lit("fix /etc/app.conf on 10.0.0.1, see main/develop, src/x.py, fooBarBaz, snake_case, v-12b and/or 1/2")))
     assert found == ["10.0.0.1", "/etc/app.conf", "main", "develop", "src/x.py", "snake_case", "v-12b", "fooBarBaz"]
-    assert text.find_subtokens("parseHttpRequest x") == ["parse", "http", "request", "parsehttprequest"]
+    assert value(spark, text.identifier_tokens(F.lit("parseHttpRequest x"))) == ["parse", "http", "request", "parsehttprequest"]
+    assert value(spark, text.gate_tokens(F.lit("why does src/x.py fail on 10.0.0.1 yesterday")))[:3] == ["10.0.0.1", "src/x.py", "yesterday"]
 
 
 @pytest.mark.parametrize(
@@ -116,17 +122,18 @@ def test_exact_tokens():
         ("30 апреля", "2026-04-30", True), ("April 30th 2025 log", "2025-04-30", True), ("2 weeks ago", "2026-04-20", True),
     ],
 )
-def test_dates_in_queries(query, target, focused):
-    _, _, day, is_focused = times.find_window(query, datetime(2026, 5, 4, 18, 16))
+def test_dates_in_queries(spark, query, target, focused):
+    _, _, day, is_focused = value(spark, times.temporal_window(F.lit(query), "2026-05-04 18:16:00"))
     assert (day, is_focused) == (target, focused)
 
 
-def test_windows_in_queries():
-    at = datetime(2026, 5, 4, 18, 16)
-    assert times.find_window("around April 30", at)[:2] == ("2026-04-27T00:00:00+00:00", "2026-05-03T23:59:59.999999+00:00")
-    assert times.find_window("mid-April", at)[:2] == ("2026-04-11T00:00:00+00:00", "2026-04-20T23:59:59.999999+00:00")
-    assert times.find_window("in december 2024", at)[:2] == ("2024-12-01T00:00:00+00:00", "2025-01-01T00:00:00+00:00")
-    assert times.find_window("you may go", at) is None and times.find_window("all of 2023", at)[0].startswith("2023-01-01")
+def test_windows_in_queries(spark):
+    find = lambda q: value(spark, times.temporal_window(F.lit(q), "2026-05-04 18:16:00"))
+    assert find("around April 30")[:2] == ("2026-04-27T00:00:00+00:00", "2026-05-03T23:59:59.999999+00:00")
+    assert find("mid-April")[:2] == ("2026-04-11T00:00:00+00:00", "2026-04-20T23:59:59.999999+00:00")
+    assert find("in december 2024")[:2] == ("2024-12-01T00:00:00+00:00", "2025-01-01T00:00:00+00:00")
+    assert find("you may go").start is None and find("all of 2023").start.startswith("2023-01-01") and find("in may").end.startswith("2026-06-01")
+    assert find("2026-02-31") == ("2026-02-01T00:00:00+00:00", "2026-03-01T00:00:00+00:00", None, False) or find("2026-02-31").target is None
 
 
 def test_instants_in_three_domains(spark):
