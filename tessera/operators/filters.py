@@ -50,9 +50,17 @@ def is_current(invalidated: str = "invalidated_at") -> Column:
 
 
 def valid_at(instant: Column, start: str = "valid_from", end: str = "valid_until") -> Column:
-    """World time: start inclusive, end exclusive, missing bounds open, 'current' is no end."""
-    low, high = F.col(start), F.nullif(F.col(end).cast("string"), F.lit("current")).cast("timestamp")
-    return (low.isNull() | (low.cast("timestamp") <= instant.cast("timestamp"))) & (high.isNull() | (high > instant.cast("timestamp")))
+    """World time: start inclusive, end exclusive, missing bounds open, 'current' is no end.
+
+    A bound that is no instant is compared as text, so it decides on its own row only.
+    """
+    low, high = F.col(start), F.nullif(F.col(end).cast("string"), F.lit("current"))
+
+    def bound(c: Column, compare) -> Column:
+        parsed = c.try_cast("timestamp")
+        return F.when(parsed.isNotNull(), compare(parsed, instant.cast("timestamp"))).otherwise(compare(c.cast("string"), instant.cast("string")))
+
+    return (low.isNull() | bound(low, lambda x, y: x <= y)) & (high.isNull() | bound(high, lambda x, y: x > y))
 
 
 def validity(df: DataFrame, as_of: str | None = None, include_invalidated: bool = False) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import scoring, text
 from .index import TextIndex
 
 #: Query vectors that are sent to the tasks at once; more are searched in rounds.
+ROW_STEP = 1000
 QUERY_BLOCK = 4096
 
 
@@ -43,19 +44,20 @@ def sparse(index: TextIndex, terms: DataFrame, k: int = 20) -> DataFrame:
 
 
 def vector(vectors: DataFrame, queries: DataFrame, k: int = 20, exclude_self: bool = False, min_score: float | None = None) -> DataFrame:
-    """Exact cosine top-k. vectors: id, embedding; queries: query_id, vec.
+    """Exact cosine top-k. vectors: id, embedding; queries: query_id, vec. Ids keep their types; rows without one are left out.
 
-    Query vectors go to the tasks in blocks of bounded size; each Arrow batch is one
-    matrix product and keeps its own best k, so what is shuffled does not grow with
-    the table times the queries.
+    Query vectors go to the tasks in blocks of bounded size; rows are multiplied a few at a
+    time, and each step keeps its own best k (ties by id), so what is shuffled does not
+    grow with the table times the queries.
     """
     spark = vectors.sparkSession
     wanted = queries.select("query_id", "vec").where("vec IS NOT NULL").orderBy("query_id")
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
     out = None
     rows = wanted.collect() if wanted.count() <= QUERY_BLOCK else None
     blocks = [rows] if rows is not None else _blocks(wanted)
     for block in blocks:
-        ids = np.array([r["query_id"] for r in block], np.int64)
+        ids = np.array([r["query_id"] for r in block], object)
         matrix = np.array([r["vec"] for r in block], np.float64).reshape(len(ids), -1)
         norms = np.linalg.norm(matrix, axis=1)
         shared = spark.sparkContext.broadcast((ids, matrix, norms))
@@ -63,25 +65,22 @@ def vector(vectors: DataFrame, queries: DataFrame, k: int = 20, exclude_self: bo
         def best(batches, shared=shared):
             qids, q, qn = shared.value
             for pdf in batches:
-                if not len(qids) or not len(pdf):
-                    continue
-                x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                own = pdf["id"].to_numpy()
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = (x @ q.T) / (np.linalg.norm(x, axis=1)[:, None] * qn[None, :])
-                s = np.where(np.isfinite(s), s, -np.inf)
-                if exclude_self:
-                    s = np.where(own[:, None] == qids[None, :], -np.inf, s)
-                # Ties at the block's edge stay: all rows at or over the k-th score.
-                if len(own) > k:
-                    edge = np.partition(s, len(own) - k, axis=0)[len(own) - k]
-                    keep = np.round(s, 9) >= np.round(edge, 9)[None, :]
-                else:
-                    keep = np.ones_like(s, bool)
-                i, j = np.nonzero(keep & np.isfinite(s))
-                yield pd.DataFrame({"query_id": qids[j], "id": own[i], "score": s[i, j]})
-
-        part = vectors.select(F.col("id").cast("long").alias("id"), "embedding").where("embedding IS NOT NULL").mapInPandas(best, "query_id long, id long, score double")
+                for at in range(0, len(pdf) if len(qids) else 0, ROW_STEP):
+                    part = pdf.iloc[at : at + ROW_STEP]
+                    own = part["id"].to_numpy(object)
+                    x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        s = (x @ q.T) / (np.linalg.norm(x, axis=1)[:, None] * qn[None, :])
+                    s[~np.isfinite(s)] = -np.inf
+                    if exclude_self:
+                        s[own[:, None] == qids[None, :]] = -np.inf
+                    by_id = np.argsort(own, kind="stable")
+                    order = by_id[np.argsort(-np.round(s[by_id], 9), axis=0, kind="stable")][:k]
+                    i, j = order.ravel(), np.tile(np.arange(len(qids)), len(order))
+                    real = np.isfinite(s[i, j])
+                    yield pd.DataFrame({"query_id": qids[j[real]], "id": own[i[real]], "score": s[i[real], j[real]]})
+
+        part = vectors.select("id", "embedding").where("id IS NOT NULL AND embedding IS NOT NULL").mapInPandas(best, f"query_id {kinds[0]}, id {kinds[1]}, score double")
         out = part if out is None else out.unionByName(part)
     if min_score is not None:
         out = out.where(F.col("score") >= min_score)

@@ -46,7 +46,7 @@ def near_facts(facts: DataFrame, by: str = "entity", most: int = 50) -> DataFram
                 kept.append((row.fact_id, row.n))
         return pd.DataFrame({by: pdf[by].iloc[0], "fact_id": [i for i, _ in kept], "place": range(1, len(kept) + 1)})
 
-    schema = f"{by} {slim.schema[by].dataType.simpleString()}, fact_id long, place long"
+    schema = f"{by} {slim.schema[by].dataType.simpleString()}, fact_id {slim.schema['fact_id'].dataType.simpleString()}, place long"
     return slim.groupBy(by).applyInPandas(greedy, schema).join(facts, [by, "fact_id"])
 
 

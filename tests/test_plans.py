@@ -70,3 +70,29 @@ def test_links_of_notes(spark):
 def test_front_matter():
     assert markup.front_matter("﻿---\ntitle: T\ntags: [a]\n---\nbody") == ({"title": "T", "tags": ["a"]}, "body")
     assert markup.front_matter("---\n: [\n---\nbody") == ({}, "body") and markup.front_matter("no") == ({}, "no") and markup.front_matter("---\n---\nx") == ({}, "x")
+
+
+def test_ids_keep_their_types(spark):
+    from tessera.operators import filters, retrieve, synthesis
+    from tessera.plans.recall import RecallConfig, recall
+
+    big = (1 << 60) + 1
+    for a, b in (("1f0c-a", "9e2d-b"), (big, big + 2)):
+        kind = "string" if isinstance(a, str) else "long"
+        chunks = spark.createDataFrame([(a, "blue cup on the table", "s"), (b, "red hat in the hall", "s"), (None, "blue cup", "s")], f"id {kind}, text string, source string").where("id IS NOT NULL")
+        vectors = spark.createDataFrame([(a, [1.0, 0.0]), (b, [0.0, 1.0]), (None, [1.0, 0.0])], f"id {kind}, embedding array<double>").coalesce(1)
+        queries = spark.createDataFrame([(1, "blue cup", [1.0, 0.1])], "query_id long, text string, vec array<double>")
+        assert [r.id for r in retrieve.vector(vectors, queries, 2).orderBy("rank").collect()] == [a, b]
+        assert recall(chunks, vectors, queries, RecallConfig()).orderBy("rank").first().id == a
+        facts = spark.createDataFrame([("e", a, "one fact", 0.9, "2024-01-01"), ("e", b, "quite another thing", 0.8, "2024-01-02")], f"entity string, fact_id {kind}, text string, relevance double, ts string")
+        assert {r.fact_id for r in synthesis.near_facts(facts).collect()} == {a, b}
+    rows = spark.createDataFrame([(1, "2024-01-01T00:00:00Z", "current"), (2, "someday", None), (3, None, "2023-01-01")], "id long, valid_from string, valid_until string")
+    assert [r.id for r in filters.validity(rows, "2024-01-20 00:00:00").orderBy("id").collect()] == [1]
+
+
+def test_ties_are_cut_by_id(spark):
+    from tessera.operators import retrieve
+
+    vectors = spark.range(2500).select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    queries = spark.createDataFrame([(7, [2.0, 0.0])], "query_id long, vec array<double>")
+    assert [r.id for r in retrieve.vector(vectors, queries, 3, exclude_self=True).orderBy("rank").collect()] == [0, 1, 2]
