@@ -153,19 +153,23 @@ def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFram
     return held.where(hit).select(columns), held.where(~hit).select(columns)
 
 
-#: Most keys that are sent to all tasks by ``spread_join``.
-HOT = 1024
+#: Most keys that are sent to all tasks by ``spread_join``, and rows of a key that burden no task.
+HOT, FEW = 1024, 1000
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """left joined to right on keys, where right has a row a key and ``weight`` says how much of ``total`` is the key's.
 
-    Keys with more than a ``HOT``-th of the total, of which there cannot be more than
-    ``HOT``, are sent to all tasks, so their rows in left stay where they are; the others meet
-    by a shuffle, and none of them is hot. left is read twice: hand in a written table.
+    Keys with more than a ``HOT``-th of the total (and over ``FEW``), of which there cannot be
+    more than ``HOT``, are sent to all tasks, so their rows in left stay where they are; the
+    others meet by a shuffle, and none of them is hot. Without hot keys it is a plain
+    join. left is read twice: hand in a written table.
     """
+    is_hot = (F.col(weight) * HOT > F.lit(total)) & (F.col(weight) > FEW)
+    if total <= FEW or right.where(is_hot).isEmpty():
+        return left.join(right, keys, how)
     (mark,) = unused([*left.columns, *right.columns], "__hot")
-    hot = right.where(F.col(weight) * HOT > F.lit(total))
+    hot = right.where(is_hot)
     found = left.join(F.broadcast(hot.withColumn(mark, F.lit(True))), keys, how).where(F.col(mark)).drop(mark)
-    rest = left.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(right.where(F.col(weight) * HOT <= F.lit(total)), keys, how)
+    rest = left.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(right.where(~is_hot), keys, how)
     return found.unionByName(rest)

@@ -244,3 +244,12 @@ def test_neighbourhoods_are_cut_into_parts(spark, monkeypatch):
 def test_segments_grow_with_the_corpus():
     small, large = simhash.segments_for(50_000), simhash.segments_for(10_000_000_000)
     assert (small.width, large.width) == (22, 40) and large.count > small.count
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "FEW", 10)
+    links = [(1, i) for i in range(2, 3000)] + [(5000, 5001), (5001, 5002), (2999, 4000)]
+    got = simhash.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {(r.node, r.root) for r in got} == {*((i, 1) for i in range(2, 3000)), (4000, 1), (5001, 5000), (5002, 5000)}
