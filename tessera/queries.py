@@ -596,10 +596,10 @@ def payload_diff(spark, sf):
     return out.select("id", F.array_join("changed", ",").alias("changed"), F.array_join("removed", ",").alias("removed"))
 
 
-@query("SELECT doc_id AS id FROM documents d WHERE doc_id % 5 = 0 AND source <> 'src0' AND source IN (SELECT source FROM documents WHERE doc_id % 5 <> 0)")
+@query("SELECT doc_id AS id FROM documents d WHERE doc_id % 7 = 0 AND source <> 'src0' AND source IN (SELECT source FROM documents WHERE doc_id % 7 <> 0)")
 def prune_stale(spark, sf):
     d = docs_of(spark, sf).select("id", "source")
-    return lifecycle.stale(d, d.where("id % 5 <> 0"), spark.createDataFrame([("src0",)], "source string")).select("id")
+    return lifecycle.stale(d, d.where("id % 7 <> 0"), spark.createDataFrame([("src0",)], "source string")).select("id")
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
