@@ -192,6 +192,31 @@ def test_paragraphs_pack_up_to_the_size():
     assert all(source[o : o + len(t)] == t for o, t in found)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["a" * 5, "b" * 12, " c" * 9, "d" * 40, "\n", "\n\n", "\n \t\n", "  "]), max_size=40), st.integers(1, 45), st.integers(0, 30))
+def test_paragraphs_are_packed_as_one_by_one(parts, size, least):
+    source, groups = "".join(parts), []
+    at = 0
+    for part in re.split(r"(\n\s*\n)", source):
+        if body := part.strip():
+            used = sum(len(b) + 2 for _, b in groups[-1]) if groups else 0
+            if not groups or len(body) >= size or len(groups[-1][0][1]) >= size or (used + len(body) + 2 > size and used >= least):
+                groups.append([])
+            groups[-1].append((at, body))
+        at += len(part)
+    assert chunk.find_paragraphs(source, size, least) == [(g[0][0], "\n\n".join(b for _, b in g)) for g in groups]
+
+
+@pytest.mark.parametrize(
+    "language, line, name",
+    [("rust", "pub(crate) fn run() {", "run"), ("typescript", "export default class Box {", "Box"), ("go", "func (r *Repo) Get() {", "Get"), ("c", "static int parse(char *s) {", "parse"), ("cpp", "int Box::size() {", "size"), ("kotlin", "enum class Kind {", "Kind"), ("shell", "run() {", "run")],
+)
+def test_definitions_by_language(language, line, name):
+    source = "x = 1\n" * 60 + f"// about\n{line}\n}}\n"
+    assert chunk.find_definitions(source, language)[-1][2] == name
+    assert all(s is None for _, _, s in chunk.find_definitions("int parse(char *s);\n" * 20, "c"))
+
+
 def test_lifecycle_round_trip(spark):
     stored = spark.createDataFrame([(1, "a", "t1", None), (2, "b", "t2", None), (3, "c", None, None)], "id long, source string, tenant_id string, invalidated_at string")
     fresh = spark.createDataFrame([(1, "a2", None), (4, "d", None)], "id long, source string, tenant_id string")
