@@ -217,6 +217,33 @@ def test_definitions_by_language(language, line, name):
     assert all(s is None for _, _, s in chunk.find_definitions("int parse(char *s);\n" * 20, "c"))
 
 
+def test_times_compare_across_domains(spark):
+    rows = [(1, "2024-01-01T00:00:00Z"), (2, "1704067200"), (3, "1704153600000"), (4, "someday"), (5, None), (6, "2024-01-03")]
+    df = spark.createDataFrame(rows, "id long, ts string")
+
+    def kept(want, frame=df, key="ts"):
+        return [r.id for r in frame.where(filters.payload_filter({"ts": want}, frame.schema, key)).orderBy("id").collect()]
+
+    assert kept("2024-01-01T00:00:00+00:00") == [1, 2] and kept(1704067200) == [1, 2] and kept("someday") == [4]
+    assert kept({"gte": 1704067200, "lte": "2024-01-02T12:00:00Z"}) == [1, 2, 3] and kept({"gte": "2024-01-02"}) == [3, 4, 6]
+    epochs = spark.createDataFrame([(1, 1704067200), (2, 1704153600), (3, None)], "id long, ts long")
+    assert kept({"gte": "2024-01-02T00:00:00Z"}, epochs) == [2] and kept({"gte": "later"}, epochs, None) == [] and kept({"gte": "1704100000"}, epochs, None) == [2]
+    stamps = epochs.select("id", F.timestamp_seconds("ts").alias("ts"))
+    bounds = filters.native_bounds({"ts": {"gte": 1704153600}}, "ts", stamps.schema)
+    assert [r.id for r in stamps.where(filters.payload_filter(bounds, stamps.schema)).collect()] == [2] and kept({"lte": 5}, stamps, None) == []
+
+
+def test_scope_is_checked_again_after_the_stages(spark):
+    hits = spark.createDataFrame([(1, ["graph"], True, "x"), (2, ["graph", "bm25"], True, "x"), (3, ["graph"], False, "x"), (4, ["bm25"], None, "y"), (5, ["graph"], None, None)], "id long, sources array<string>, attributed boolean, lang string")
+    assert [r.id for r in hits.where(filters.passes_scope(F.col("lang") == "y")).orderBy("id").collect()] == [1, 4]
+    names = spark.createDataFrame([("a.md",), ("b.md",), (None,)], "name string")
+    chunks = spark.createDataFrame([("a.md",), ("a.md",), (None,)], "source string")
+    assert [r.name for r in filters.attributed(names, chunks).collect()] == ["a.md"]
+    nested = spark.createDataFrame([(1, "t", [(1, "t"), (2, "u"), (3, None)]), (2, "u", [])], "id long, tenant_id string, more array<struct<id:long,tenant_id:string>>")
+    got = filters.scrub_tenant(nested, "t", "more").collect()
+    assert [(r.id, [m.id for m in r.more]) for r in got] == [(1, [1])] and filters.scrub_tenant(nested, None).count() == 2
+
+
 def test_lifecycle_round_trip(spark):
     stored = spark.createDataFrame([(1, "a", "t1", None), (2, "b", "t2", None), (3, "c", None, None)], "id long, source string, tenant_id string, invalidated_at string")
     fresh = spark.createDataFrame([(1, "a2", None), (4, "d", None)], "id long, source string, tenant_id string")
