@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, scoring, text
@@ -45,6 +45,24 @@ def build(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer
     return TextIndex(posts, term_stats(posts, n), n, (total or 0) / max(n, 1))
 
 
+def save(idx: TextIndex, path: str, buckets: int = 256) -> None:
+    """Writes an index in folders by term, so that a batch reads those of its terms."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    for name, table in (("postings", idx.postings), ("terms", idx.terms)):
+        table.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+    idx.postings.sparkSession.createDataFrame([(idx.documents, float(idx.mean), buckets)], "documents long, mean double, buckets long").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def load(spark: SparkSession, path: str, only: DataFrame | None = None) -> TextIndex:
+    """A saved index; ``only`` (column term) prunes it to a batch's terms and their folders."""
+    corpus = spark.read.parquet(f"{path}/corpus").first()
+    posts, terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+    if only is not None:
+        wanted = only.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(corpus.buckets)).cast("int"))
+        posts, terms = (t.join(wanted, ["bucket", "term"], "left_semi") for t in (posts, terms))
+    return TextIndex(posts.drop("bucket"), terms.drop("bucket"), corpus.documents, corpus.mean)
+
+
 def sparse_vectors(posts: DataFrame) -> DataFrame:
     """id, index, value: hashed sparse vectors; terms that share an index add up."""
     return posts.groupBy("id", ids.token_index(F.col("term")).alias("index")).agg(F.sum("tf").cast("double").alias("value"))

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring, text
+from ..functions import scoring, text, times
+from .filters import intersect_window, valid_at
 from .index import TextIndex
 
 #: Query vectors that are sent to the tasks at once; more are searched in rounds.
@@ -43,27 +44,34 @@ def sparse(index: TextIndex, terms: DataFrame, k: int = 20) -> DataFrame:
     return top_k(index.postings.join(terms.join(index.terms, "term"), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")), k)
 
 
-def vector(vectors: DataFrame, queries: DataFrame, k: int = 20, exclude_self: bool = False, min_score: float | None = None) -> DataFrame:
+def vector(vectors: DataFrame, queries: DataFrame, k: int = 20, exclude_self: bool = False, min_score: float | None = None, ts: str | None = None) -> DataFrame:
     """Exact cosine top-k. vectors: id, embedding; queries: query_id, vec. Ids keep their types; rows without one are left out.
 
+    ts names a time of the vectors; queries then have start and end, both inclusive, and see no others.
+
     Query vectors go to the tasks in blocks of bounded size; rows are multiplied a few at a
     time, and each step keeps its own best k (ties by id), so what is shuffled does not
     grow with the table times the queries.
     """
     spark = vectors.sparkSession
-    wanted = queries.select("query_id", "vec").where("vec IS NOT NULL").orderBy("query_id")
+    span = [F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("start", "end")] if ts else []
+    when = [F.unix_micros(F.col(ts).cast("timestamp")).alias("at")] if ts else []
+    wanted = queries.select("query_id", "vec", *span).where("vec IS NOT NULL").orderBy("query_id")
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
     out = None
-    rows = wanted.collect() if wanted.count() <= QUERY_BLOCK else None
-    blocks = [rows] if rows is not None else _blocks(wanted)
+    rows = wanted.limit(QUERY_BLOCK + 1).collect()
+    if not rows:
+        return spark.createDataFrame([], f"query_id {kinds[0]}, rank long, id {kinds[1]}, score double")
+    blocks = [rows] if len(rows) <= QUERY_BLOCK else _blocks(wanted)
     for block in blocks:
         ids = np.array([r["query_id"] for r in block], object)
         matrix = np.array([r["vec"] for r in block], np.float64).reshape(len(ids), -1)
         norms = np.linalg.norm(matrix, axis=1)
-        shared = spark.sparkContext.broadcast((ids, matrix, norms))
+        bounds = np.array([[r["start"], r["end"]] for r in block], np.int64).reshape(len(ids), 2).T if ts else None
+        shared = spark.sparkContext.broadcast((ids, matrix, norms, bounds))
 
         def best(batches, shared=shared):
-            qids, q, qn = shared.value
+            qids, q, qn, span = shared.value
             for pdf in batches:
                 for at in range(0, len(pdf) if len(qids) else 0, ROW_STEP):
                     part = pdf.iloc[at : at + ROW_STEP]
@@ -74,13 +82,17 @@ def vector(vectors: DataFrame, queries: DataFrame, k: int = 20, exclude_self: bo
                     s[~np.isfinite(s)] = -np.inf
                     if exclude_self:
                         s[own[:, None] == qids[None, :]] = -np.inf
+                    if span is not None:
+                        at_ = part["at"].to_numpy(np.int64)[:, None]
+                        s[(at_ < span[0][None, :]) | (at_ > span[1][None, :])] = -np.inf
                     by_id = np.argsort(own, kind="stable")
                     order = by_id[np.argsort(-np.round(s[by_id], 9), axis=0, kind="stable")][:k]
                     i, j = order.ravel(), np.tile(np.arange(len(qids)), len(order))
                     real = np.isfinite(s[i, j])
                     yield pd.DataFrame({"query_id": qids[j[real]], "id": own[i[real]], "score": s[i[real], j[real]]})
 
-        part = vectors.select("id", "embedding").where("id IS NOT NULL AND embedding IS NOT NULL").mapInPandas(best, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+        held = vectors.select("id", "embedding", *when).where("id IS NOT NULL AND embedding IS NOT NULL" + (" AND at IS NOT NULL" if ts else ""))
+        part = held.mapInPandas(best, f"query_id {kinds[0]}, id {kinds[1]}, score double")
         out = part if out is None else out.unionByName(part)
     if min_score is not None:
         out = out.where(F.col("score") >= min_score)
@@ -118,6 +130,64 @@ def date_focused(docs: DataFrame, target: str, k: int, ts: str = "ts", source: s
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))  # at most k rows
 
 
+def exact(index: TextIndex, queries: DataFrame, k: int = 10) -> DataFrame:
+    """BM25 over the technical tokens of the queries that have any."""
+    return bm25(index, exact_terms(queries), k)
+
+
+def exact_terms(queries: DataFrame) -> DataFrame:
+    return query_terms(queries.select("query_id", F.array_join(text.exact_tokens("text"), " ").alias("text")))
+
+
+def temporal(docs: DataFrame, vectors: DataFrame, queries: DataFrame, now: str, k: int = 10, ts: str = "ts", source: str = "source", gte: Column | None = None, lte: Column | None = None) -> DataFrame:
+    """Documents of the time that a query speaks of, inside the caller's bounds; other queries return nothing.
+
+    A query about a day and nothing else gets that day, its diary first, then its
+    neighbours by distance to noon; the rest are searched by vector inside their window.
+    Days are ranked once for all queries that ask for them. The batch's windows are kept
+    in the cache, since three branches read them.
+    """
+    # Exploded, since a projection would be copied into each of its uses.
+    spoken = queries.select("query_id", "vec", F.explode(F.array(times.temporal_window(F.col("text"), now))).alias("w")).where("w.start IS NOT NULL")
+    low, high, some = intersect_window(F.col("w.start").cast("timestamp"), F.col("w.end").cast("timestamp"), gte, lte)
+    day = F.col("w.target").cast("date")
+    inside = (day >= low.cast("date")) & (day <= high.cast("date"))
+    asked = spoken.where(some).select("query_id", "vec", low.alias("start"), high.alias("end"), day.alias("target"), F.coalesce(F.col("w.date_focused") & inside, F.lit(False)).alias("focused")).persist()
+
+    window = ["start", "end", "target"]
+    spans = asked.where("focused").select(*window).distinct().withColumn("day", F.explode(F.sequence(F.col("start").cast("date"), F.col("end").cast("date"))))
+    own = docs.select("id", F.col(ts).cast("timestamp").alias("ts"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).withColumn("day", F.col("ts").cast("date"))
+    near = own.join(spans, "day").where("ts BETWEEN start AND end")
+    noon = F.unix_micros(F.col("target").cast("timestamp")) + 43_200_000_000
+    away = F.abs(F.unix_micros("ts") - noon) / 1e6
+    order = Window.partitionBy(*window).orderBy(F.col("day") != F.col("target"), ~F.endswith("source", F.concat(F.date_format("target", "yyyy-MM-dd"), F.lit(".md"))), away, "id")
+    best = near.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(*window, "rank", "id", (1 / (1 + away / 86400)).alias("score"))
+    by_day = asked.where("focused").select("query_id", *window).join(best, window).select("query_id", "rank", "id", "score")
+
+    timed = vectors.select("id", "embedding").join(docs.select("id", F.col(ts).alias("__ts")), "id")
+    return by_day.unionByName(vector(timed, asked.where("NOT focused"), k, ts="__ts"))
+
+
+def graph(nodes: DataFrame, edges: DataFrame, queries: DataFrame, k: int = 10, each: int = 5, width: int = 300, as_of: str | None = None) -> DataFrame:
+    """Nodes that a query names and that have a valid edge: query_id, rank, id ('graph:name'), score, name, text.
+
+    nodes: name, type; edges: src, rel, dst, valid_from, valid_until. The text lists up to
+    ``each`` edges, in either direction; only those of hit nodes are gathered.
+    """
+    hits = graph_hits(nodes, queries.select("query_id", F.explode(F.array_distinct(text.query_tokens("text"))).alias("token")), k=5 * k)
+    valid = edges.where(valid_at(F.lit(as_of))) if as_of is not None else edges
+    named = hits.select("name").distinct()
+    arrow = F.concat("src", F.lit("-["), "rel", F.lit("]->"), "dst").alias("edge")
+    out = valid.select(F.col("src").alias("name"), arrow).unionByName(valid.where("src <> dst").select(F.col("dst").alias("name"), arrow)).join(named, "name", "left_semi").distinct()
+    first = out.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("edge"))).where(F.col("n") <= each)
+    said = first.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("edge")), "; ").alias("edges"))
+    kinds = nodes.groupBy("name").agg(F.min("type").alias("type"))
+    told = F.substring(F.concat(F.coalesce("type", F.lit("")), F.lit(": "), "name", F.lit(". "), "edges"), 1, width)
+    found = hits.drop("rank").join(said, "name").join(kinds, "name").select("query_id", "name", F.concat(F.lit("graph:"), "name").alias("id"), F.col("hits").cast("double").alias("score"), told.alias("text"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
 def graph_hits(nodes: DataFrame, tokens: DataFrame, shortest_part: int = 5, k: int = 10) -> DataFrame:
     """Nodes named by query tokens: (query_id, name, hits). tokens: query_id, token.
 

@@ -30,6 +30,13 @@ class RecallConfig:
     tenant: object = None
     filters: dict = field(default_factory=dict)
     stages: list | None = None
+    exact: bool = False
+    now: str | None = None  # set, it turns the temporal arm on
+    fields: dict = field(default_factory=dict)  # text fields searched by gate and vector, with their weights
+    vector_min_score: float | None = None
+    fallback: bool = False
+    timestamp_key: str | None = None
+    timestamp_unit: str = "auto"
 
     def __post_init__(self):
         if self.lexical not in LEXICAL:
@@ -48,35 +55,69 @@ def in_scope(chunks: DataFrame, config: RecallConfig) -> DataFrame:
     out = flt.tenant_scope(chunks, config.tenant)
     if "invalidated_at" in chunks.columns or config.as_of is not None:
         out = flt.validity(out, config.as_of, config.include_invalidated)
-    return out.where(flt.payload_filter(config.filters, chunks.schema)) if config.filters else out
+    if not config.filters:
+        return out
+    key = config.timestamp_key
+    own = flt.native_bounds(config.filters, key, chunks.schema) if key else config.filters
+    return out.where(flt.payload_filter(own, chunks.schema, key if own is config.filters else None, config.timestamp_unit))
 
 
-def recall(chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, config: RecallConfig | None = None) -> DataFrame:
+def recall(
+    chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, config: RecallConfig | None = None, idx: index.TextIndex | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None
+) -> DataFrame:
     """query_id, rank, id, score, sources and the chunk's columns.
 
-    chunks: id, text, ..; vectors: id, embedding; queries: query_id, text, vec.
+    chunks: id, text, ..; vectors: id, embedding; queries: query_id, text, vec. idx: a
+    stored index of the chunks' texts, else the batch's terms are indexed. nodes (name,
+    type) and edges turn the graph arm on; ids then are strings. A tenant's graph needs
+    tenant_id in both; without it, as the exact arm under a tenant, the arm is off.
     """
     config = config or RecallConfig()
+    if nodes is not None:
+        chunks = chunks.withColumn("id", F.col("id").cast("string"))
+        vectors = None if vectors is None else vectors.withColumn("id", F.col("id").cast("string"))
+        if idx is not None:
+            idx = index.TextIndex(idx.postings.withColumn("id", F.col("id").cast("string")), idx.terms, idx.documents, idx.mean)
     scope = in_scope(chunks, config)
+    ids = scope.select("id")
+
+    def indexed(terms: DataFrame, column: str = "text") -> index.TextIndex:
+        whole = idx if idx is not None and column == "text" else index.build(chunks.select("id", F.col(column).alias("text")), only=terms)
+        return index.TextIndex(whole.postings.join(ids, "id", "left_semi"), whole.terms, whole.documents, whole.mean)
+
     arms = []
     if config.lexical != "off":
         terms = retrieve.query_terms(queries)
-        idx = index.build(chunks.select("id", "text"), only=terms)
         arm = retrieve.sparse if config.lexical == "sparse" else retrieve.bm25
-        posts = idx.postings.join(scope.select("id"), "id", "left_semi")
-        idx = index.TextIndex(posts, idx.terms, idx.documents, idx.mean)
-        arms.append(("bm25", arm(idx, terms, config.bm25_limit)))
+        arms.append(("bm25", arm(indexed(terms), terms, config.bm25_limit)))
     dense = None
     if vectors is not None:
-        dense = retrieve.vector(vectors.join(scope.select("id"), "id", "left_semi"), queries, config.vector_limit)
+        vectors = vectors.join(ids, "id", "left_semi")
+        dense = retrieve.vector(vectors, queries, config.vector_limit, min_score=config.vector_min_score)
         arms.append(("vector", dense))
+        gates = queries.select("query_id", F.explode(text.gate_tokens("text")).alias("token")).select("query_id", F.explode(text.tokens("token")).alias("term")).distinct()
+        for name in config.fields:
+            arms.append((f"text:{name}", retrieve.gated(indexed(gates, name), gates, vectors, queries, config.vector_limit)))
+        if config.now is not None:
+            arms.append(("temporal", retrieve.temporal(scope, vectors, queries, config.now, config.limit)))
+    if config.exact and config.tenant is None:
+        terms = retrieve.exact_terms(queries)
+        arms.append(("exact", retrieve.bm25(indexed(terms), terms, config.limit)))
+    named = graph_arm(nodes, edges, scope, queries, config)
+    if named is not None:
+        arms.append(("graph", named.select("query_id", "rank", "id", "score")))
+        scope = scope.unionByName(named.select("id", "text", F.col("name").alias("source")).distinct(), allowMissingColumns=True)
     ranked = fuse.lists(*arms)
+    # A weight of 1 leaves a field's arm to the adaptive profile.
+    weights = {**{f"text:{name}": w for name, w in config.fields.items() if w != 1.0}, **config.weights}
     if config.adaptive:
         ranked = ranked.join(queries.select("query_id", F.col("text").alias("__q")), "query_id")
-        weight = fuse.adaptive_weight("__q", config.weights)
+        weight = fuse.adaptive_weight("__q", weights)
     else:
-        weight = fuse.static_weight(config.weights) if config.weights else None
+        weight = fuse.static_weight(weights) if weights else None
     fused = fuse.rrf(ranked, config.rrf_k, config.pool if config.stages else config.limit, weight)
+    if dense is not None and config.fallback:
+        fused = with_fallback(fused, dense, vectors, queries, config)
     if dense is not None and config.vector_floor:
         floor = fuse.vector_floor(fused, dense, config.vector_floor)
         fused = floor.join(fused.select("query_id", "id", "sources"), ["query_id", "id"], "left").withColumn("sources", F.coalesce("sources", F.array(F.lit("vector"))))
@@ -90,6 +131,30 @@ def recall(chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, con
     return out
 
 
+def graph_arm(nodes: DataFrame | None, edges: DataFrame | None, scope: DataFrame, queries: DataFrame, config: RecallConfig) -> DataFrame | None:
+    """Hits of the graph; under filters only those that a chunk in scope backs, without their edges' other ends."""
+    if nodes is None or edges is None or (config.tenant is not None and not all("tenant_id" in t.columns for t in (nodes, edges))):
+        return None
+    hits = retrieve.graph(flt.tenant_scope(nodes, config.tenant), flt.tenant_scope(edges, config.tenant), queries, config.limit, as_of=config.as_of)
+    if not config.filters:
+        return hits
+    return flt.attributed(hits, scope).withColumn("text", F.concat(F.substring_index("text", ": ", 1), F.lit(": "), "name"))
+
+
+def with_fallback(fused: DataFrame, dense: DataFrame, vectors: DataFrame, queries: DataFrame, config: RecallConfig) -> DataFrame:
+    """Queries without a vector hit are searched again without a least score."""
+    missed = queries.join(dense.select("query_id").distinct(), "query_id", "left_anti")
+    most = max(config.limit, config.vector_limit)
+    more = retrieve.vector(vectors, missed, most)
+    own = fused.join(missed.select("query_id"), "query_id", "left_semi")
+    merged = fuse.fallback_merge(own.select("query_id", "rank", "id", "score"), more).where(F.col("rank") <= (config.pool if config.stages else config.limit))
+    found = more.select("query_id", "id", F.array(F.lit("vector")).alias("__v"))
+    none = F.array().cast("array<string>")
+    merged = merged.join(own.select("query_id", "id", "sources"), ["query_id", "id"], "left").join(found, ["query_id", "id"], "left")
+    merged = merged.select("query_id", "rank", "id", "score", F.array_union(F.coalesce("sources", none), F.coalesce("__v", none)).alias("sources"))
+    return fused.join(missed.select("query_id"), "query_id", "left_anti").unionByName(merged)
+
+
 def trace(lists: DataFrame, fused: DataFrame) -> DataFrame:
     """What each arm and the fusion returned, as rows."""
     return lists.select("query_id", "list_name", "rank", "id", F.col("score").cast("double").alias("score")).unionByName(fused.select("query_id", F.lit("fused").alias("list_name"), "rank", "id", "score"))

@@ -96,3 +96,57 @@ def test_ties_are_cut_by_id(spark):
     vectors = spark.range(2500).select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
     queries = spark.createDataFrame([(7, [2.0, 0.0])], "query_id long, vec array<double>")
     assert [r.id for r in retrieve.vector(vectors, queries, 3, exclude_self=True).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_arms_of_recall(spark):
+    from tessera.operators import retrieve
+    from tessera.plans.recall import RecallConfig, graph_arm, recall
+
+    rows = [
+        ("a", "plan of the day", "2024-01-05.md", "2024-01-05 09:00:00", [1.0, 0.0], "Ann wrote"),
+        ("b", "other things of the day", "x.md", "2024-01-05 12:00:00", [0.0, 1.0], "Bob wrote"),
+        ("c", "the day after", "Acme", "2024-01-06 01:00:00", [0.6, 0.8], "Ann again"),
+        ("d", "error in parse_token_stream at 10.1.2.3", "y.md", "2023-05-01 00:00:00", [-1.0, 0.0], None),
+    ]
+    chunks = spark.createDataFrame(rows, "id string, text string, source string, ts string, embedding array<double>, author string")
+    vectors, chunks = chunks.select("id", "embedding"), chunks.drop("embedding")
+    queries = spark.createDataFrame([(1, "what happened on 2024-01-05", [1.0, 0.0]), (2, "report about budget in January 2024", [0.0, 1.0]), (3, "where is 10.1.2.3 used by Acme", [-1.0, 0.1])], "query_id long, text string, vec array<double>")
+
+    plain = lambda df: [(r.query_id, r.id) for r in df.orderBy("query_id", "rank").collect()]
+    assert plain(retrieve.temporal(chunks, vectors, queries, "2024-02-01")) == [(1, "a"), (1, "b"), (1, "c"), (2, "b"), (2, "c"), (2, "a")]
+    assert plain(retrieve.temporal(chunks, vectors, queries, "2024-02-01", gte=F.lit("2024-01-06 00:00:00").cast("timestamp"))) == [(1, "c"), (2, "c")]
+
+    nodes = spark.createDataFrame([("Acme", "Company"), ("Bare", "Person")], "name string, type string")
+    edges = spark.createDataFrame([("Ann", "WORKS_AT", "Acme", "2024-01-01", None), ("Bob", "LEFT", "Acme", "2020-01-01", "2021-01-01")], "src string, rel string, dst string, valid_from string, valid_until string")
+    named = queries.withColumn("text", F.concat("text", F.lit(" Bare")))
+    assert [(r.query_id, r.id, r.text) for r in retrieve.graph(nodes, edges, named, as_of="2024-02-01").collect()] == [(3, "graph:Acme", "Company: Acme. Ann-[WORKS_AT]->Acme")]
+
+    # All arms at once; only weights of arms that shall speak are left.
+    config = RecallConfig(now="2024-02-01", exact=True, fields={"author": 2.0}, weights={"bm25": 0.0, "vector": 0.0})
+    ask = queries.withColumn("text", F.when(F.col("query_id") == 2, "what has Ann done").otherwise(F.col("text")))
+    got = recall(chunks, vectors, ask, config, nodes=nodes, edges=edges).collect()
+    arms = {(r.query_id, s, r.id) for r in got for s in r.sources}
+    assert {a[2] for a in arms if a[0] == 1 and a[1] == "temporal"} == {"a", "b", "c"} and {a for a in arms if a[1] == "exact"} == {(3, "exact", "d")}
+    assert {a[2] for a in arms if a[1] == "text:author" and a[0] == 2} == {"a", "c"} and {a for a in arms if a[1] == "graph"} == {(3, "graph", "graph:Acme")}
+    assert [r.text for r in got if r.id == "graph:Acme"] == ["Company: Acme. Ann-[WORKS_AT]->Acme; Bob-[LEFT]->Acme"]
+    scoped = RecallConfig(lexical="off", weights={"vector": 0.0}, filters={"source": "Acme"})
+    assert [(r.id, r.text) for r in recall(chunks, vectors, queries, scoped, nodes=nodes, edges=edges).collect()] == [("graph:Acme", "Company: Acme")]
+    assert graph_arm(nodes, edges, chunks, queries, RecallConfig(tenant="t")) is None
+
+
+def test_fallback_and_stored_index(spark, tmp_path):
+    from tessera.operators import index, retrieve
+    from tessera.plans.recall import RecallConfig, recall
+
+    chunks = spark.createDataFrame([(1, "blue cup"), (2, "red hat"), (3, "blue hat")], "id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.6, 0.8])], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, "blue cup", [1.0, 0.0]), (2, "hat", [-1.0, 0.1])], "query_id long, text string, vec array<double>")
+    got = recall(chunks, vectors, queries, RecallConfig(lexical="off", vector_min_score=0.9, fallback=True, limit=2)).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id, r.sources) for r in got] == [(1, 1, ["vector"]), (2, 2, ["vector"]), (2, 3, ["vector"])]
+
+    index.save(index.build(chunks), str(tmp_path / "index"), 4)
+    terms = retrieve.query_terms(queries)
+    stored, fresh = index.load(spark, str(tmp_path / "index"), terms), index.build(chunks, only=terms)
+    rows = lambda idx: sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in retrieve.bm25(idx, terms).collect())
+    assert rows(stored) == rows(fresh) and len(rows(stored)) == 4
+    assert len(recall(chunks, None, queries, idx=stored).collect()) == 4
