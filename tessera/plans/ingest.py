@@ -34,6 +34,7 @@ def ingest(items: DataFrame, stored: DataFrame, embedder: Embedder, tenant=None,
         if not lifecycle.ownership_conflicts(stored, fresh, tenant).isEmpty():
             raise PermissionError("ids of another tenant")
         new = new.withColumn("tenant_id", F.lit(tenant))
-    if limit is not None and stored.count() + new.count() > limit:
+    own = stored if tenant is None else stored.where(F.col("tenant_id") == F.lit(tenant))
+    if limit is not None and own.count() + new.count() > limit:
         raise ValueError(f"the quota of {limit} chunks would be passed")
     return stored.unionByName(embed(new, embedder), allowMissingColumns=True)

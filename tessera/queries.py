@@ -41,6 +41,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "facts": ([], "SELECT 'c' || o_custkey AS src, 'PLACED' AS rel, 'o' || o_orderkey AS dst, CAST(o_orderdate AS TIMESTAMP) AS valid_from, lead(CAST(o_orderdate AS TIMESTAMP)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_until FROM orders"),
     "fb": ([], "SELECT event_id, ts, event_type AS source, CAST(CAST(json_extract_string(props, '$.k') AS INT) % 3 AS VARCHAR) AS query_type, least(1.0, value / 100) AS reward FROM events"),
     "q_table": (["fb"], "SELECT source, query_type, list_reduce(list_prepend(0.5::DOUBLE, list(CAST(reward AS DOUBLE) ORDER BY ts, event_id)), lambda q, r: greatest(0.05, least(0.95, (q * 0.995 + 0.5 * (1 - 0.995)) + 0.15 * (r - (q * 0.995 + 0.5 * (1 - 0.995)))))) AS q, count(*) AS n FROM fb GROUP BY source, query_type"),
+    "asked": (["qv"], "SELECT query_id, vec, query_id % 2 = 0 AS focused, CAST('2024-01-0' || (query_id % 5 + 1) AS DATE) AS target FROM qv"),
     "own": (["chunks"], "SELECT * FROM chunks WHERE id % 2 = 0"),
 }
 
@@ -338,6 +339,16 @@ def date_focused_sort(spark, sf):
     return retrieve.date_focused(chunks_of(spark, sf), "2024-01-02", 25).select("id", "rank")
 
 
+@query(
+    "SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT query_id, rank, id, score FROM asked JOIN (SELECT target, id, 1 / (1 + away / 86400) AS score, row_number() OVER (PARTITION BY target ORDER BY CAST(ts AS DATE) <> target, away, id) AS rank FROM (SELECT target, id, ts, abs(epoch_us(ts) - epoch_us(CAST(target AS TIMESTAMP) + INTERVAL 12 HOUR)) / 1e6 AS away FROM chunks JOIN (SELECT DISTINCT target FROM asked WHERE focused) ON CAST(ts AS DATE) BETWEEN target - 1 AND target + 1)) USING (target) WHERE focused AND rank <= 10 UNION ALL SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, id, score FROM (SELECT query_id, id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), vec) AS score FROM asked JOIN chunks ON CAST(ts AS DATE) BETWEEN target - 1 AND target + 1 JOIN embeddings ON vec_id = id WHERE NOT focused) QUALIFY rank <= 10)",
+    ("chunks", "asked"),
+)
+def temporal_arm(spark, sf):
+    """Even queries ask for a day and nothing else, odd ones for a topic of that day."""
+    said = F.concat(F.when(F.col("query_id") % 2 == 0, "what happened on 2024-01-0").otherwise("report on 2024-01-0"), F.col("query_id") % 5 + 1)
+    return scored(retrieve.temporal(chunks_of(spark, sf), vectors_of(spark, sf), queries_of(spark, sf).where("vec IS NOT NULL").withColumn("text", said), NOW, 10))
+
+
 @query()
 def temporal_expressions(spark, sf):
     """Windows that the users' turns speak of."""

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def replace(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Swaps a table: written beside the old one, then renamed, so a plan may read what it replaces."""
+    """Swaps a table: written beside the old one, then renamed, so a plan may read what it replaces.
+
+    If the new one cannot be moved in, the old one is moved back and the call raises.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     staged, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
@@ -17,10 +20,16 @@ def replace(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
     p = jvm.org.apache.hadoop.fs.Path
     fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(old))
-    fs.rename(p(staged), p(path))
-    fs.delete(p(old), True)
+    had = fs.exists(p(path))
+    if had and not fs.rename(p(path), p(old)):
+        fs.delete(p(staged), True)
+        raise OSError(f"{path} cannot be moved away")
+    if not fs.rename(p(staged), p(path)):
+        if had:
+            fs.rename(p(old), p(path))
+        raise OSError(f"{path} cannot be replaced; the new rows are in {staged}")
+    if had:
+        fs.delete(p(old), True)
     return spark.read.parquet(path)
 
 

@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.lifecycle import skip_known
+from ..plans.ingest import with_ids
+from ..plans.plugins import Embedder, embed
+
 
 def read(spark: SparkSession, path: str, schema, ts: str = "ts", lateness: str = "1 hour", files: int | None = None) -> DataFrame:
-    """A file stream with an event-time watermark."""
+    """A file stream with an event-time watermark.
+
+    A micro-batch drops rows behind the watermark that the one before it began with, so a late row of the next batch
+    after the watermark moved is still counted.
+    """
     reader = spark.readStream.schema(schema)
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
@@ -59,6 +67,65 @@ def q_state(feedback: DataFrame, alpha: float = 0.15, decay: float = 0.995, defa
     return grouped.applyInPandasWithState(fold, "source string, query_type string, q double, n long", "q double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def count_windows(items: DataFrame, size: int, source: str = "source", position: str = "offset", separator: str = "\n") -> DataFrame:
+    """Windows of ``size`` neighbours of a source, also across batches: source, text, middle, chunk_start, chunk_end.
+
+    The state is a source's last size - 1 items. Items of a source come in order of
+    ``position`` (long); those of one batch are sorted.
+    """
+    if size < 2:
+        raise ValueError("a window has two items at least")
+
+    def slide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("position")
+        out = []
+        for item in zip(rows["position"], rows["text"].fillna(""), strict=True):
+            held = [*held[-(size - 1) :], (int(item[0]), item[1])]
+            if len(held) == size:
+                out.append((key[0], separator.join(t for _, t in held), held[size // 2][0], held[0][0], held[-1][0]))
+        held = held[-(size - 1) :]
+        state.update(([p for p, _ in held], [t for _, t in held]))
+        yield pd.DataFrame(out, columns=["source", "text", "middle", "chunk_start", "chunk_end"])
+
+    own = items.select(F.col(source).cast("string").alias("source"), F.col(position).cast("long").alias("position"), F.col("text").cast("string").alias("text"))
+    kind, kept = "source string, text string, middle long, chunk_start long, chunk_end long", "positions array<long>, texts array<string>"
+    return own.groupBy("source").applyInPandasWithState(slide, kind, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def ingest(items: DataFrame, path: str, embedder: Embedder, checkpoint: str, tenant=None):
+    """Embeds and stores the items of a stream that the table lacks; ends when all that is there is stored.
+
+    Each micro-batch overwrites a folder of its own, ``path/chunks/batch=n``, so one that
+    is run again after a failure leaves the same rows, and writes one record to
+    ``path/stats``: batch, seen, stored, skipped. The reader bounds a batch (``files`` of
+    ``read``). Items: source, offset, text.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = with_ids(batch, tenant)
+        known = _before(spark, f"{path}/chunks", number)
+        new = fresh if known is None else skip_known(fresh, known)
+        if tenant is not None:
+            new = new.withColumn("tenant_id", F.lit(tenant))
+        embed(new, embedder).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+        done = spark.read.parquet(f"{path}/chunks/batch={number}").agg(F.count("*").alias("stored"))
+        stats = batch.agg(F.count("*").alias("seen")).join(done).select(F.lit(number).alias("number"), "seen", "stored", (F.col("seen") - F.col("stored")).alias("skipped"))
+        stats.coalesce(1).write.mode("overwrite").json(f"{path}/stats/batch={number}")
+
+    return into_table(items, write, checkpoint)
+
+
+def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
+    """What earlier batches stored."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not any(s.isDirectory() and s.getPath().getName() != f"batch={number}" for s in fs.listStatus(p)):
+        return None
+    return spark.read.option("mergeSchema", "true").parquet(path).where(F.col("batch") != number)
+
+
 def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Runs what is there through a memory sink and returns it."""
     writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
