@@ -5,6 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,60 @@ def slices(batches: Iterable, rows: int = TEXT_ROWS) -> Iterator:
             yield batch.slice(at, rows)
 
 
+#: Bytes of text whose words a Python worker holds as arrays at once.
+TEXT_BYTES = 8 << 20
+
+
+def byte_slices(batches: Iterable, at: int, most: int = TEXT_BYTES) -> Iterator:
+    """Arrow batches cut so that the texts of column ``at`` come to about ``most`` bytes; a longer text is alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        done, sent = 0, 0
+        while done < batch.num_rows:
+            upto = max(done + 1, int(np.searchsorted(ends, sent + most, "right")))
+            yield batch.slice(done, upto - done)
+            done, sent = upto, int(ends[upto - 1])
+
+
+def byte_class(outside: bytes) -> np.ndarray:
+    """By byte, whether words hold it; what is not ASCII always is."""
+    held = np.ones(256, bool)
+    held[list(outside)] = False
+    return held
+
+
+def words_of(texts: pa.Array, held: np.ndarray, parting: bytes = b"") -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of some texts (null: none), A-Z lowered, without a loop over them.
+
+    Returns the words, the place of each one's text, and whether it goes on from the word
+    before: in the same text, with no byte of ``parting`` between. Words are maximal runs of
+    the bytes that ``byte_class`` holds, so bytes of one character never part.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(texts):
+        return pa.array([], pa.large_string()), np.empty(0, np.int64), np.empty(0, bool)
+    places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[places[0] : places[-1]]
+    places = places - places[0]
+    inside = held[data]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    heads = places[:-1][places[:-1] < len(data)]
+    start[heads] = inside[heads]
+    begins = np.flatnonzero(start)
+    text = np.searchsorted(places, begins, "right") - 1
+    ends = np.append(np.flatnonzero(start[inside]), np.count_nonzero(inside))
+    lowered = np.frombuffer(LOWERING, np.uint8)[data[inside]]
+    words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(lowered))
+    follows = np.zeros(len(begins), bool)
+    if len(begins):
+        follows[1:] = text[1:] == text[:-1]
+        if parting:
+            parts = np.cumsum(~byte_class(parting)[data], dtype=np.int32)[begins]
+            follows[1:] &= parts[1:] == parts[:-1]
+    return words, text, follows
+
+
 def give_back() -> None:
     """Returns a worker's free memory to the system; Spark reuses workers, and what they hold adds up."""
     import ctypes

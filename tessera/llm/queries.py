@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, lines, matroska, mixing, packing, pitman_yor, simhash, toxicity, warc
+from . import collocations, exact_dedup, langid, lines, matroska, mixing, packing, pitman_yor, simhash, toxicity, warc
 from .common import table
 
 
@@ -137,6 +137,49 @@ SELECT doc_id, size, source_size, target,
 FROM k
 """
 
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(list_transform(
+           string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'),
+           lambda x: regexp_extract_all(x, '[^\x20\x09]+')), lambda w: len(w) > 0) AS pieces
+  FROM documents
+), q AS (
+  SELECT lang, unnest(pieces) AS w FROM p
+), z AS (
+  SELECT lang, unnest(list_zip(w, w[2:], w[3:])) AS z FROM q
+), g AS (
+  SELECT lang, 1 AS size, z[1] AS phrase FROM z
+  UNION ALL SELECT lang, 2, z[1] || ' ' || z[2] FROM z WHERE z[2] IS NOT NULL
+  UNION ALL SELECT lang, 3, z[1] || ' ' || z[2] || ' ' || z[3] FROM z WHERE z[3] IS NOT NULL
+), f AS (
+  SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY lang, size, phrase
+), n AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (
+  SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10
+), k AS (
+  SELECT c.lang, c.size, c.phrase, c.a, k, l.a AS l, r.a AS r, 1000000::HUGEINT * c.a * c.a // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.size = k AND l.phrase = array_to_string(w[1 : k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.size = c.size - k AND r.phrase = array_to_string(w[k + 1 : c.size], ' ')
+), b AS (
+  SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), o AS (
+  SELECT lang, phrase, max(a) AS over FROM (
+    SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS phrase FROM c WHERE size = 3) GROUP BY lang, phrase
+)
+SELECT b.lang, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) AS INT) AS rank,
+       b.phrase, b.a, b.l, b.r, n.n, CAST(score AS BIGINT) AS score
+FROM b JOIN n ON b.lang = n.lang LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase
+WHERE over IS NULL OR 100 * over < 50 * b.a
+QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_lines": op2_lines,
@@ -148,10 +191,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_matroska": op9_matroska,
     "op10_langid": op10_langid,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
     "op2_lines": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_mixing": OP7_SQL,
+    "op13_collocations": OP13_SQL,
 }
