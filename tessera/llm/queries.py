@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, exact_dedup, langid, lines, matroska, mixing, packing, pitman_yor, simhash, toxicity, warc
+from . import collocations, exact_dedup, langid, lines, matroska, mixing, packing, pitman_yor, ranked, simhash, toxicity, warc
 from .common import table
 
 
@@ -138,6 +138,36 @@ FROM k
 """
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t,
+         row_number() OVER () AS row
+  FROM documents
+), i AS (
+  SELECT item_id, row_number() OVER () AS q, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM benchmark
+), s AS (
+  SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS length FROM d WHERE len(t) > 0
+), f AS (
+  SELECT doc_id, row, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, row, len(t) AS n, unnest(t) AS term FROM d) GROUP BY doc_id, row, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM f GROUP BY term) CROSS JOIN s
+), p AS (
+  SELECT doc_id, row, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))) AS part
+  FROM f JOIN w USING (term) CROSS JOIN s
+), r AS (
+  SELECT q, any_value(item_id) AS item_id, doc_id, row, CAST(sum(part) AS BIGINT) AS score FROM i JOIN p USING (term) GROUP BY q, doc_id, row HAVING sum(part) > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM r QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 50
+"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -191,6 +221,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_matroska": op9_matroska,
     "op10_langid": op10_langid,
+    "op11_ranked": op11_ranked,
     "op13_collocations": op13_collocations,
 }
 
@@ -198,5 +229,6 @@ ORACLE: dict[str, str] = {
     "op2_lines": OP2_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_mixing": OP7_SQL,
+    "op11_ranked": OP11_SQL,
     "op13_collocations": OP13_SQL,
 }
