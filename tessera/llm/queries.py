@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, exact_dedup, langid, lines, matroska, mixing, packing, pitman_yor, ranked, simhash, toxicity, warc
+from . import blob_ledger, collocations, exact_dedup, langid, lines, matroska, mixing, packing, pitman_yor, ranked, simhash, toxicity, warc
 from .common import table
 
 
@@ -168,6 +168,37 @@ FROM r QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <=
 """
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blob_ledger.secret_scan(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), r(kind, rank, pattern, grp, least) AS (
+  VALUES ('assign', 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+         ('access', 1, 'AKIA[A-Z0-9]+', 0, 20), ('hex', 2, '[0-9a-f]+', 0, 24), ('pem', 3, '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 1)
+), p AS (
+  SELECT row, 'assign' AS kind, 0 AS rank, 6 AS least, string_split_regex(text, (SELECT pattern FROM r WHERE rank = 0)) AS gaps,
+         regexp_extract_all(text, (SELECT pattern FROM r WHERE rank = 0), 0) AS hits, regexp_extract_all(text, (SELECT pattern FROM r WHERE rank = 0), 2) AS groups FROM d
+  UNION ALL SELECT row, kind, rank, least, string_split_regex(text, pattern), regexp_extract_all(text, pattern), regexp_extract_all(text, pattern) FROM d CROSS JOIN r WHERE rank > 0
+), m AS (
+  SELECT row, kind, rank, least, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(groups) AS grp, unnest(gaps[1 : len(hits)]) AS gap FROM p WHERE len(hits) > 0
+), s AS (
+  SELECT row, kind, rank, least, length(grp) AS size, length(hit) AS hit, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY row, kind ORDER BY i) AS BIGINT) AS stop FROM m
+), f AS (
+  SELECT row, kind, rank, stop - hit AS start, stop FROM s WHERE size >= least
+), o AS (
+  SELECT row, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+         coalesce(string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank) FILTER (WHERE rank < 3), '') AS base,
+         string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank) AS spans
+  FROM f GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (row)
+"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -222,6 +253,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_matroska": op9_matroska,
     "op10_langid": op10_langid,
     "op11_ranked": op11_ranked,
+    "op12_secrets": op12_secrets,
     "op13_collocations": op13_collocations,
 }
 
@@ -230,5 +262,6 @@ ORACLE: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
     "op7_mixing": OP7_SQL,
     "op11_ranked": OP11_SQL,
+    "op12_secrets": OP12_SQL,
     "op13_collocations": OP13_SQL,
 }
