@@ -33,7 +33,7 @@ def slices(batches: Iterable, rows: int = TEXT_ROWS) -> Iterator:
 
 
 #: Bytes of text whose words a Python worker holds as arrays at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 
 
 def byte_slices(batches: Iterable, at: int, most: int = TEXT_BYTES) -> Iterator:
@@ -86,14 +86,10 @@ def words_of(texts: pa.Array, held: np.ndarray, parting: bytes = b"") -> tuple[p
     return words, text, follows
 
 
-def give_back() -> None:
-    """Returns a worker's free memory to the system; Spark reuses workers, and what they hold adds up."""
+def release() -> None:
+    """Returns a worker's free memory to the system."""
     import ctypes
-    import gc
-
-    import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -101,6 +97,14 @@ def give_back() -> None:
         pass
 
 
+def give_back() -> None:
+    """As ``release``, cycles too; Spark reuses workers, and what they hold adds up."""
+    import gc
+
+    gc.collect()
+    release()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
