@@ -73,6 +73,30 @@ def delete_keys(stored: DataFrame, keys: list[str], payload: str = "payload") ->
     return stored.withColumn(payload, F.map_filter(payload, lambda k, v: ~F.array_contains(gone, k)))
 
 
+def patch_payloads(stored: DataFrame, patches: DataFrame, tenant=None, id_col: str = "id", payload: str = "payload", key: str | None = None) -> DataFrame:
+    """Joint patches: of each, first ``deleted`` keys go, then ``changed`` ones are set; several of one id apply in the order of ``seq``.
+
+    patches: id, seq, deleted (array), changed (map), and ``key`` if ids are unique by it only. Patches of rows that are gone, or that another
+    tenant owns, are skipped; protected keys stay as they are. Adds ``patched``.
+    """
+    keys = [id_col] + ([key] if key else [])
+    safe = [F.lit(k) for k in PROTECTED]
+    allowed = F.map_filter(F.coalesce("changed", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*PROTECTED))
+    removed = F.array_except(F.coalesce("deleted", F.array().cast("array<string>")), F.array(*safe))
+    in_turn = lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)
+    each = F.array_sort(F.collect_list(F.struct("seq", removed.alias("deleted"), allowed.alias("changed"))), in_turn)
+    by = patches.groupBy(*keys).agg(each.alias("__patches"))
+    joined = stored.join(by, keys, "left")
+    mine = F.col("__patches").isNotNull() & (F.lit(True) if tenant is None else F.col("tenant_id").eqNullSafe(F.lit(tenant)))
+
+    def apply(p: Column, x: Column) -> Column:
+        kept = F.map_filter(p, lambda k, v: ~F.array_contains(x["deleted"], k) & ~F.map_contains_key(x["changed"], k))
+        return F.map_concat(kept, x["changed"])
+
+    start = F.coalesce(F.col(payload), F.create_map().cast("map<string,string>"))
+    return joined.withColumn("patched", mine).withColumn(payload, F.when(mine, F.aggregate("__patches", start, apply)).otherwise(F.col(payload))).drop("__patches")
+
+
 def delete_points(stored: DataFrame, ids: DataFrame, id_col: str = "id", tenant=None) -> DataFrame:
     target = ids.select(id_col).distinct()
     if tenant is not None:
