@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from .functions import ids, scoring, text, times
 from .operators import chunk, filters, fuse, graph, index, lifecycle, metrics, provenance, rank, retrieve, state, synthesis
+from .plans import folder, plugins
 from .plans import recall as plan
+from .sources import tables
+from .sources.versions import Store
 from .streaming import streams
 
 NOW, AS_OF = "2024-02-01 00:00:00", "2024-01-20 00:00:00"
@@ -774,6 +777,30 @@ def heartbeat_filter(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", text.is_heartbeat(said).alias("poll"))
 
 
+# --- folders --------------------------------------------------------------------
+
+PARTS["note_a"] = ([], "SELECT doc_id, coalesce(lang, '') AS lang, source || '/' || doc_id || '.md' AS source, text FROM documents WHERE coalesce(lang, '') <> 'de'")
+PARTS["note_b"] = ([], "SELECT doc_id, coalesce(lang, '') AS lang, source || '/' || doc_id || '.md' AS source, CASE WHEN lang = 'fr' THEN text || chr(10) || 'changed' ELSE text END AS text FROM documents WHERE coalesce(lang, '') <> 'es'")
+for _side in "ab":
+    PARTS[f"cut_{_side}"] = ([f"note_{_side}"], rf"SELECT source, length(text) AS size, o, substr(text, o + 1, 800) AS chunk FROM (SELECT *, unnest(range(0, length(text), 700)) AS o FROM note_{_side}) WHERE regexp_matches(substr(text, o + 1, 800), '\S')")
+
+
+@query(
+    "SELECT s.source, action, coalesce(inserted, 0) AS inserted, coalesce(refreshed, 0) AS refreshed, coalesce(pruned, 0) AS pruned, 0::BIGINT AS failed, 0::BIGINT AS conflicts, CASE WHEN action <> 'remove' AND prior IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS edges FROM (SELECT source, doc_id, CASE lang WHEN 'de' THEN 'add' WHEN 'fr' THEN 'change' END AS action FROM note_b WHERE lang IN ('de', 'fr') UNION ALL SELECT source, doc_id, 'remove' FROM note_a WHERE lang = 'es') s "
+    "LEFT JOIN (SELECT coalesce(a.source, b.source) AS source, count(*) FILTER (WHERE a.source IS NULL) AS inserted, count(*) FILTER (WHERE b.source IS NULL) AS pruned, count(*) FILTER (WHERE a.size <> b.size) AS refreshed FROM cut_a a FULL JOIN cut_b b ON a.source = b.source AND a.o = b.o AND a.chunk = b.chunk GROUP BY ALL) c ON c.source = s.source LEFT JOIN (SELECT doc_id AS prior FROM note_b) n ON n.prior = s.doc_id - 1",
+    ("cut_a", "cut_b"),
+)
+def folder_sync(spark, sf):
+    """A folder of all documents goes from one state to another: de notes come, es ones go, fr ones change; each names the note before it."""
+    d = read(spark, sf, "documents").withColumn("kind", F.coalesce("lang", F.lit(""))).select("kind", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), "text")
+    after = d.where("kind <> 'es'").withColumn("text", F.when(F.col("kind") == "fr", F.concat("text", F.lit("\nchanged"))).otherwise(F.col("text")))
+    named = lambda f: f.select("source", (F.regexp_extract("source", r"(\d+)\.md$", 1).cast("long") - 1).cast("string").alias("target"))
+    sized = lambda f: chunk.char_chunks(f).select("source", "offset", F.col("chunk").alias("text"), F.create_map(F.lit("size"), F.length("text").cast("string")).alias("payload"))
+    notes = Store(spark, f"{tables.working_folder(spark)}/notes", buckets=8)
+    each = [folder.sync(notes, f.select("source", "text"), plugins.hashing_embedder(8), chunks=sized, links=named) for f in (d.where("kind <> 'de'"), after)]
+    return each[1]
+
+
 # --- metrics ------------------------------------------------------------------
 
 

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def working_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share: in the session's checkpoint folder, or local where none is set and all is one machine."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.gettempdir()}/tessera"
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def replace(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Swaps a table: written beside the old one, then renamed, so a plan may read what it replaces.
 
