@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import ids, scoring, text, times
-from .operators import chunk, filters, fuse, graph, index, lifecycle, metrics, provenance, rank, retrieve, state, synthesis
+from .operators import attribute, chunk, filters, fuse, graph, index, lifecycle, metrics, provenance, rank, retrieve, state, synthesis
 from .plans import folder, plugins
 from .plans import recall as plan
 from .sources import tables
@@ -777,6 +777,27 @@ def heartbeat_filter(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", text.is_heartbeat(said).alias("poll"))
 
 
+PARTS["last_turn"] = ([], "SELECT conv_id, arg_max(coalesce(text, ''), turn) AS text FROM conversations GROUP BY conv_id")
+PARTS["asked_words"] = (["last_turn"], r"SELECT conv_id, unnest(w) AS needle, generate_subscripts(w, 1) - 1 AS place FROM (SELECT conv_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM last_turn)")
+PARTS["claimed"] = (
+    ["asked_words"],
+    r"SELECT m.conv_id, m.turn, min(place) AS item FROM (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS needle FROM conversations) m JOIN asked_words a ON m.conv_id = a.conv_id AND m.needle = a.needle GROUP BY m.conv_id, m.turn",
+)
+
+
+@query(
+    "SELECT conv_id, place, source FROM (SELECT conv_id, source, row_number() OVER (PARTITION BY conv_id ORDER BY first) AS place FROM (SELECT m.conv_id, m.role || m.turn // 2 AS source, min({'t': coalesce(k, 1073741824), 'i': coalesce(item, -1), 'r': m.turn}) AS first FROM conversations m LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id, item ORDER BY turn) AS k FROM claimed) c ON m.conv_id = c.conv_id AND m.turn = c.turn GROUP BY m.conv_id, m.role || m.turn // 2)) WHERE place <= 5",
+    ("claimed",),
+)
+def item_sources(spark, sf):
+    """The words of each conversation's last turn, looked for in all its turns; which turns are named, word by word in rounds."""
+    c = read(spark, sf, "conversations")
+    last = c.groupBy("conv_id").agg(F.max_by(F.coalesce("text", F.lit("")), "turn").alias("text"))
+    items = last.select(F.col("conv_id").alias("query_id"), F.posexplode(F.regexp_extract_all("text", F.lit(attribute.WORD), F.lit(0))).alias("place", "item"))
+    memories = c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "text", F.concat("role", F.floor(F.col("turn") / 2).cast("string")).alias("source"))
+    return attribute.attribute(items, memories).select(F.col("query_id").alias("conv_id"), "place", "source")
+
+
 # --- folders --------------------------------------------------------------------
 
 PARTS["note_a"] = ([], "SELECT doc_id, coalesce(lang, '') AS lang, source || '/' || doc_id || '.md' AS source, text FROM documents WHERE coalesce(lang, '') <> 'de'")
