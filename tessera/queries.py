@@ -533,7 +533,10 @@ def hub_degrees_p90(spark, sf):
     return spark.createDataFrame([(p90, top)], "p90 long, top long")
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id % 5 AS tenant_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS i FROM events), b AS (SELECT tenant_id, event_id, t, i, 19.0::DOUBLE AS tokens, true AS allowed FROM e WHERE i = 1 "
+    "UNION ALL SELECT tenant_id, event_id, t, i, CASE WHEN filled >= 1 THEN filled - 1 ELSE filled END, filled >= 1 FROM (SELECT e.tenant_id, e.event_id, e.t, e.i, least(20.0::DOUBLE, b.tokens + (e.t - b.t) / 1e6::DOUBLE * 0.01::DOUBLE) AS filled FROM b JOIN e ON e.tenant_id = b.tenant_id AND e.i = b.i + 1)) SELECT tenant_id, event_id, allowed FROM b"
+)
 def token_bucket(spark, sf):
     return state.token_bucket(recall_events(spark, sf), rate=0.01, capacity=20.0)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lifecycle import skip_known
+from ..operators.state import take
 from ..plans.ingest import with_ids
 from ..plans.plugins import Embedder, embed
 
@@ -67,6 +68,25 @@ def q_state(feedback: DataFrame, alpha: float = 0.15, decay: float = 0.995, defa
     return grouped.applyInPandasWithState(fold, "source string, query_type string, q double, n long", "q double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def limiter(requests: DataFrame, rate: float, capacity: float) -> DataFrame:
+    """tenant_id, event_id, allowed: a token bucket per tenant that goes on across batches; a batch's requests are taken in order of time."""
+
+    def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tokens, then = state.get if state.exists else (capacity, None)
+        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
+        allowed = []
+        for t in rows["t"].tolist():
+            tokens, ok = take(tokens, then, max(t, then or t), rate, capacity)
+            then = max(t, then or t)
+            allowed.append(ok)
+        state.update((tokens, then))
+        yield pd.DataFrame({"tenant_id": key[0], "event_id": rows["event_id"], "allowed": allowed})
+
+    slim = requests.select("tenant_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    kinds = {c: slim.schema[c].dataType.simpleString() for c in ("tenant_id", "event_id")}
+    return slim.groupBy("tenant_id").applyInPandasWithState(admit, f"tenant_id {kinds['tenant_id']}, event_id {kinds['event_id']}, allowed boolean", "tokens double, t long", "append", GroupStateTimeout.NoTimeout)
+
+
 def count_windows(items: DataFrame, size: int, source: str = "source", position: str = "offset", separator: str = "\n") -> DataFrame:
     """Windows of ``size`` neighbours of a source, also across batches: source, text, middle, chunk_start, chunk_end.
 
