@@ -21,7 +21,7 @@ class TextIndex:
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer=text.tokens, only: DataFrame | None = None) -> DataFrame:
-    """id, term, tf, len. Counts combine inside the task before they are shuffled.
+    """id, term, tf, len, dealt by id: what later sums over a document's terms finds them together.
 
     only: a batch's terms (column term); other postings are left out before any
     aggregation, which leaves those of the batch and their statistics unchanged.
@@ -30,7 +30,7 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokeni
     terms = toks.select("id", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("term"))
     if only is not None:
         terms = terms.join(only.select("term").distinct(), "term", "left_semi")
-    return terms.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    return terms.repartition("id").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
 def term_stats(posts: DataFrame, documents: int) -> DataFrame:
@@ -63,6 +63,19 @@ def load(spark: SparkSession, path: str, only: DataFrame | None = None) -> TextI
     return TextIndex(posts.drop("bucket"), terms.drop("bucket"), corpus.documents, corpus.mean)
 
 
+#: Terms that are named in a filter, which prunes files and cached batches; more are joined.
+NAMED_TERMS = 2000
+
+
+def narrow(idx: TextIndex, terms: DataFrame) -> TextIndex:
+    """The index's part of a batch's terms (column term); its statistics stay those of the whole."""
+    wanted = terms.select("term").distinct()
+    named = [t for (t,) in wanted.limit(NAMED_TERMS + 1).collect()]
+    if len(named) > NAMED_TERMS:
+        return TextIndex(idx.postings.join(wanted, "term", "left_semi"), idx.terms.join(wanted, "term", "left_semi"), idx.documents, idx.mean)
+    return TextIndex(idx.postings.where(F.col("term").isin(named)), idx.terms.where(F.col("term").isin(named)), idx.documents, idx.mean)
+
+
 def sparse_vectors(posts: DataFrame) -> DataFrame:
     """id, index, value: hashed sparse vectors; terms that share an index add up."""
     return posts.groupBy("id", ids.token_index(F.col("term")).alias("index")).agg(F.sum("tf").cast("double").alias("value"))

@@ -31,7 +31,10 @@ def query_terms(queries: DataFrame, tokenizer=text.tokens) -> DataFrame:
 
 
 def bm25(index: TextIndex, terms: DataFrame, k: int = 20, allowed: DataFrame | None = None) -> DataFrame:
-    """allowed: ids that may be returned, applied before the cut."""
+    """allowed: ids that may be returned, applied before the cut.
+
+    Postings that are dealt by id are joined and summed where they are, and each task keeps its own best k of a query.
+    """
     posts = index.postings if allowed is None else index.postings.join(allowed.select("id").distinct(), "id", "left_semi")
     weighed = terms.join(index.terms, "term")
     part = scoring.bm25(F.col("tf"), F.col("len"), F.lit(index.mean), F.col("idf")) * F.col("times")

@@ -82,7 +82,7 @@ def recall(
     ids = scope.select("id")
 
     def indexed(terms: DataFrame, column: str = "text") -> index.TextIndex:
-        whole = idx if idx is not None and column == "text" else index.build(chunks.select("id", F.col(column).alias("text")), only=terms)
+        whole = index.narrow(idx, terms) if idx is not None and column == "text" else index.build(chunks.select("id", F.col(column).alias("text")), only=terms)
         return index.TextIndex(whole.postings.join(ids, "id", "left_semi"), whole.terms, whole.documents, whole.mean)
 
     arms = []
