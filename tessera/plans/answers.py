@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..operators import prefixes
 from .plugins import Embedder, Model, ask, embed, parse_answer
 from .recall import context_lines
 
@@ -44,14 +45,14 @@ def variants(queries: DataFrame, model: Model, n: int = 3, lists_only: bool = Fa
 
 
 def rerank(results: DataFrame, model: Model, head: int = 20) -> DataFrame:
-    """Orders each query's head by the model's list of ordinals (R0, R1, ..) or ids; what it leaves out keeps its order behind."""
-    line = F.format_string("R%d: %s", F.col("rank") - 1, text.snippet("text", 200))
-    heads = results.where(F.col("rank") <= head).groupBy("query_id").agg(F.first("query").alias("query"), F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+    """Orders each query's head by the model's list of ordinals (R0, R1, ..), ids or their beginnings; what it leaves out keeps its order behind."""
+    line = F.concat("ordinal", F.lit(": "), text.snippet("text", 200))
+    heads = prefixes.ordinals(results.where(F.col("rank") <= head)).groupBy("query_id").agg(F.first("query").alias("query"), F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
     prompt = F.concat(F.lit("Most relevant first for: "), "query", F.lit("\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
-    said = heads.select("query_id", F.regexp_extract_all(F.coalesce(ask(prompt, model), F.lit("")), F.lit(r"[^\s,;\[\]\"']+"), F.lit(0)).alias("said"))
-    named = said.select("query_id", F.posexplode("said").alias("pos", "name"))
-    keyed = results.where(F.col("rank") <= head).select("query_id", "id", F.concat(F.lit("R"), (F.col("rank") - 1).cast("string")).alias("ordinal"))
-    hit = keyed.join(named, "query_id").where((F.col("name") == F.col("ordinal")) | (F.col("name") == F.col("id").cast("string"))).groupBy("query_id", "id").agg(F.min("pos").alias("__pos"))
+    named = heads.select("query_id", F.posexplode(prefixes.parse_ids(ask(prompt, model))).alias("pos", "name"))
+    head_ids = results.where(F.col("rank") <= head).select("query_id", "rank", "id")
+    hit = prefixes.resolve(named, head_ids).groupBy("query_id", "id").agg(F.min("pos").alias("__pos"))
+    hit = head_ids.select("query_id", F.col("id").alias("__id"), F.col("id").cast("string").alias("id")).join(hit, ["query_id", "id"]).select("query_id", F.col("__id").alias("id"), "__pos")
     order = Window.partitionBy("query_id").orderBy(F.col("__pos").asc_nulls_last(), "rank")
     return results.join(hit, ["query_id", "id"], "left").withColumn("__new", F.row_number().over(order).cast("long")).drop("rank", "__pos").withColumnRenamed("__new", "rank")
 

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import ids, scoring, text, times
-from .operators import attribute, chunk, filters, fuse, graph, index, lifecycle, metrics, provenance, rank, retrieve, state, synthesis
+from .functions import canonical, ids, scoring, text, times
+from .operators import attribute, chunk, filters, fuse, graph, index, lifecycle, metrics, prefixes, provenance, rank, retrieve, state, synthesis
 from .plans import folder, plugins
 from .plans import recall as plan
 from .sources import tables
@@ -801,6 +801,44 @@ def item_sources(spark, sf):
     return attribute.attribute(items, memories).select(F.col("query_id").alias("conv_id"), "place", "source")
 
 
+PARTS["note_ids"] = ([], "SELECT source, source || '/' || doc_id AS id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents WHERE source IS NOT NULL")
+PARTS["note_names"] = (["note_ids"], "SELECT DISTINCT source, CASE doc_id % 5 WHEN 0 THEN id WHEN 1 THEN id || ':45' WHEN 2 THEN substr(id, 1, length(id) - 1) WHEN 3 THEN 'R' || (rank - 1) ELSE 'x' || id END AS name FROM note_ids")
+
+
+@query(
+    "SELECT n.source, n.name, i.id FROM note_names n JOIN note_ids i ON n.source = i.source AND (n.name = 'R' || (i.rank - 1) OR starts_with(n.name, i.id) OR starts_with(i.id, n.name)) QUALIFY row_number() OVER (PARTITION BY n.source, n.name ORDER BY CASE WHEN n.name = 'R' || (i.rank - 1) THEN 0 WHEN n.name = i.id THEN 1 ELSE 2 END, length(i.id) DESC, i.rank) = 1",
+    ("note_names",),
+)
+def resolved_ids(spark, sf):
+    """Ids of all documents as a model may write them: whole, with an ending, cut short, by ordinal, or wrong."""
+    d = read(spark, sf, "documents").where("source IS NOT NULL").select(F.col("source").alias("query_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("id"), "doc_id")
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+    k = F.col("doc_id") % 5
+    name = F.when(k == 0, F.col("id")).when(k == 1, F.concat("id", F.lit(":45"))).when(k == 2, F.substring("id", F.lit(1), F.length("id") - 1)).when(k == 3, F.concat(F.lit("R"), (F.col("rank") - 1).cast("string"))).otherwise(F.concat(F.lit("x"), "id"))
+    named = d.select("query_id", F.lit(0).alias("pos"), name.alias("name")).distinct()
+    return prefixes.resolve(named, d).select(F.col("query_id").alias("source"), "name", "id")
+
+
+@query(
+    "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END || CASE event_id % 4 WHEN 0 THEN '' ELSE '+00:00' END AS canonical, event_id % 4 <> 3 AS same, 'es1:' || substr(sha256('{\"dimension\":' || user_id || ',\"document_transform\":{\"prefix\":\"p\"},\"extras\":{\"a\":\"' || event_type || '\",\"b\":\"2\"},\"model\":\"m\",\"provider\":\"hf\"}'), 1, 32) AS space FROM (SELECT event_id, user_id, event_type, CAST(ts AS TIMESTAMP) AS ts FROM events)"
+)
+def canonical_values(spark, sf):
+    """Times of all events in four spellings, payloads in two orders of keys (every fourth changed), and fingerprints of spaces."""
+    e = read(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    k = F.col("event_id") % 4
+    spelled = lambda c: F.regexp_replace(F.regexp_replace(c.cast("string"), r"\.(\d{1,2}|\d{4,5})$", ".$1"), " ", "T")
+    whole = lambda c: F.concat(F.substring_index(spelled(c), ".", 1), F.when(F.contains(spelled(c), F.lit(".")), F.concat(F.lit("."), F.rpad(F.substring_index(spelled(c), ".", -1), 6, "0"))).otherwise(""))
+    hours = F.make_dt_interval(hours=F.lit(2), mins=F.lit(30))
+    text_ = F.when(k == 0, F.replace(whole(F.col("ts")), F.lit("T"), F.lit(" "))).when(k == 1, F.concat(whole(F.col("ts")), F.lit("Z"))).when(k == 2, F.concat(whole(F.col("ts") + hours), F.lit("+02:30"))).otherwise(F.concat(whole(F.col("ts") - hours), F.lit("-02:30")))
+    other = F.when(k == 0, whole(F.col("ts"))).otherwise(F.concat(whole(F.col("ts")), F.lit("+00:00")))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    one = F.concat(F.lit('{"at": '), quoted(text_), F.lit(', "list": [1, {"z": 1, "a": '), quoted(F.col("event_type")), F.lit("}]}"))
+    two = F.concat(F.lit('{"list": [1, {"a": '), quoted(F.col("event_type")), F.lit(', "z": '), F.when(k == 3, "2").otherwise("1"), F.lit('}], "at": '), quoted(other), F.lit("}"))
+    extras = F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.col("event_type"))
+    space = canonical.fingerprint(F.lit("HF"), F.lit("M"), F.col("user_id"), F.create_map(F.lit("prefix"), F.lit("p")), extras)
+    return e.select("event_id", canonical.instant(text_).alias("canonical"), canonical.same(one, two).alias("same"), space.alias("space"))
+
+
 # --- folders --------------------------------------------------------------------
 
 PARTS["note_a"] = ([], "SELECT doc_id, coalesce(lang, '') AS lang, source || '/' || doc_id || '.md' AS source, text FROM documents WHERE coalesce(lang, '') <> 'de'")
