@@ -13,8 +13,8 @@ LABELS = ("RELEVANT_IDS", "RANKED_IDS", "NONE", "")
 
 
 def parse_ids(said: Column) -> Column:
-    """The ids of an answer's first line, in order; none if it begins with NONE."""
-    text = F.regexp_replace(F.coalesce(said, F.lit("")), r"^\s+|\s+$", "")
+    """The ids of an answer's first line, in order, without brackets and quotes around them; none if it begins with NONE."""
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(said, F.lit("")), r"[\[\]\"';]", " "), r"^\s+|\s+$", "")
     parts = F.transform(F.split(F.substring_index(text, "\n", 1), r"[\s,]+"), lambda t: F.regexp_replace(t, r"\.+$", ""))
     kept = F.filter(parts, lambda t: ~F.upper(F.regexp_replace(t, ":+$", "")).isin(*LABELS))
     return F.when(F.startswith(F.upper(text), F.lit("NONE")), F.array().cast("array<string>")).otherwise(kept)

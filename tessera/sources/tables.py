@@ -20,6 +20,13 @@ def working_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Evaluated once: written to a new working folder and read back, so what a model or a clock answered stays the same for every use."""
+    path = working_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def replace(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Swaps a table: written beside the old one, then renamed, so a plan may read what it replaces.
 
