@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -37,6 +38,7 @@ class RecallConfig:
     fallback: bool = False
     timestamp_key: str | None = None
     timestamp_unit: str = "auto"
+    reranker: Callable[[DataFrame], DataFrame] | None = None  # reorders what the stages leave, by query_id and rank
 
     def __post_init__(self):
         if self.lexical not in LEXICAL:
@@ -63,7 +65,14 @@ def in_scope(chunks: DataFrame, config: RecallConfig) -> DataFrame:
 
 
 def recall(
-    chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, config: RecallConfig | None = None, idx: index.TextIndex | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None
+    chunks: DataFrame,
+    vectors: DataFrame | None,
+    queries: DataFrame,
+    config: RecallConfig | None = None,
+    idx: index.TextIndex | None = None,
+    nodes: DataFrame | None = None,
+    edges: DataFrame | None = None,
+    variants: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, rank, id, score, sources and the chunk's columns.
 
@@ -71,6 +80,9 @@ def recall(
     stored index of the chunks' texts, else the batch's terms are indexed. nodes (name,
     type) and edges turn the graph arm on; ids then are strings. A tenant's graph needs
     tenant_id in both; without it, as the exact arm under a tenant, the arm is off.
+    variants: query_id, variant (from 1), text and vec (either may be null): paraphrases, and
+    documents that would answer; each is searched by words and vectors, as a list of its own behind the query's.
+    What stages and reranker return is held against tenant, validity and filters once more.
     """
     config = config or RecallConfig()
     if nodes is not None:
@@ -106,8 +118,11 @@ def recall(
     named = graph_arm(nodes, edges, scope, queries, config)
     if named is not None:
         arms.append(("graph", named.select("query_id", "rank", "id", "score")))
-        scope = scope.unionByName(named.select("id", "text", F.col("name").alias("source")).distinct(), allowMissingColumns=True)
+        own = [F.lit(config.tenant).alias("tenant_id")] if config.tenant is not None else []
+        scope = scope.unionByName(named.select("id", "text", F.col("name").alias("source"), *own).distinct(), allowMissingColumns=True)
     ranked = fuse.lists(*arms)
+    if variants is not None:
+        ranked = ranked.unionByName(variant_lists(variants, vectors, config, indexed, len(arms)), allowMissingColumns=True)
     # A weight of 1 leaves a field's arm to the adaptive profile.
     weights = {**{f"text:{name}": w for name, w in config.fields.items() if w != 1.0}, **config.weights}
     if config.adaptive:
@@ -125,12 +140,53 @@ def recall(
     out = fused if raw is None else fused.join(raw, ["query_id", "id"], "left")
     out = out.join(scope, "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     if config.stages:
-        out = rank.apply(out, config.stages).where(F.col("rank") <= config.limit)
+        out = rank.apply(out, config.stages)
+    if config.reranker is not None:
+        out = config.reranker(out)
+    if config.stages or config.reranker is not None:
+        out = rechecked(out, config, named)
+    if config.stages:
+        out = out.where(F.col("rank") <= config.limit)
     if config.token_budget is not None:
         out = fuse.token_budget(out, config.token_budget, text.estimate_tokens("text"))
     return out
 
 
+def variant_lists(variants: DataFrame, vectors: DataFrame | None, config: RecallConfig, indexed, first: int) -> DataFrame:
+    """Ranked lists of paraphrases, all searched as one batch: query_id, list_name (arm~variant), list_pos, rank, id, score."""
+    keyed = variants.withColumn("__key", F.concat_ws("#", F.col("query_id").cast("string"), F.col("variant").cast("string")))
+    asked = keyed.select(F.col("__key").alias("query_id"), "text", *(["vec"] if "vec" in variants.columns else []))
+    arms = []
+    if config.lexical != "off":
+        terms = retrieve.query_terms(asked.where("text IS NOT NULL"))
+        arms.append(("bm25", (retrieve.sparse if config.lexical == "sparse" else retrieve.bm25)(indexed(terms), terms, config.bm25_limit)))
+    if vectors is not None and "vec" in variants.columns:
+        arms.append(("vector", retrieve.vector(vectors, asked, config.vector_limit, min_score=config.vector_min_score)))
+    names = keyed.select("__key", "query_id", "variant")
+    places = [a for a, _ in arms]
+    out = fuse.lists(*arms).withColumnRenamed("query_id", "__key").join(names, "__key")
+    place = F.lit(first) + (F.col("variant") - 1) * len(places) + F.col("list_pos")
+    return out.select("query_id", F.concat_ws("~", "list_name", F.col("variant").cast("string")).alias("list_name"), place.cast("int").alias("list_pos"), "rank", "id", "score")
+
+
+def rechecked(out: DataFrame, config: RecallConfig, proven: DataFrame | None = None) -> DataFrame:
+    """Results that are in scope by their own columns; ranks are closed up. A stage may add rows or change them, but none from outside.
+
+    proven: query_id, id of the graph arm's hits, which under filters chunks in scope back; they pass where they are graph hits alone.
+    """
+    kept = flt.scrub_tenant(out, config.tenant)
+    if "invalidated_at" in out.columns or config.as_of is not None:
+        kept = flt.validity(kept, config.as_of, config.include_invalidated)
+    if config.filters:
+        key = config.timestamp_key
+        own = flt.native_bounds(config.filters, key, kept.schema) if key else config.filters
+        matches = flt.payload_filter(own, kept.schema, key if own is config.filters else None, config.timestamp_unit)
+        known = kept.withColumn("__proven", F.lit(False)) if proven is None else kept.join(proven.select("query_id", "id").distinct().withColumn("__proven", F.lit(True)), ["query_id", "id"], "left")
+        kept = known.where(flt.passes_scope(matches, "__proven"))
+    order = Window.partitionBy("query_id").orderBy("rank", "id")
+    return kept.withColumn("__new", F.row_number().over(order).cast("long")).drop("rank").withColumnRenamed("__new", "rank").select(out.columns)
+
+
 def graph_arm(nodes: DataFrame | None, edges: DataFrame | None, scope: DataFrame, queries: DataFrame, config: RecallConfig) -> DataFrame | None:
     """Hits of the graph; under filters only those that a chunk in scope backs, without their edges' other ends."""
     if nodes is None or edges is None or (config.tenant is not None and not all("tenant_id" in t.columns for t in (nodes, edges))):
