@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import canonical, ids, scoring, text, times
-from .operators import attribute, chunk, filters, fuse, graph, index, lifecycle, metrics, prefixes, provenance, rank, retrieve, state, synthesis
+from .operators import attribute, cells, chunk, filters, fuse, graph, index, lifecycle, metrics, prefixes, provenance, rank, retrieve, state, synthesis
 from .plans import folder, plugins
 from .plans import recall as plan
 from .sources import tables
@@ -178,6 +178,14 @@ def bm25_filtered_topk(spark, sf):
     return scored(retrieve.bm25(index.build(docs, only=terms), terms, K, allowed))
 
 
+@query("SELECT query_id, rank, id, round(score, 6) AS score FROM dense", ("dense",))
+def vector_index_topk(spark, sf):
+    """The same from a stored index of cells."""
+    path = f"{tables.working_folder(spark)}/cells"
+    cells.build(vectors_of(spark, sf), path)
+    return scored(cells.search(spark, path, queries_of(spark, sf), K, exclude_self=True))
+
+
 @query("SELECT query_id, rank, id, round(score, 6) AS score FROM dense", ("dense",))
 def vector_topk(spark, sf):
     return scored(dense_of(spark, sf))
