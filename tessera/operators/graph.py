@@ -88,3 +88,81 @@ def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
     found = keyed.join(paths, "__path", "left").join(names, "__name", "left")
     to = F.coalesce("path", "named", "target")
     return found.select("source", "target", to.alias("resolved"), (F.col("path").isNotNull() | F.col("named").isNotNull()).alias("is_resolved"))
+
+
+CURRENT = "current"
+
+
+def is_open(until: str = "valid_until") -> Column:
+    """No end, or the explicit mark of what still holds."""
+    return F.coalesce(F.col(until).cast("string"), F.lit(CURRENT)).isin("", CURRENT)
+
+
+def supersede(edges: DataFrame, facts: DataFrame, keys: tuple = ("src", "rel")) -> DataFrame:
+    """edges with facts of relations that hold one thing at a time: each ends where the next of its keys begins.
+
+    edges: keys, dst, valid_from, valid_until (times), and more; facts: keys, dst, valid_from, and what else edges has. A fact that repeats what holds at
+    its time is not stored again; one that comes late is put between those around it; an end that is there stays if it is earlier.
+    Only chains of keys that facts name are looked at. Of two at one time the stored one comes first, then the smaller dst.
+    """
+    touched = facts.select(*keys).distinct()
+    rest = edges.join(touched, list(keys), "left_anti")
+    old = edges.join(touched, list(keys), "left_semi").withColumn("__new", F.lit(False))
+    both = old.unionByName(facts.withColumn("__new", F.lit(True)), allowMissingColumns=True)
+    chain = Window.partitionBy(*keys).orderBy("valid_from", "__new", "dst")
+    ends = F.lag("valid_until").over(chain)
+    holds = (F.lag("dst").over(chain) == F.col("dst")) & (ends.isNull() | (ends > F.col("valid_from")))
+    fresh = both.withColumn("__again", F.col("__new") & F.coalesce(holds, F.lit(False))).where("NOT __again").drop("__again")
+    following = F.lead("valid_from").over(chain)
+    return rest.unionByName(fresh.withColumn("valid_until", F.least("valid_until", following)).select(edges.columns))
+
+
+def backfill_current(table: DataFrame, until: str = "valid_until") -> DataFrame:
+    """Rows without an end get the explicit mark (the column is text)."""
+    return table.withColumn(until, F.coalesce(F.col(until).cast("string"), F.lit(CURRENT)))
+
+
+def upkeep_counts(nodes: DataFrame, edges: DataFrame, until: str = "valid_until") -> DataFrame:
+    """table, n, unmarked: how many nodes and edges there are, and how many a backfill would mark."""
+    one = lambda df, name: df.agg(F.count("*").alias("n"), F.count(F.when(F.col(until).isNull(), 1)).alias("unmarked")).select(F.lit(name).alias("table"), "n", "unmarked")
+    return one(nodes, "nodes").unionByName(one(edges, "edges"))
+
+
+def tenants(data: list[DataFrame], configured: DataFrame) -> DataFrame:
+    """tenant_id, n: every tenant of the data with its rows, and those that only a key or a quota names, with none."""
+    rows = [d.where("tenant_id IS NOT NULL").select(F.col("tenant_id").cast("string").alias("tenant_id"), F.lit(1).cast("long").alias("one")) for d in data]
+    named = configured.where("tenant_id IS NOT NULL").select(F.col("tenant_id").cast("string").alias("tenant_id"), F.lit(0).cast("long").alias("one"))
+    whole = named
+    for d in rows:
+        whole = whole.unionByName(d)
+    return whole.groupBy("tenant_id").agg(F.sum("one").alias("n"))
+
+
+def link_sources(edges: DataFrame, rel: str = "LINKS_TO") -> DataFrame:
+    return edges.where(F.col("rel") == rel).select("src").distinct()
+
+
+def stamp_tenant(nodes: DataFrame, edges: DataFrame, tenant, only_missing: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Both tables with an owner."""
+    own = F.coalesce("tenant_id", F.lit(tenant)) if only_missing else F.lit(tenant)
+    return nodes.withColumn("tenant_id", own), edges.withColumn("tenant_id", own)
+
+
+def delete_tenant(nodes: DataFrame, edges: DataFrame, tenant) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, report) without a tenant's; edges of others that hang on its nodes go too and are reported as detached.
+
+    nodes: name, tenant_id. A name that another tenant's node has keeps that tenant's edges.
+    """
+    if tenant in (None, ""):
+        raise ValueError("a tenant has a name")
+    mine = lambda df: F.col("tenant_id").eqNullSafe(F.lit(tenant).cast(df.schema["tenant_id"].dataType))
+    kept = nodes.where(~mine(nodes))
+    gone = nodes.where(mine(nodes)).select("name", F.lit(True).alias("__gone")).distinct().join(kept.select("name").distinct(), "name", "left_anti")
+    others = edges.where(~mine(edges))
+    ends = [gone.select(F.col("name").alias(c), F.col("__gone").alias(f"__{c}")) for c in ("src", "dst")]
+    marked = others.join(ends[0], "src", "left").join(ends[1], "dst", "left")
+    hangs = F.coalesce(F.col("__src"), F.col("__dst"), F.lit(False))
+    left = marked.where(~hangs).select(edges.columns)
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    report = count(nodes.where(mine(nodes)), "nodes").unionByName(count(edges.where(mine(edges)), "edges")).unionByName(count(marked.where(hangs), "detached"))
+    return kept, left, report

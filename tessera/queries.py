@@ -847,6 +847,30 @@ def canonical_values(spark, sf):
     return e.select("event_id", canonical.instant(text_).alias("canonical"), canonical.same(one, two).alias("same"), space.alias("space"))
 
 
+PARTS["sold"] = ([], "SELECT l_suppkey, l_partkey, CAST(l_shipdate AS TIMESTAMP) AS shipped FROM lineitem GROUP BY ALL")
+
+
+@query(
+    "SELECT src, dst, valid_from, lead(valid_from) OVER (PARTITION BY src ORDER BY valid_from, fresh, dst) AS valid_until FROM (SELECT *, fresh AND lag(dst) OVER (PARTITION BY src ORDER BY valid_from, fresh, dst) = dst AS again FROM (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, shipped AS valid_from, l_partkey % 3 <> 0 AS fresh FROM sold)) WHERE NOT coalesce(again, false)",
+    ("sold",),
+)
+def superseded_facts(spark, sf):
+    """What each supplier shipped last: a third of the parts are stored, the others come as facts, some of them between."""
+    li = read(spark, sf, "lineitem").select("l_suppkey", "l_partkey", F.col("l_shipdate").cast("timestamp").alias("valid_from")).distinct()
+    edges = li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.lit("SHIPS").alias("rel"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), "valid_from", (F.col("l_partkey") % 3 == 0).alias("stored"))
+    old = edges.where("stored").drop("stored").withColumn("valid_until", F.lit(None).cast("timestamp"))
+    return graph.supersede(old, edges.where("NOT stored").drop("stored")).select("src", "dst", "valid_from", "valid_until")
+
+
+@query(
+    "SELECT tenant_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CAST(user_id % 5 AS VARCHAR) AS tenant_id, 1 AS n FROM events UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 1 FROM customer UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 0 FROM supplier) GROUP BY tenant_id"
+)
+def tenant_listing(spark, sf):
+    """Tenants of events and customers, and suppliers as tenants that are only configured."""
+    data = [read(spark, sf, "events").select((F.col("user_id") % 5).alias("tenant_id")), read(spark, sf, "customer").select(F.col("c_nationkey").alias("tenant_id"))]
+    return graph.tenants(data, read(spark, sf, "supplier").select(F.col("s_suppkey").alias("tenant_id")))
+
+
 # --- folders --------------------------------------------------------------------
 
 PARTS["note_a"] = ([], "SELECT doc_id, coalesce(lang, '') AS lang, source || '/' || doc_id || '.md' AS source, text FROM documents WHERE coalesce(lang, '') <> 'de'")
