@@ -202,7 +202,12 @@ def sparse_tfidf_topk(spark, sf):
     return scored(retrieve.sparse(index.build(docs_of(spark, sf), only=terms), terms, K))
 
 
-@query()
+PARTS["crc_table"] = ([], "SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t")
+PARTS["term_bytes"] = (["posts"], "SELECT term, list_transform(range(0, strlen(term)), lambda i: CAST('0x' || substr(hex(encode(term)), CAST(2 * i + 1 AS INT), 2) AS BIGINT)) AS bytes FROM (SELECT DISTINCT term FROM posts)")
+PARTS["term_index"] = (["crc_table", "term_bytes"], "SELECT term, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INT)])), 4294967295) AS idx FROM term_bytes CROSS JOIN crc_table")
+
+
+@query('SELECT id, idx AS "index", CAST(sum(tf) AS DOUBLE) AS value FROM posts JOIN term_index USING (term) GROUP BY id, idx', ("posts", "term_index"))
 def sparse_vectors(spark, sf):
     return index.sparse_vectors(index.postings(docs_of(spark, sf)))
 
@@ -993,6 +998,9 @@ def recall_flow(spark, sf):
     return scored(plan.recall(chunks, vectors_of(spark, sf), queries_of(spark, sf), config))
 
 
-@query()
+@query(
+    r"SELECT query_id, string_agg('[' || rank || '] (' || coalesce(source, '?') || ') ' || CASE WHEN length(flat) <= 100 THEN flat ELSE rtrim(substr(flat, 1, 99), ' ') || '…' END, chr(10) ORDER BY rank) AS context FROM (SELECT query_id, rank, source, trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS flat FROM hits WHERE rank <= 15) GROUP BY query_id",
+    ("hits",),
+)
 def prompt_context(spark, sf):
     return plan.context_lines(hits_of(spark, sf))
