@@ -13,6 +13,7 @@ CHECKED = (
     "token_stats term_df_idf bm25_topk bm25_filtered_topk vector_topk_filtered sparse_tfidf_topk lexical_gated_dense hybrid_rrf adaptive_weight_rrf source_merge vector_floor fallback_merge "
     "token_budget_prefix payload_filter_range array_any_match as_of_validity date_focused_sort temporal_arm classify_query classify_question query_shape stage_exact_rescue stage_hub stage_qlearning pipeline_full "
     "q_table_fold ior_keep_last char_chunks message_pairs sliding_windows stable_ids upsert_latest payload_diff prune_stale quota_check triples_as_of graph_token_hits graph_resurrection link_resolution "
+    "folder_sync item_sources token_bucket resolved_ids canonical_values vector_index_topk superseded_facts tenant_listing sparse_vectors prompt_context "
     "subtopics citation_verdicts strip_metadata heartbeat_filter retrieval_metrics latency_quantiles stream_dedupe stream_session stream_state_fold"
 ).split()
 
