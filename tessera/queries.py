@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import canonical, ids, scoring, text, times
+from .functions import canonical, ids, names, scoring, text, times
 from .operators import attribute, cells, chunk, filters, fuse, graph, index, lifecycle, metrics, prefixes, provenance, rank, retrieve, state, synthesis
 from .plans import folder, plugins
 from .plans import recall as plan
@@ -876,6 +876,17 @@ def tenant_listing(spark, sf):
     return graph.tenants(data, read(spark, sf, "supplier").select(F.col("s_suppkey").alias("tenant_id")))
 
 
+@query(
+    "SELECT doc_id AS id, upper(CASE WHEN regexp_matches(clean, '^\\p{L}') THEN replace(clean, 'ß', 'SS') ELSE '_' || replace(clean, 'ß', 'SS') END) AS relation, CASE WHEN regexp_matches(clean, '^\\p{L}') THEN clean ELSE 'Node' END AS label, 'graph:' || url_encode(part) || ':' || source AS graph_id, 'q_table:' || url_encode(part) AS state_key, sha256(length(part) || ':' || part || '|' || length(source) || ':' || source) AS cache_key FROM (SELECT doc_id, source, part, regexp_replace(part, '[^\\p{L}\\p{N}_]', '_', 'g') AS clean FROM (SELECT doc_id, coalesce(source, '') AS source, substr(coalesce(text, ''), 1 + CAST(doc_id % 50 AS INT), 30) AS part FROM documents))".replace("\\\\", "\\")
+)
+def safe_names(spark, sf):
+    """Pieces of all documents as relations, labels, tenants and cache keys."""
+    part = F.substring(F.coalesce("text", F.lit("")), (F.col("doc_id") % 50 + 1).cast("int"), F.lit(30))
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("source"), part.alias("part"))
+    p, s = F.col("part"), F.col("source")
+    return d.select("id", names.relation(p).alias("relation"), names.label(p).alias("label"), names.graph_id(s, p).alias("graph_id"), names.state_key(F.lit("q_table"), p).alias("state_key"), names.cache_key(p, F.array(s)).alias("cache_key"))
+
+
 # --- folders --------------------------------------------------------------------
 
 PARTS["note_a"] = ([], "SELECT doc_id, coalesce(lang, '') AS lang, source || '/' || doc_id || '.md' AS source, text FROM documents WHERE coalesce(lang, '') <> 'de'")
