@@ -13,8 +13,9 @@ PROTECTED = ("tenant_id",)
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, id_col: str = "id", order: list[str] | None = None, keep_owner: bool = True) -> DataFrame:
-    """Full replace by id: the latest fresh row wins; an owner survives a writer without a tenant."""
-    newest = fresh.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(*[F.desc(c) for c in order or []], F.lit(0)))).where("__n = 1").drop("__n") if order else fresh.dropDuplicates([id_col])
+    """Full replace by id: the latest fresh row by ``order`` wins, of equal ones that with the largest content; an owner survives a writer without a tenant."""
+    latest = Window.partitionBy(id_col).orderBy(*[F.desc(c) for c in order or []], F.desc(F.to_json(F.struct(*fresh.columns))))
+    newest = fresh.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
     if keep_owner and "tenant_id" in stored.columns and "tenant_id" in newest.columns:
         owner = stored.select(F.col(id_col), F.col("tenant_id").alias("__owner"))
         newest = newest.join(owner, id_col, "left").withColumn("tenant_id", F.coalesce("tenant_id", "__owner")).drop("__owner")

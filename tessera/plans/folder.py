@@ -2,7 +2,7 @@
 
 Files are compared by content with the record of sources, so only new, changed, vanished and formerly
 failed ones are worked on, and only buckets that hold them are read and written. Known chunks are
-not embedded again; their payload is patched if it differs, without touching keys that others own. A source whose
+not embedded again; their payload is patched if it differs (not in the spelling of a time only), without touching keys that others own. A source whose
 embedding failed keeps its old chunks and links and is tried again by the next sync. Links are stored as written and where
 they lead; a note that appears or vanishes changes where others' links lead, so these are resolved again.
 """
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ids, markup
+from ..functions import canonical, ids, markup
 from ..operators import chunk, lifecycle
 from ..sources.versions import Change, Store
 from .plugins import Embedder, embed
@@ -111,7 +111,7 @@ def sync(
 
         known = old.select("source", "id", F.col("payload").alias("had"), F.col("owned").alias("owned_then"), F.col("space").alias("space_then")).join(fresh, ["source", "id"])
         stale = F.array_except("owned_then", "owned")
-        differs = F.exists("owned", lambda k: ~F.col("had")[k].eqNullSafe(F.col("payload")[k])) | (F.size(stale) > 0)
+        differs = F.exists("owned", lambda k: ~canonical.instant(F.col("had")[k]).eqNullSafe(canonical.instant(F.col("payload")[k]))) | (F.size(stale) > 0)
         clash = F.coalesce(F.col("space_then") != F.lit(space), F.lit(False))
         patches = store.keep(known.where(differs).select("source", "id", F.lit(0).alias("seq"), stale.alias("deleted"), F.col("payload").alias("changed"), "owned", clash.alias("clash")))
         gone = own.join(fresh.select("source", "id"), ["source", "id"], "left_anti").join(failed, "source", "left_anti").select("source", "id")

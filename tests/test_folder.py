@@ -162,3 +162,12 @@ def test_joint_patches_delete_then_set_in_order(spark):
     df = spark.createDataFrame(patches, "id string, seq int, deleted array<string>, changed map<string,string>")
     got = {r.id: (r.payload, r.patched) for r in lifecycle.patch_payloads(stored, df, tenant="t").collect()}
     assert got == {"a": ({"y": "2", "tenant_id": "t", "z": "4"}, True), "b": ({"x": "1"}, False), "c": ({"q": "9"}, True)}
+
+
+def test_another_spelling_of_a_time_is_no_change(spark, tmp_path):
+    s, embedder = store(spark, tmp_path / "s", 1), hashing_embedder(8)
+    note = "---\nat: '2024-01-01T10:00:00+02:00'\n---\n# One\nfirst\n\n# Two\n"
+    folder.sync(s, files(spark, {"a.md": note + "second"}), embedder)
+    s.update(lambda s, base: {"chunks": Change(s.table("chunks").withColumn("payload", F.transform_values("payload", lambda k, v: F.when(k == "at", "2024-01-01 08:00:00Z").otherwise(v))), "source")})
+    done = folder.sync(s, files(spark, {"a.md": note + "third"}), embedder).first()
+    assert (done.inserted, done.refreshed, done.pruned) == (1, 0, 1)

@@ -350,3 +350,11 @@ def test_library_does_not_import_the_optional_part():
     for f in root.rglob("*.py"):
         if "llm" not in f.parts:
             assert not re.search(r"tessera\.llm|from \.+llm|import llm", f.read_text()), f
+
+
+def test_the_survivor_of_equal_ids_does_not_depend_on_partitions(spark):
+    stored = spark.createDataFrame([], "id int, text string, ts int")
+    rows = [(1, f"t{i}", i % 3) for i in range(20)]
+    got = {lifecycle.upsert(stored, spark.createDataFrame(rows, "id int, text string, ts int").repartition(n), order=order).first().text for n in (1, 3, 7) for order in (None,)}
+    assert got == {"t9"}
+    assert lifecycle.upsert(stored, spark.createDataFrame(rows, "id int, text string, ts int"), order=["ts"]).first().text == "t8"
