@@ -13,6 +13,7 @@ from ..operators.lifecycle import skip_known
 from ..operators.state import take
 from ..plans.ingest import with_ids
 from ..plans.plugins import Embedder, embed
+from ..sources.tables import working_folder
 
 
 def read(spark: SparkSession, path: str, schema, ts: str = "ts", lateness: str = "1 hour", files: int | None = None) -> DataFrame:
@@ -139,23 +140,37 @@ def ingest(items: DataFrame, path: str, embedder: Embedder, checkpoint: str, ten
 
 def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
     """What earlier batches stored."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p) or not any(s.isDirectory() and s.getPath().getName() != f"batch={number}" for s in fs.listStatus(p)):
+    if not set(_batches(spark, path)) - {number}:
         return None
     return spark.read.option("mergeSchema", "true").parquet(path).where(F.col("batch") != number)
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs what is there through a memory sink and returns it."""
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+    """Runs what is there and returns it, written by the tasks: each micro-batch to a folder of its own under a new working folder.
+
+    Mode complete returns the last batch, the other two all of them. Without a checkpoint, progress and state are kept beside the result.
+    """
+    path = working_folder(df.sparkSession)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+    into_table(df, write, checkpoint or f"{path}/progress", mode).awaitTermination()
+    done = _batches(df.sparkSession, f"{path}/{name}")
+    if not done:
+        return df.sparkSession.createDataFrame([], df.schema)
+    kept = done if mode != "complete" else [max(done)]
+    return df.sparkSession.read.schema(df.schema).parquet(*[f"{path}/{name}/batch={n}" for n in kept])
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the micro-batches that have a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
 
 
-def into_table(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
+def into_table(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
     """Hands each micro-batch to ``write`` (batch, number); it sees a batch again after a failure, so it is idempotent by number."""
-    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

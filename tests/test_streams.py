@@ -53,3 +53,16 @@ def test_ingest_stores_each_item_once(spark, tmp_path):
         assert sorted((r.text, r.tenant_id, len(r.embedding), r.batch) for r in rows) == [("a", "t", 4, 0), ("b", "t", 4, 0), ("c", "t", 4, 1)]
     stats = spark.read.json(f"{path}/stats").orderBy("number").collect()
     assert [(r.number, r.seen, r.stored, r.skipped) for r in stats] == [(0, 3, 2, 1), (1, 2, 1, 1)]
+
+
+def test_results_stay_with_the_tasks(spark, tmp_path):
+    """Every mode returns files that tasks wrote; the last batch alone is the result of mode complete."""
+    folder, schema = str(tmp_path / "kept"), "ts string, k string, v double"
+    put(spark, folder, 0, [("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:20:00", "b", 2.0)], schema)
+    put(spark, folder, 1, [("2024-01-01 00:30:00", "a", 4.0)], schema)
+    for mode, want in (("complete", {("a", 2, 5.0), ("b", 1, 2.0)}), ("update", {("a", 1, 1.0), ("b", 1, 2.0), ("a", 2, 5.0)})):
+        out = streams.run_available(streams.tumbling(streams.read(spark, folder, schema, files=1), "1 hour", ["k"], "v"), f"kept_{mode}", mode)
+        assert out.inputFiles() and not spark.catalog.tableExists(f"kept_{mode}")
+        assert {tuple(r) for r in out.select("k", "n", "total").collect()} == want
+    once = streams.run_available(streams.dedupe(streams.read(spark, folder, schema, files=1), ["k"]), "kept_once", "append")
+    assert once.inputFiles() and sorted(r.k for r in once.collect()) == ["a", "b"]
