@@ -58,7 +58,7 @@ def subtopics(facts: DataFrame, by: str = "entity") -> DataFrame:
     own = words.where(~F.array_contains(F.array([F.lit(s) for s in text.STOPWORDS]), F.col("w")) & ~F.array_contains(entity, F.col("w")))
     counted = own.groupBy(by, "fact_id", "w").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     best = counted.groupBy(by, "fact_id").agg(F.max_by("w", F.struct("n", -F.col("first"))).alias("w"))
-    return facts.join(best, [by, "fact_id"], "left").withColumn("subtopic", F.coalesce(F.concat(F.upper(F.substring("w", 1, 1)), F.substring("w", 2, 1 << 20)), F.lit("General"))).drop("w")
+    return facts.join(best, [by, "fact_id"], "left").withColumn("subtopic", F.coalesce(text.capital("w"), F.lit("General"))).drop("w")
 
 
 def timeline(facts: DataFrame, by: str = "entity") -> DataFrame:
