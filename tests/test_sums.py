@@ -25,6 +25,7 @@ def test_search_over_many_shards_and_blocks(spark, monkeypatch, ids):
     docs, terms = spark.createDataFrame(texts, f"id {ids}, text string"), retrieve.query_terms(spark.createDataFrame(asked, "query_id string, text string"))
     monkeypatch.setattr(retrieve, "SHARD_POSTINGS", 20)
     monkeypatch.setattr(retrieve, "BLOCK_TERMS", 7)
+    monkeypatch.setattr(retrieve, "PAIR_SUMS", 10)
     idx = index.build(docs, only=terms)
     idf = {r.term: r.idf for r in idx.terms.collect()}
     posts = Counter((i, len(t.split()), w) for i, t in texts for w in t.split())
