@@ -1,6 +1,7 @@
 """Search by sums over terms: shards, blocks and ties against a plain version."""
 
 import random
+import re
 from collections import Counter
 
 import pandas as pd
@@ -47,3 +48,19 @@ def test_a_search_without_any_term_is_empty(spark):
     assert retrieve.bm25(index.build(docs, only=terms), terms).collect() == []
     empty = pd.DataFrame({"id": [], "code": [], "part": []}), pd.DataFrame({"query_id": ["q"], "code": [1], "times": [1]})
     assert len(retrieve._best_sums(*empty, 3)) == 0
+
+
+def test_tasks_are_as_many_as_the_input_asks_for(spark, monkeypatch):
+    """Not as many as the shuffle partitions that are set, which would make tasks grow with the input."""
+    monkeypatch.setattr(index, "TEXT_TASK", 100)
+    monkeypatch.setattr(retrieve, "SHARD_POSTINGS", 10)
+    docs = spark.createDataFrame([(i, "a b c " * 5) for i in range(60)] + [(3, "a b c " * 5), (60, None)], "id long, text string")
+    terms = retrieve.query_terms(spark.createDataFrame([("q", "a c")], "query_id string, text string"))
+    dealt = re.findall(r"hashpartitioning\(id#\d+L?, (\d+)\)", index.postings(docs, only=terms)._jdf.queryExecution().executedPlan().toString())
+    assert dealt == [str(61 * 30 // 100 + 1)]
+    plans, write = [], retrieve.written
+    monkeypatch.setattr(retrieve, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    idx = index.build(docs, only=terms)
+    assert {(r.term, r.df) for r in idx.terms.collect()} == {("a", 60), ("c", 60)}
+    assert [r.id for r in retrieve.bm25(idx, terms, 3).orderBy("rank").collect()] == [3, 0, 1]
+    assert plans[-1].count("hashpartitioning(shard") == 2 and set(re.findall(r"hashpartitioning\(shard#\d+, block#\d+, (\d+)\)", plans[-1])) == {"24"}, plans[-1]
