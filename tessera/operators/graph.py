@@ -26,7 +26,7 @@ def neighbors(edges: DataFrame, nodes: DataFrame, as_of: str | None = None, each
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
+    both = edges.select(F.explode(F.array("src", "dst")).alias("id"))
     return both.groupBy("id").agg(F.count("*").alias("degree"))
 
 

@@ -90,6 +90,22 @@ def test_hub_limits_take_the_index(spark):
     assert rank.hub_limits(df.limit(0)) == (None, None)
 
 
+def test_degrees_are_found_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    edges = spark.createDataFrame([(i, i // 10 * 10) for i in range(1, 40)] + [(None, 7)], "src long, dst long")
+    hits = spark.createDataFrame([("q", 10, 1, 1.0), ("q", 5, 2, 1.0), ("q", 99, 3, 1.0)], "query_id string, id long, rank long, score double")
+    out = rank.hub(graph.degrees(edges.mapInPandas(counted, edges.schema)))(hits).collect()
+    assert read.value == 40
+    assert {r.id: round(r.score, 6) for r in out} == {10: 0.4, 5: 1.0, 99: 1.0}
+    assert {r.id: r.degree for r in graph.degrees(edges).collect()}[None] == 1
+
+
 def test_freshness_of_the_future_and_the_unknown(spark):
     rows = [(1, 1, 1, 0.0, "2026-05-05 18:16:00", "x"), (1, 2, 2, 0.0, None, "notes"), (1, 3, 3, 0.0, None, "MEMORY.md"), (1, 4, 4, 0.0, None, "log/2026-05-04.md")]
     df = spark.createDataFrame(rows, "query_id long, rank long, id long, score double, ts string, source string").withColumn("ts", F.col("ts").cast("timestamp"))
