@@ -6,6 +6,7 @@ from collections import Counter
 
 import pandas as pd
 import pytest
+from tessera.functions import text
 from tessera.operators import index, retrieve
 
 
@@ -64,3 +65,20 @@ def test_tasks_are_as_many_as_the_input_asks_for(spark, monkeypatch):
     assert {(r.term, r.df) for r in idx.terms.collect()} == {("a", 60), ("c", 60)}
     assert [r.id for r in retrieve.bm25(idx, terms, 3).orderBy("rank").collect()] == [3, 0, 1]
     assert plans[-1].count("hashpartitioning(shard") == 2 and set(re.findall(r"hashpartitioning\(shard#\d+, block#\d+, (\d+)\)", plans[-1])) == {"24"}, plans[-1]
+
+
+def test_a_batch_cuts_its_texts_once(spark):
+    """Documents and tokens are counted where the postings are, also for rows without a term of the batch and for repeated ids."""
+    texts = [(1, "a b a"), (1, "c b a"), (2, None), (3, ""), (4, "x y z x"), (None, "a q"), (None, "q a"), (5, "b")]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    only = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "term string")
+    cut = []
+    idx = index.build(docs, tokenizer=lambda c: cut.append(c) or text.tokens(c), only=only)
+    assert len(cut) == 1
+    assert (idx.documents, idx.mean) == (len(texts), sum(len((t or "").split()) for _, t in texts) / len(texts))
+    whole = index.build(docs)
+    kept = {(r.id, r.term, r.tf, r.len) for r in whole.postings.collect() if r.term in "ab"}
+    assert {(r.id, r.term, r.tf, r.len) for r in idx.postings.collect()} == kept and (whole.documents, whole.mean) == (idx.documents, idx.mean)
+    assert {(r.term, r.df, r.idf) for r in idx.terms.collect()} == {(r.term, r.df, r.idf) for r in whole.terms.collect() if r.term in "ab"}
+    none = index.build(docs.where("false"), only=only)
+    assert (none.documents, none.mean, none.postings.count()) == (0, 0.0, 0)
